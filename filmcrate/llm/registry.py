@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import repetition, shards
+from . import bpe, mixture, repetition, shards
 
 QUERIES = {
+    "op3_golden_schedule": mixture.op3_golden_schedule,
     "op5_repetition_coverage": repetition.op5_repetition_coverage,
+    "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op9_feistel_shards": shards.op9_feistel_shards,
 }
 ORACLES: dict[str, str] = {}
