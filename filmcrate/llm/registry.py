@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, invertible, mixture, repetition, shards, warc
+from . import bpe, invertible, mixture, repetition, shards, simhash, warc
 
 QUERIES = {
     "op2_invertible_sketch": invertible.op2_invertible_sketch,
     "op3_golden_schedule": mixture.op3_golden_schedule,
     "op5_repetition_coverage": repetition.op5_repetition_coverage,
+    "op6_simhash_pigeonhole": simhash.op6_simhash_pigeonhole,
     "op7_warc_round_trip": warc.op7_warc_round_trip,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op9_feistel_shards": shards.op9_feistel_shards,
