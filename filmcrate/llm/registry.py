@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, invertible, mixture, repetition, shards, simhash, warc
+from . import bpe, invertible, mixture, privacy, repetition, shards, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_ftrl_toxicity": toxicity.op1_ftrl_toxicity,
     "op2_invertible_sketch": invertible.op2_invertible_sketch,
     "op3_golden_schedule": mixture.op3_golden_schedule,
+    "op4_weak_supervision": privacy.op4_weak_supervision,
     "op5_repetition_coverage": repetition.op5_repetition_coverage,
     "op6_simhash_pigeonhole": simhash.op6_simhash_pigeonhole,
     "op7_warc_round_trip": warc.op7_warc_round_trip,
