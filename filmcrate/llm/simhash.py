@@ -27,7 +27,7 @@ BITS, MOST_BITS, SHINGLE, SEED = 64, 3, 3, 42
 #: Larger buckets are not compared in one task; they take the path of ``ball_links``.
 BUCKET = 4096
 #: Cost of a key row against that of one comparison.
-KEY_COST = 50.0
+KEY_COST = 200.0
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Node numbers of fingerprints without any document identifier begin here; identifiers lie below.
 _NAMELESS = 1 << 62
@@ -103,8 +103,8 @@ def group_bits(both: np.ndarray, n: int, parts: int) -> list[list[int]]:
     return out
 
 
-def allocate(costs: list[list[float]], budget: int) -> tuple[float, list[int]]:
-    """Thresholds t_i from -1 with the sum of (t_i + 1) equal to ``budget`` and the least sum of costs[i][t_i + 1]."""
+def allocate(costs: list[list[float]], budget: int) -> tuple[float, list[int]] | None:
+    """Thresholds t_i from -1 with the sum of (t_i + 1) equal to ``budget`` and the least sum of costs[i][t_i + 1]; None if no sum gets there."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for row in costs:
         step: dict[int, tuple[float, list[int]]] = {}
@@ -113,7 +113,7 @@ def allocate(costs: list[list[float]], budget: int) -> tuple[float, list[int]]:
                 if used + k <= budget and (used + k not in step or cost + c < step[used + k][0]):
                     step[used + k] = (cost + c, [*chosen, k - 1])
         best = step
-    return best[budget]
+    return best.get(budget)
 
 
 def masks(bits: list[int], free: int) -> list[int]:
@@ -133,7 +133,7 @@ def plan_masks(nodes: DataFrame, n: int, most_bits: int = MOST_BITS) -> tuple[li
     both = bit_counts(nodes)
     f = np.diag(both) / max(n, 1)
     same = np.maximum(f * f + (1 - f) * (1 - f), 1e-9)
-    choices = {m: group_bits(both, n, m) for m in range(2, most_bits + 3)}
+    choices = {m: group_bits(both, n, m) for m in range(2, min(most_bits + 2, 8) + 1)}
     groups = list({tuple(g) for m in choices for g in choices[m]})
     whole = F.array(*[F.lit(_signed(masks(list(g), 0)[0])) for g in groups])
     seen = nodes.select("fp", F.posexplode(whole).alias("g", "mask")).groupBy("g", F.col("fp").bitwiseAND(F.col("mask")).alias("v")).agg(F.count("*").alias("n"))
@@ -145,11 +145,11 @@ def plan_masks(nodes: DataFrame, n: int, most_bits: int = MOST_BITS) -> tuple[li
             equal = pairs.get(groups.index(tuple(bits)), 0.0) + n * n / 2 * float(np.prod(same[bits]))
             odds = (1 - same[bits]) / same[bits]
             one, two = odds.sum(), (odds.sum() ** 2 - (odds**2).sum()) / 2
-            found = [0.0, equal, equal * (1 + one), equal * (1 + one + two)]
-            costs.append([0.0 if k == 0 else found[k] + KEY_COST * n * len(masks(bits, k - 1)) for k in range(min(4, most_bits + 2))])
-        cost, chosen = allocate(costs, most_bits + 1)
-        if best is None or cost < best[0]:
-            best = cost, list(zip(parts, chosen, strict=True))
+            near = [0.0, equal, equal * (1 + one), equal * (1 + one + two)]
+            costs.append([0.0 if k == 0 else near[k] + KEY_COST * n * len(masks(bits, k - 1)) for k in range(min(4, most_bits + 2))])
+        found = allocate(costs, most_bits + 1)
+        if found and (best is None or found[0] < best[0]):
+            best = found[0], list(zip(parts, found[1], strict=True))
     plan = best[1]
     return [_signed(x) for bits, t in plan for x in masks(bits, t)], plan
 
@@ -158,8 +158,8 @@ def _differing(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64))
 
 
-def _within(fp: np.ndarray, node: np.ndarray, most_bits: int, found: list) -> None:
-    """Links of one bucket: a spanning forest of its pairs within the distance."""
+def _forest(fp: np.ndarray, node: np.ndarray, most_bits: int, found: list) -> None:
+    """Links of one bucket in which very many pairs are near: a spanning forest of them."""
     left = np.arange(len(fp))
     while len(left):
         front, left = left[:1], left[1:]
@@ -170,6 +170,21 @@ def _within(fp: np.ndarray, node: np.ndarray, most_bits: int, found: list) -> No
             front, left = np.concatenate([front[1:], hit]), left[~near]
 
 
+def _within(fp: np.ndarray, node: np.ndarray, most_bits: int, found: list) -> None:
+    """Links of one bucket: all its near pairs, or a spanning forest where they are more than a few for each row."""
+    step, near, total = max(1, (1 << 19) // len(fp)), [], 0
+    for lo in range(0, len(fp), step):
+        part = fp[lo : lo + step]
+        i, k = np.nonzero(_differing(part[:, None] ^ fp[None, lo:]) <= most_bits)
+        i, k = i[k > i] + lo, k[k > i] + lo
+        near.append((node[i], node[k]))
+        total += len(i)
+        if total > 8 * len(fp):
+            return _forest(fp, node, most_bits, found)
+    found += near
+    return None
+
+
 def bucket_links(keys: DataFrame, mask: list[int], most_bits: int) -> DataFrame:
     """Verified links a, b of rows (j, key, fp, node) that share (j, key). Buckets are runs of sorted rows."""
     shared = np.array(mask, dtype=np.int64)
