@@ -129,11 +129,14 @@ def user_patterns(patterns: tuple[str, ...]) -> tuple[list[re.Pattern], list[str
     return good, bad
 
 
-def _user_date(stem: Column, opts: DateOptions, years: tuple[int, int]) -> Column | None:
-    """First valid date of the user's patterns; these are Python expressions, hence an Arrow function."""
+def user_date(stem: Column, opts: DateOptions) -> Column:
+    """Struct of when and has_time by the first of the user's patterns with a valid date.
+
+    These are Python expressions, hence an Arrow function; it is a column of its own because
+    Spark allows none inside the lambdas of array functions.
+    """
     good, _ = user_patterns(opts.user_patterns)
-    if not good:
-        return None
+    years = opts.years
     texts = [p.pattern for p in good]
 
     @F.pandas_udf("when timestamp_ntz, has_time boolean")
@@ -161,9 +164,8 @@ def _user_date(stem: Column, opts: DateOptions, years: tuple[int, int]) -> Colum
     return search(stem)
 
 
-def _plain_name_date(stem: Column, opts: DateOptions, years: tuple[int, int]) -> Column:
+def _plain_name_date(stem: Column, years: tuple[int, int], own: Column | None = None) -> Column:
     """Date of a name without the prefix of a renamed file."""
-    own = _user_date(stem, opts, years)
 
     def choose(found: Column) -> Column:
         multiple = F.size(F.array_distinct(F.transform(found, lambda d: F.to_date(d["when"])))) > 1
@@ -185,17 +187,18 @@ def strip_renamed(stem: Column) -> Column:
     return F.when(valid, F.regexp_replace(stem, RENAMED, "")).otherwise(stem)
 
 
-def name_date(stem: Column, opts: DateOptions = DateOptions()) -> Column:
+def name_date(stem: Column, opts: DateOptions = DateOptions(), own: Column | None = None) -> Column:
     """Struct of when, has_time, source and multiple from a file name without extension; null without a date.
 
-    A sortable prefix wins; then the known patterns in order, the user's, any date. A renamed
+    A sortable prefix wins; then the known patterns in order, the user's (``own``, a column
+    made by ``user_date``), any date. A renamed
     name has the source of the rest; prefixes may be stacked, of which two are looked through.
     """
     prefix = F.when(stem.rlike(RENAMED), make_date(_groups(stem, RENAMED, range(1, 7)), opts.years))
     inner = F.regexp_replace(F.regexp_replace(stem, RENAMED, ""), RENAMED, "")
-    source = F.coalesce(_plain_name_date(inner, opts, (1, 9999))["source"], F.lit(""))
+    source = F.coalesce(_plain_name_date(inner, (1, 9999))["source"], F.lit(""))
     renamed = lambda w: F.when(w.isNotNull(), F.struct(w.alias("when"), F.lit(True).alias("has_time"), source.alias("source"), F.lit(False).alias("multiple"))).cast(DATED)
-    return F.coalesce(let(prefix, renamed), _plain_name_date(stem, opts, opts.years))
+    return F.coalesce(let(prefix, renamed), _plain_name_date(stem, opts.years, own))
 
 
 def source_of(stem: Column) -> Column:
@@ -249,7 +252,7 @@ def mtime_to_local(seconds: Column, time_zone: str) -> Column:
     return utc_to_local(F.timestamp_seconds(seconds).cast("timestamp_ntz"), time_zone)
 
 
-def resolve(meta: Column, stem: Column, mtime: Column, opts: DateOptions = DateOptions()) -> Column:
+def resolve(meta: Column, stem: Column, mtime: Column, opts: DateOptions = DateOptions(), own: Column | None = None) -> Column:
     """Struct of when, basis and source: metadata, video, name, then (by option) the modification time.
 
     A metadata date that a reset clock writes yields to the name's date, and counts as
@@ -279,7 +282,7 @@ def resolve(meta: Column, stem: Column, mtime: Column, opts: DateOptions = DateO
 
     parts = [parse_meta_date(meta[f"exif_{p}"]).alias(p) for p in ("original", "digitized", "datetime")]
     changed = mtime_to_local(mtime, opts.time_zone) if opts.use_mtime else F.lit(None).cast("timestamp_ntz")
-    return let(F.struct(name_date(stem, opts).alias("named"), *parts, shown.alias("shown"), changed.alias("changed")), choose)
+    return let(F.struct(name_date(stem, opts, own).alias("named"), *parts, shown.alias("shown"), changed.alias("changed")), choose)
 
 
 def displayed(when: Column) -> Column:

@@ -31,7 +31,7 @@ def group_pairs(media: DataFrame, case_insensitive: bool = True) -> DataFrame:
     name, folder = F.col("name"), F.col("folder")
     rows = media.withColumn("name", paths.basename(F.col("path"))).withColumn("folder", paths.dirname(F.col("path")))
     rows = rows.withColumn("stem", paths.stem(name)).withColumn("ext", paths.extension(name))
-    fields = ["path", "name", "stem", "ext", "size", "mtime", "kind", "fmt", "quick", "sha1", "meta"]
+    fields = ["path", "name", "stem", "ext", "size", "mtime", "kind", "fmt", "quick", "sha1", "meta", "user_date"]
     fields = [c for c in fields if c in rows.columns]
     member = F.struct(rank_of_kind(F.col("kind")).alias("rank"), *fields)
     rows = rows.select(paths.path_key(folder, case_insensitive).alias("folder_key"), paths.stem_key(name).alias("stem_key"), member.alias("m"))
@@ -53,12 +53,13 @@ def numbered(items: DataFrame) -> DataFrame:
 def dated_items(items: DataFrame, opts: Options, manual: Column | None = None) -> DataFrame:
     """Items with when, basis and source: a manual date, the leader's, a companion's not from its file time, any companion's.
 
+    With patterns of the user's own, media rows carry ``user_date`` (see ``dates.user_date``).
     A JPG that is about to leave as a duplicate of its pair does not date it.
     """
     given = F.lit(None).cast("timestamp_ntz") if manual is None else manual
     leads = F.col("members")[0]["kind"].isin("heic", "avif", "raw")
     voters = F.when(leads, F.filter("members", lambda m: m["kind"] != "jpeg")).otherwise(F.col("members")) if opts.jpg_pair_as_dupe else F.col("members")
-    found = F.transform(voters, lambda m: dates.resolve(m["meta"], m["stem"], m["mtime"], opts.dates))
+    found = F.transform(voters, lambda m: dates.resolve(m["meta"], m["stem"], m["mtime"], opts.dates, m["user_date"] if opts.dates.user_patterns else None))
     pick = lambda when, basis: F.struct(when.alias("when"), basis.alias("basis"))
 
     def choose(f: Column) -> Column:

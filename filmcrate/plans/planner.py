@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import dates, paths
 from ..operators import duplicates, folders, grouping, placement
 from ..operators.ordering import kept
 from ..sources import binary, tree
@@ -185,6 +185,8 @@ def make_plan(spark: SparkSession, opts: Options, dedupe: bool = True, overrides
     """List, read, group, date, deduplicate and place a folder tree."""
     listing = kept(tree.listing(spark, opts.root, tree.exclusions(opts.root, opts.target)))
     media = kept(binary.read_media(tree.media_files(listing)))
+    if opts.dates.user_patterns:
+        media = media.withColumn("user_date", dates.user_date(paths.stem(F.col("name")), opts.dates))
     items = grouping.group_pairs(media, opts.case_insensitive)
     manual = None
     if overrides is not None:
