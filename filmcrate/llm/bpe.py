@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from . import common, flat
 
 #: Words remembered by a task, at most; then it starts afresh.
-REMEMBER = 400_000
+REMEMBER = 100_000
 _NONE = np.int64(1 << 62)
 
 

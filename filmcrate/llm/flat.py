@@ -8,8 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 
 U = np.uint64
-#: Texts are taken together up to this many code points, so that working arrays stay near 100 MB; a longer text is taken alone.
-CHUNK = 1 << 20
+#: Texts are taken together up to this many code points, so that working arrays stay near 30 MB; a longer text is taken alone.
+CHUNK = 1 << 18
 _B, _C = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _powers: dict[int, np.ndarray] = {}
 
