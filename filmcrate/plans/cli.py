@@ -19,7 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dest", default="")
     p.add_argument("--settings", default="")
     p.add_argument("--pattern", default="")
-    for flag in ("copy", "dry-run", "undo", "use-mtime", "include-nodate", "convert-heic", "heic-only", "dedupe"):
+    for flag in ("copy", "dry-run", "undo", "use-mtime", "include-nodate", "convert-heic", "heic-only", "dedupe", "similar"):
         p.add_argument(f"--{flag}", action="store_true")
     return p
 
@@ -45,7 +45,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         print("a copy needs another folder", file=sys.stderr)
         return 2
     opts = from_settings(settings | {"dest": ""}, root, dest, "copy" if args.copy else "move", args.heic_only, args.convert_heic or args.heic_only)
-    plan = planner.make_plan(spark, opts, args.dedupe)
+    plan = planner.make_plan(spark, opts, args.dedupe or args.similar, threshold=settings["similar_threshold"] if args.similar else None)
     if not plan.items.head(1):
         print("no media files")
         return 1

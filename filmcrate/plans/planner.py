@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, paths
 from ..operators import duplicates, folders, grouping, placement
+from ..operators import similar as similar_
 from ..operators.ordering import kept
-from ..sources import binary, tree
+from ..sources import binary, pictures, tree
 from .options import OVERRIDES, Options
 
 DUPES = "key string, dup_of string, reason string"
@@ -181,8 +182,23 @@ def build(items: DataFrame, files: DataFrame, opts: Options, dupes: DataFrame |
     return finish(placement.original_targets(placed, files, opts))
 
 
-def make_plan(spark: SparkSession, opts: Options, dedupe: bool = True, overrides: DataFrame | None = None, similar: DataFrame | None = None) -> Plan:
-    """List, read, group, date, deduplicate and place a folder tree."""
+def find_similar(items: DataFrame, threshold: int = 6) -> DataFrame:
+    """key, group_no, suggested of items whose leading pictures look alike; items are grouped and numbered ones."""
+    lead = F.col("members")[0]
+    photos = items.where(similar_.eligible(lead["size"], lead["kind"])).select(F.col("item_idx").alias("idx"), "key", "when", lead["path"].alias("path"), lead["stem"].alias("stem"), lead["size"].alias("size"))
+    seen = kept(pictures.hashed(photos).withColumnRenamed("path", "p"))
+    photos = photos.join(seen, F.col("path") == F.col("p"))
+    groups, edges = similar_.groups(photos.select("idx", "phash"), threshold)
+    members = photos.join(groups, "idx").select("idx", "group_no", "stem", "pixels", "when", "size", "path")
+    told = similar_.suggestions(members, edges).select(F.col("idx").alias("i"), "group_no", "suggested")
+    return photos.join(told, F.col("idx") == F.col("i")).select("key", "group_no", "suggested")
+
+
+def make_plan(spark: SparkSession, opts: Options, dedupe: bool = True, overrides: DataFrame | None = None, similar: DataFrame | None = None, threshold: int | None = None) -> Plan:
+    """List, read, group, date, deduplicate and place a folder tree.
+
+    With a ``threshold``, similar pictures are looked for too; ``similar`` gives groups found before instead.
+    """
     listing = kept(tree.listing(spark, opts.root, tree.exclusions(opts.root, opts.target)))
     media = kept(binary.read_media(tree.media_files(listing)))
     if opts.dates.user_patterns:
@@ -196,6 +212,8 @@ def make_plan(spark: SparkSession, opts: Options, dedupe: bool = True, overrides
     lead = F.col("members")[0]
     flat = items.select("key", "basis", F.size("members").alias("n_members"), lead["path"].alias("path"), lead["stem"].alias("stem"), lead["size"].alias("size"), lead["kind"].alias("kind"), lead["quick"].alias("quick"), lead["sha1"].alias("sha1"))
     dupes = kept(duplicates.find_exact(flat, binary.full_hashes)) if dedupe and not opts.heic_only else None
+    if similar is None and threshold is not None and not opts.heic_only:
+        similar = kept(find_similar(items, threshold))
     there = tree.listing(spark, opts.target) if opts.target != opts.root.rstrip("/") else tree.listing(spark, opts.root)
     files = there.where("what = 'file'").select("path", "size")
     known = media.select(F.col("path").alias("mp"), F.col("sha1").alias("ms"))
