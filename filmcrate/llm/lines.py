@@ -1,99 +1,164 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame functions only.
+"""Fuzzy line deduplication by MinHash.
 
-A line (trimmed, lower case) is the set of its character shingles.
-One-permutation MinHash: each shingle is hashed once, the hash's low bits choose one of
-BANDS * ROWS buckets, the least hash of each bucket is the signature; empty buckets borrow
-from the next. Lines that agree in all ROWS values of a band are candidates. They are
-checked, where their signatures agree often enough, by the exact Jaccard similarity of their shingle sets, links are joined to
-components by distributed union-find, and the first line of each component stays.
+A line (trimmed, lower case) is the set of its character shingles, named by 64-bit rolling
+hashes. One-permutation MinHash: a hash's low bits choose one of PLACES places, the least
+hash of each place is the signature; empty places borrow from the next. Lines that agree in
+all ROWS values of a band are candidates. They are checked, where one byte of each place
+agrees often enough, by the exact Jaccard similarity of their shingle sets, links are joined
+to components by distributed union-find, and the first line of each component stays.
 
 Within a band's bucket every line is first checked against two hubs (a line that many
 documents share, and another). Only lines that this leaves in different components are then
 checked against each other, which no longer concerns the lines of a large group of copies.
+
+Signatures and similarities are numpy over Arrow batches, everything else is DataFrame
+functions: in built-in functions alone these two steps exceed the time there is (see README).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, flat
 from .components import components
 
+U = np.uint64
 SHINGLE, SIMILAR = 9, 0.8
-BANDS, ROWS = 6, 3
+BANDS, ROWS, PLACES = 6, 3, 64
 #: Hashes of a line that take part in its signature, about: of longer lines only the lowest hashes can be a least one.
-LEAST = 108
+LEAST = 320
 #: Ids that are broadcast at most (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Equal places of two signatures from which a pair is checked; of BANDS * ROWS, 14.4 are expected at a similarity of 0.8.
-LIKELY = 9
+#: Equal places of two signatures from which a pair is checked; of PLACES, 51 are expected at a similarity of 0.8, with a deviation of 3.2.
+#: Lines with fewer shingles than LONG fill too few places for that and are always checked.
+LIKELY, LONG = 38, 256
 _SPAN = 10**10
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), line_no, at (place of the line in the corpus), lh (hash of the line) and raw (the line as UTF-16)."""
+def _lines(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, th (hash of the text), line_no, at (place of the line in the corpus), lh (hash of the line) and line, of lines with a shingle."""
     rows = common.pick(docs, "doc_id", "text").where("text is not null")
     rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    line = F.lower(F.trim("line"))
+    rows = rows.withColumn("line", F.lower(F.trim("line"))).where(F.length("line") >= shingle)
     place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit((1 << 63) - 1).cast("decimal(20,0)")) * F.lit(_SPAN).cast("decimal(11,0)") + F.col("line_no")
-    return rows.select("doc_id", "th", "line_no", place.cast("decimal(38,0)").alias("at"), F.xxhash64(line).alias("lh"), F.encode(line, "UTF-16BE").alias("raw"))
-
-
-def _units(raw: Column) -> Column:
-    return F.shiftright(F.octet_length(raw), 1)
-
-
-def _long_enough(raw: Column, shingle: int) -> Column:
-    return F.octet_length(raw) >= 2 * shingle
+    return rows.select("doc_id", "th", "line_no", place.cast("decimal(38,0)").alias("at"), F.xxhash64("line").alias("lh"), "line")
+
+
+def shingle_hashes(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of the lines, one after another, and how many each line has. Lines have ``shingle`` code points at least."""
+    data = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    size = np.array([len(x) for x in lines], dtype=np.int64)
+    sums = flat.prefix(data.astype(np.uint64) + U(1), flat._B)
+    whole = sums[shingle:] - sums[:-shingle]
+    whole *= flat.powers(pow(flat._B, -1, 1 << 64), len(whole))
+    inside = np.ones(len(data), dtype=bool)
+    ends = np.cumsum(size)
+    for k in range(1, shingle):
+        inside[ends - k] = False
+    return flat.mix(whole[inside[: len(whole)]]), size - shingle + 1
+
+
+def signature_values(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys (n, BANDS), one byte of each place as int64 (n, PLACES // 8), and numbers of shingles."""
+    h, units = shingle_hashes(lines, shingle)
+    n, owner = len(lines), np.repeat(np.arange(len(lines)), units)
+    limit = np.where(units > LEAST, LEAST / units * 2.0**63, 2.0**63).astype(np.uint64)
+    low = np.flatnonzero(h >> U(1) <= limit[owner])
+    h, owner = h[low], owner[low]
+    empty = U((1 << 64) - 1)
+    table = np.full(n * PLACES, empty, dtype=np.uint64)
+    np.minimum.at(table, owner * PLACES + (h & U(PLACES - 1)).astype(np.int64), h)
+    table = table.reshape(n, PLACES)
+    at = np.where(table != empty, np.arange(PLACES), 2 * PLACES)
+    at = np.minimum.accumulate(np.hstack([at, at + PLACES])[:, ::-1], axis=1)[:, ::-1][:, :PLACES]
+    far = (at - np.arange(PLACES)).astype(np.uint64)
+    table = np.take_along_axis(table, at % PLACES, axis=1) + far * U(0x632BE5AB00000141)
+    keys = np.empty((n, BANDS), dtype=np.uint64)
+    for band in range(BANDS):
+        key = np.full(n, band + 1, dtype=np.uint64)
+        for k in range(band * ROWS, (band + 1) * ROWS):
+            key = flat.mix(key + table[:, k])
+        keys[:, band] = key
+    byte = ((table >> U(6)) & U(255)).astype(np.uint8)
+    return keys.view(np.int64), np.ascontiguousarray(byte).view(np.int64), units
+
+
+_KEYS, _SIGN = [f"k{i}" for i in range(BANDS)], [f"s{i}" for i in range(PLACES // 8)]
 
 
 def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """lh, n (lines that are equal), and v0.. (the signature) of every different line."""
-    places = BANDS * ROWS
-    rows = lines.select("lh", "raw", _units(F.col("raw")).alias("units"))
-    share = F.lit(float(LEAST)) / F.col("units")
-    limit = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * 2.0**64 - 2.0**63).cast("long"))
-    rows = rows.select("lh", "raw", limit.alias("limit"), F.explode(F.sequence(F.lit(0), F.col("units") - shingle)).alias("i"))
-    rows = rows.select("lh", "limit", F.expr(f"xxhash64(substring(raw, 2 * i + 1, {2 * shingle}))").alias("h")).where("h <= limit")
-    rows = rows.select("lh", F.shiftright("h", 32).cast("int").alias("v"), (F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)) % places).cast("int").alias("b"))
-    return rows.groupBy("lh").agg(*[F.min(F.when(F.col("b") == k, F.col("v"))).alias(f"v{k}") for k in range(places)])
+    """lh, k0.. (band keys), s0.. (eight places each) and units (shingles) of every different line."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lh = batch.column(0).to_numpy()
+            _, first = np.unique(lh, return_index=True)
+            rows = pa.array(np.sort(first))
+            names, texts = lh[rows.to_numpy()], batch.column(1).take(rows).to_pylist()
+            for lo, hi in flat.chunks(texts):
+                keys, sign, units = signature_values(texts[lo:hi], shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi]), *map(pa.array, keys.T.copy()), *map(pa.array, sign.T.copy()), pa.array(units)], names=["lh", *_KEYS, *_SIGN, "units"])
 
-def _band_keys() -> list[Column]:
-    places = BANDS * ROWS
-    full = [F.coalesce(*[F.col(f"v{(k + d) % places}") + F.lit(d).cast("long") * 0x632BE5AB for d in range(places)]) for k in range(places)]
-    return [F.xxhash64(F.lit(b), *full[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)]
+    columns = [*_KEYS, *_SIGN, "units"]
+    found = lines.select("lh", "line").mapInArrow(run, ", ".join(f"{c} long" for c in ["lh", *columns]))
+    return found.groupBy("lh").agg(*[F.min(c).alias(c) for c in columns])
 
 
-def _set(raw: Column, shingle: int) -> Column:
-    """The different shingles of a line. One pattern match gives them all, several times faster than a lambda that cuts them."""
-    return F.array_distinct(F.regexp_extract_all(F.decode(raw, "UTF-16BE"), F.lit(f"(?s)(?=(.{{{shingle}}}))"), F.lit(1)))
+def _wanted(pairs: DataFrame) -> DataFrame:
+    """The different ids in pairs a, b, as w; broadcast where they are few."""
+    ids = common.settle(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "wanted")
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
 def _alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in LIKELY places or more, which similar lines all but always do."""
-    sign = marks.select("lh", F.array(*[f"v{k}" for k in range(BANDS * ROWS)]).alias("v"))
-    both = pairs.join(sign.select(F.col("lh").alias("a"), F.col("v").alias("va")), "a").join(sign.select(F.col("lh").alias("b"), F.col("v").alias("vb")), "b")
-    equal = None
-    for k in range(BANDS * ROWS):
-        same = F.col("va")[k].eqNullSafe(F.col("vb")[k]).cast("int")
-        equal = same if equal is None else equal + same
-    return both.where(equal >= LIKELY).select("a", "b")
+    """Pairs whose signatures agree in LIKELY places or more, which similar lines all but always do, and those with a short line."""
+    pairs = common.settle(pairs, "candidates")
+    sign = common.settle(marks.join(_wanted(pairs), F.col("lh") == F.col("w")).select("lh", F.struct(*_SIGN, "units").alias("s")), "signs")
+    both = pairs.join(sign.select(F.col("lh").alias("a"), F.col("s").alias("x")), "a").join(sign.select(F.col("lh").alias("b"), F.col("s").alias("y")), "b")
+    differ = F.lit(0)
+    for c in _SIGN:
+        bits = F.col("x")[c].bitwiseXOR(F.col("y")[c])
+        for shift in (4, 2, 1):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
+        differ = differ + F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+    short = F.least(F.col("x")["units"], F.col("y")["units"]) < LONG
+    return both.where(short | (differ <= PLACES - LIKELY)).select("a", "b")
+
+
+def _pair_chunks(left: list[str], right: list[str]) -> Iterator[tuple[int, int]]:
+    yield from flat.chunks([a if len(a) > len(b) else b for a, b in zip(left, right, strict=True)])
 
 
 def _similar(pairs: DataFrame, lines: DataFrame, firsts: DataFrame, shingle: int, similar: float) -> DataFrame:
     """Those of the pairs a, b whose lines' shingle sets have a Jaccard similarity of ``similar`` or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct().join(firsts, "lh").select("lh", "at")
-    wanted = common.settle(wanted, "wanted")
-    ids = wanted.withColumnRenamed("at", "first").withColumnRenamed("lh", "w")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, left, right = (c.to_pylist() for c in batch.columns)
+            keep = np.zeros(len(a), dtype=bool)
+            for lo, hi in _pair_chunks(left, right):
+                texts = dict(zip([*a[lo:hi], *b[lo:hi]], [*left[lo:hi], *right[lo:hi]], strict=True))
+                h, units = shingle_hashes(list(texts.values()), shingle)
+                sets = dict(zip(texts, map(np.unique, np.split(h, np.cumsum(units)[:-1])), strict=True))
+                for i in range(lo, hi):
+                    x, y = sets[a[i]], sets[b[i]]
+                    if min(len(x), len(y)) >= similar * max(len(x), len(y)):
+                        both = np.sort(np.concatenate([x, y]), kind="stable")
+                        common_ = int(np.count_nonzero(both[1:] == both[:-1]))
+                        keep[i] = common_ >= similar * (len(both) - common_)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    ids = common.settle(_wanted(pairs).join(firsts.select("lh", "at"), F.col("w") == F.col("lh")).select("w", F.col("at").alias("first")), "places")
     ids = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
-    texts = lines.select("lh", "at", "raw").join(ids, (F.col("lh") == F.col("w")) & (F.col("at") == F.col("first"))).select("lh", "raw").dropDuplicates(["lh"])
+    texts = lines.select("lh", "at", "line").join(ids, (F.col("lh") == F.col("w")) & (F.col("at") == F.col("first"))).select("lh", "line").dropDuplicates(["lh"])
     texts = common.settle(texts, "texts")
-    both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("raw").alias("ra")), "a").join(texts.select(F.col("lh").alias("b"), F.col("raw").alias("rb")), "b")
-    both = both.select("a", "b", _set(F.col("ra"), shingle).alias("sa"), _set(F.col("rb"), shingle).alias("sb"))
-    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("c"))
-    return common.settle(both.where(F.col("c") >= similar * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b"), "similar")
+    both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("left")), "a").join(texts.select(F.col("lh").alias("b"), F.col("line").alias("right")), "b")
+    return common.settle(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "similar")
 
 
 def line_classes(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
@@ -102,12 +167,12 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMIL
     Places order lines by doc_id (null last), then line number. Lines with fewer than
     ``shingle`` characters have no shingle and take no part.
     """
-    lines = _lines(docs).where(_long_enough(F.col("raw"), shingle))
-    thin = common.settle(lines.drop("raw"), "lines")
+    lines = _lines(docs, shingle)
+    thin = common.settle(lines.drop("line"), "lines")
     firsts = common.settle(thin.groupBy("lh").agg(F.min("at").alias("at"), F.count("*").alias("n")), "firsts")
     marks = common.settle(signatures(lines, shingle), "marks")
-    bands = marks.select("lh", F.explode(F.array(*_band_keys())).alias("key"))
     many = common.settle(firsts.where("n > 1").select(F.col("lh").alias("l"), "n"), "many")
+    bands = marks.select("lh", F.explode(F.array(*_KEYS)).alias("key"))
     bands = common.settle(bands.join(many, F.col("lh") == F.col("l"), "left").select("key", "lh", F.coalesce("n", F.lit(1)).alias("n")), "bands")
     shared = lambda least: F.min(F.when(F.col("n") >= least, F.col("lh")))
     hubs = bands.groupBy("key").agg(F.count("*").alias("size"), F.coalesce(shared(256), shared(16), shared(4), shared(2), F.min("lh")).alias("hub"), F.max("lh").alias("hub2"))
