@@ -18,6 +18,7 @@ functions: in built-in functions alone these two steps exceed the time there is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,10 @@ BANDS, ROWS, PLACES = 6, 3, 64
 LEAST = 320
 #: Ids that are broadcast at most (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Equal places of two signatures from which a pair is checked; of PLACES, 51 are expected at a similarity of 0.8, with a deviation of 3.2.
-#: Lines with fewer shingles than LONG fill too few places for that and are always checked.
-LIKELY, LONG = 38, 256
+#: Pairs are checked whose signatures agree in at least the places expected at the wanted similarity, less so many standard deviations.
+DEVIATIONS = 3.3
+#: Lines of one bucket that one task compares at once; larger buckets are dealt out as pairs of blocks.
+BLOCK = 2048
 _SPAN = 10**10
 
 
@@ -115,8 +117,14 @@ def _wanted(pairs: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
-def _alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in LIKELY places or more, which similar lines all but always do, and those with a short line."""
+def _least_places(units, similar: float, exp, sqrt):
+    """Equal places from which a pair is checked whose shorter line has ``units`` shingles: fewer shingles fill fewer places, so the estimate is wider."""
+    filled = PLACES * (1 - exp(-units / float(PLACES)))
+    return PLACES * similar - DEVIATIONS * PLACES * (similar * (1 - similar)) ** 0.5 / sqrt(filled)
+
+
+def _alike(pairs: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
+    """Pairs whose signatures agree as often as those of similar lines all but always do."""
     pairs = common.settle(pairs, "candidates")
     sign = common.settle(marks.join(_wanted(pairs), F.col("lh") == F.col("w")).select("lh", F.struct(*_SIGN, "units").alias("s")), "signs")
     both = pairs.join(sign.select(F.col("lh").alias("a"), F.col("s").alias("x")), "a").join(sign.select(F.col("lh").alias("b"), F.col("s").alias("y")), "b")
@@ -126,8 +134,61 @@ def _alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
         for shift in (4, 2, 1):
             bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
         differ = differ + F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
-    short = F.least(F.col("x")["units"], F.col("y")["units"]) < LONG
-    return both.where(short | (differ <= PLACES - LIKELY)).select("a", "b")
+    units = F.least(F.col("x")["units"], F.col("y")["units"]).cast("double")
+    return both.where(F.lit(PLACES) - differ >= _least_places(units, similar, F.exp, F.sqrt)).select("a", "b")
+
+
+def _alike_apart(left: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
+    """Pairs a, b of rows (key, lh, root) with one key and different roots whose signatures are alike as in ``_alike``.
+
+    A bucket's rows are compared in numpy and only alike pairs become rows. Buckets of more
+    than BLOCK lines are dealt out as pairs of blocks, so that no task holds more than two
+    blocks and no pair is left out.
+    """
+    sizes = common.settle(left.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select(F.col("key").alias("k"), F.ceil(F.col("m") / (BLOCK / 2)).cast("int").alias("blocks")), "large")
+    rows = left.join(sizes, F.col("key") == F.col("k"), "left").select("key", "lh", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("lh", F.lit(7)), F.col("blocks")).cast("int"))
+    rows = rows.select("key", "lh", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("lh", "root", "own", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") == F.col("other")).alias("within"))
+    ids = common.settle(left.select(F.col("lh").alias("w")).distinct(), "apart")
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    sign = common.settle(marks.join(ids, F.col("lh") == F.col("w")).select("w", *_SIGN, "units"), "signs")
+    rows = rows.join(sign, F.col("lh") == F.col("w")).select("cell", "lh", "root", "own", "within", "units", *_SIGN)
+
+    def cell(lh, root, own, within, units, sign) -> tuple[np.ndarray, np.ndarray]:
+        found_a, found_b = [], []
+        for i in range(len(lh) - 1):
+            k = np.flatnonzero((root[i + 1 :] != root[i]) & (within[i] | (own[i + 1 :] != own[i]))) + i + 1
+            same = np.count_nonzero(sign[k] == sign[i], axis=1)
+            k = k[same >= _least_places(np.minimum(units[k], units[i]), similar, np.exp, np.sqrt)]
+            found_a.append(np.minimum(lh[k], lh[i]))
+            found_b.append(np.maximum(lh[k], lh[i]))
+        return np.concatenate(found_a), np.concatenate(found_b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in chain(batches, [None]):
+            rows = None
+            if batch is not None:
+                rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)] if rest is not None else rows
+            elif rest is not None:
+                rows = rest
+            if rows is None or not len(rows[0]):
+                continue
+            edge = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
+            cuts = [0, *edge.tolist()] + [len(rows[0])] * (batch is None)
+            rest = [r[cuts[-1] :] for r in rows]
+            sign = np.column_stack(rows[6:]).view(np.uint8)
+            a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi - lo > 1:
+                    x, y = cell(*(r[lo:hi] for r in rows[1:6]), sign[lo:hi])
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
 def _pair_chunks(left: list[str], right: list[str]) -> Iterator[tuple[int, int]]:
@@ -179,16 +240,14 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMIL
     hubs = common.settle(hubs.where("size > 1").drop("size"), "hubs")
     met = common.settle(bands.select("key", "lh").join(hubs, "key"), "met")
     first = met.select("lh", F.explode(F.array("hub", "hub2")).alias("hub")).where("lh <> hub").select(F.least("lh", "hub").alias("a"), F.greatest("lh", "hub").alias("b")).distinct()
-    links = _similar(common.settle(_alike(first, marks), "pairs"), lines, firsts, shingle, similar)
+    links = _similar(common.settle(_alike(first, marks, similar), "pairs"), lines, firsts, shingle, similar)
     roots = common.settle(components(links), "roots")
 
     named = met.join(roots, F.col("lh") == F.col("node"), "left").select("key", "lh", "hub", "hub2", F.coalesce("root", "lh").alias("root"))
     named = common.settle(named, "named")
     split = common.settle(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "split")
     left = common.settle(named.join(split, "key", "left_semi").where("lh <> hub and lh <> hub2").select("key", "lh", "root"), "apart")
-    other = left.select(F.col("key").alias("k"), F.col("lh").alias("other"), F.col("root").alias("r"))
-    cross = left.join(other, (F.col("key") == F.col("k")) & (F.col("root") < F.col("r"))).select(F.least("lh", "other").alias("a"), F.greatest("lh", "other").alias("b")).distinct()
-    cross = common.settle(_alike(cross, marks), "cross")
+    cross = common.settle(_alike_apart(left, marks, similar), "cross")
     if cross.head(1):
         links = links.union(_similar(cross, lines, firsts, shingle, similar))
         roots = common.settle(components(links), "roots")
