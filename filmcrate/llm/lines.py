@@ -38,7 +38,7 @@ BROADCAST_ROWS = 1_000_000
 #: Pairs are checked whose signatures agree in at least the places expected at the wanted similarity, less so many standard deviations.
 DEVIATIONS = 3.3
 #: Lines of one bucket that one task compares at once; larger buckets are dealt out as pairs of blocks.
-BLOCK = 2048
+BLOCK = 512
 _SPAN = 10**10
 
 
@@ -138,35 +138,69 @@ def _alike(pairs: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
     return both.where(F.lit(PLACES) - differ >= _least_places(units, similar, F.exp, F.sqrt)).select("a", "b")
 
 
-def _alike_apart(left: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
-    """Pairs a, b of rows (key, lh, root) with one key and different roots whose signatures are alike as in ``_alike``.
+def _common(x: np.ndarray, y: np.ndarray, similar: float) -> bool:
+    """Whether two sets (sorted hashes, each once) have a Jaccard similarity of ``similar`` or more."""
+    if min(len(x), len(y)) < similar * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared >= similar * (len(both) - shared)
 
-    A bucket's rows are compared in numpy and only alike pairs become rows. Buckets of more
-    than BLOCK lines are dealt out as pairs of blocks, so that no task holds more than two
-    blocks and no pair is left out.
+
+def cell_links(lh, root, own, within, band, units, keys, sign, texts, shingle: int, similar: float) -> list[tuple[int, int]]:
+    """Verified links between the rows of one cell that have different roots, as far as no earlier link joins them.
+
+    Pairs that an earlier band brings together as well are left to it.
+    """
+    parent: dict[int, int] = {}
+    sets: dict[int, np.ndarray] = {}
+    found = []
+
+    def top(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    def hashes(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = np.unique(shingle_hashes([texts[i]], shingle)[0])
+        return sets[i]
+
+    for i in range(len(lh) - 1):
+        k = np.flatnonzero((root[i + 1 :] != root[i]) & (within[i] | (own[i + 1 :] != own[i]))) + i + 1
+        same = np.count_nonzero(sign[k] == sign[i], axis=1)
+        k = k[same >= _least_places(np.minimum(units[k], units[i]), similar, np.exp, np.sqrt)]
+        k = k[np.argmax(keys[k] == keys[i], axis=1) == band[i]]
+        for j in k.tolist():
+            x, y = top(int(root[i])), top(int(root[j]))
+            if x != y and _common(hashes(i), hashes(j), similar):
+                parent[y] = x
+                found.append((int(lh[i]), int(lh[j])))
+        sets.pop(i, None)
+    return found
+
+
+def _links_apart(left: DataFrame, marks: DataFrame, lines: DataFrame, firsts: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """Links a, b that join what is similar among rows (key, lh, root) with one key and different roots.
+
+    A bucket's lines are compared in numpy, by signature and then exactly, and only links
+    become rows. Buckets of more than BLOCK lines are dealt out as pairs of blocks, so that no
+    task holds more than two blocks and no pair is left out.
     """
     sizes = common.settle(left.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select(F.col("key").alias("k"), F.ceil(F.col("m") / (BLOCK / 2)).cast("int").alias("blocks")), "large")
     rows = left.join(sizes, F.col("key") == F.col("k"), "left").select("key", "lh", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("lh", F.lit(7)), F.col("blocks")).cast("int"))
     rows = rows.select("key", "lh", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("lh", "root", "own", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") == F.col("other")).alias("within"))
-    ids = common.settle(left.select(F.col("lh").alias("w")).distinct(), "apart")
-    ids = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
-    sign = common.settle(marks.join(ids, F.col("lh") == F.col("w")).select("w", *_SIGN, "units"), "signs")
-    rows = rows.join(sign, F.col("lh") == F.col("w")).select("cell", "lh", "root", "own", "within", "units", *_SIGN)
-
-    def cell(lh, root, own, within, units, sign) -> tuple[np.ndarray, np.ndarray]:
-        found_a, found_b = [], []
-        for i in range(len(lh) - 1):
-            k = np.flatnonzero((root[i + 1 :] != root[i]) & (within[i] | (own[i + 1 :] != own[i]))) + i + 1
-            same = np.count_nonzero(sign[k] == sign[i], axis=1)
-            k = k[same >= _least_places(np.minimum(units[k], units[i]), similar, np.exp, np.sqrt)]
-            found_a.append(np.minimum(lh[k], lh[i]))
-            found_b.append(np.maximum(lh[k], lh[i]))
-        return np.concatenate(found_a), np.concatenate(found_b)
+    rows = rows.select("key", "lh", "root", "own", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") == F.col("other")).alias("within"))
+    apart = common.settle(left.select(F.col("lh").alias("a"), F.col("lh").alias("b")).distinct(), "apart")
+    texts = _texts(apart, lines, firsts)
+    sign = common.settle(marks.join(texts, "lh").select(F.col("lh").alias("w"), "units", *_KEYS, *_SIGN, "line"), "signs")
+    rows = rows.join(sign, F.col("lh") == F.col("w"))
+    band = F.array_position(F.array(*_KEYS), F.col("key")).cast("int") - 1
+    rows = rows.select("cell", "lh", "root", "own", "within", band.alias("band"), "units", *_KEYS, *_SIGN, "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest, plain = None, 7 + BANDS
         for batch in chain(batches, [None]):
             rows = None
             if batch is not None:
@@ -179,16 +213,22 @@ def _alike_apart(left: DataFrame, marks: DataFrame, similar: float) -> DataFrame
             edge = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
             cuts = [0, *edge.tolist()] + [len(rows[0])] * (batch is None)
             rest = [r[cuts[-1] :] for r in rows]
-            sign = np.column_stack(rows[6:]).view(np.uint8)
-            a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            keys, sign = np.column_stack(rows[7:plain]), np.column_stack(rows[plain:-1]).view(np.uint8)
+            found = []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi - lo > 1:
-                    x, y = cell(*(r[lo:hi] for r in rows[1:6]), sign[lo:hi])
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                    found += cell_links(*(r[lo:hi] for r in rows[1:7]), keys[lo:hi], sign[lo:hi], rows[-1][lo:hi], shingle, similar)
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
+
+    return common.settle(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct(), "cross")
+
 
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+def _texts(pairs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """lh and line of every line in pairs a, b."""
+    ids = common.settle(_wanted(pairs).join(firsts.select("lh", "at"), F.col("w") == F.col("lh")).select("w", F.col("at").alias("first")), "places")
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    texts = lines.select("lh", "at", "line").join(ids, (F.col("lh") == F.col("w")) & (F.col("at") == F.col("first"))).select("lh", "line").dropDuplicates(["lh"])
+    return common.settle(texts, "texts")
 
 
 def _pair_chunks(left: list[str], right: list[str]) -> Iterator[tuple[int, int]]:
@@ -207,17 +247,10 @@ def _similar(pairs: DataFrame, lines: DataFrame, firsts: DataFrame, shingle: int
                 h, units = shingle_hashes(list(texts.values()), shingle)
                 sets = dict(zip(texts, map(np.unique, np.split(h, np.cumsum(units)[:-1])), strict=True))
                 for i in range(lo, hi):
-                    x, y = sets[a[i]], sets[b[i]]
-                    if min(len(x), len(y)) >= similar * max(len(x), len(y)):
-                        both = np.sort(np.concatenate([x, y]), kind="stable")
-                        common_ = int(np.count_nonzero(both[1:] == both[:-1]))
-                        keep[i] = common_ >= similar * (len(both) - common_)
+                    keep[i] = _common(sets[a[i]], sets[b[i]], similar)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    ids = common.settle(_wanted(pairs).join(firsts.select("lh", "at"), F.col("w") == F.col("lh")).select("w", F.col("at").alias("first")), "places")
-    ids = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
-    texts = lines.select("lh", "at", "line").join(ids, (F.col("lh") == F.col("w")) & (F.col("at") == F.col("first"))).select("lh", "line").dropDuplicates(["lh"])
-    texts = common.settle(texts, "texts")
+    texts = _texts(pairs, lines, firsts)
     both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("left")), "a").join(texts.select(F.col("lh").alias("b"), F.col("line").alias("right")), "b")
     return common.settle(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "similar")
 
@@ -247,9 +280,9 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMIL
     named = common.settle(named, "named")
     split = common.settle(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "split")
     left = common.settle(named.join(split, "key", "left_semi").where("lh <> hub and lh <> hub2").select("key", "lh", "root"), "apart")
-    cross = common.settle(_alike_apart(left, marks, similar), "cross")
+    cross = _links_apart(left, marks, lines, firsts, shingle, similar)
     if cross.head(1):
-        links = links.union(_similar(cross, lines, firsts, shingle, similar))
+        links = links.union(cross)
         roots = common.settle(components(links), "roots")
     placed = firsts.join(roots, F.col("lh") == F.col("node"), "left").select("lh", "at", F.coalesce("root", "lh").alias("root"))
     placed = common.settle(placed, "placed")

@@ -58,3 +58,13 @@ def test_query_counts(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert len(out) == len(docs)
     assert all(r["n_lines"] == docs[r["doc_id"]].count("\n") + 1 and r["n_removed"] == (r["removed"].count(",") + 1 if r["removed"] else 0) for r in out)
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Copies that are like each other but not like the hubs, with blocks of four lines: same components as by all pairs."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(60)]
+    docs = [(i, edit(rng, " ".join(words), rng.randrange(1, 6))) for i in range(80)]
+    monkeypatch.setattr(lines, "BLOCK", 4)
+    got = {(r["doc_id"], r["line_no"], r["kept_doc_id"], r["kept_line_no"]) for r in lines.removed_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(got ^ plain(docs)) <= 1
