@@ -17,7 +17,8 @@ functions: in built-in functions alone these two steps exceed the time there is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -90,10 +91,27 @@ def signature_values(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarr
     return keys.view(np.int64), np.ascontiguousarray(byte).view(np.int64), units
 
 
-_KEYS, _SIGN = [f"k{i}" for i in range(BANDS)], [f"s{i}" for i in range(PLACES // 8)]
+_SIGN = [f"s{i}" for i in range(PLACES // 8)]
 
 
-def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+@dataclass(frozen=True)
+class Kind:
+    """What is compared: how texts become hashes of shingles and signatures (of PLACES bytes), and how far signatures may fall short."""
+
+    bands: int = BANDS
+    deviations: float = DEVIATIONS
+    hashes: Callable = shingle_hashes
+    values: Callable = signature_values
+
+    @property
+    def keys(self) -> list[str]:
+        return [f"k{i}" for i in range(self.bands)]
+
+
+LINES = Kind()
+
+
+def signatures(lines: DataFrame, shingle: int = SHINGLE, kind: Kind = LINES) -> DataFrame:
     """lh, k0.. (band keys), s0.. (eight places each) and units (shingles) of every different line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +121,10 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             rows = pa.array(np.sort(first))
             names, texts = lh[rows.to_numpy()], batch.column(1).take(rows).to_pylist()
             for lo, hi in flat.chunks(texts):
-                keys, sign, units = signature_values(texts[lo:hi], shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi]), *map(pa.array, keys.T.copy()), *map(pa.array, sign.T.copy()), pa.array(units)], names=["lh", *_KEYS, *_SIGN, "units"])
+                keys, sign, units = kind.values(texts[lo:hi], shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi]), *map(pa.array, keys.T.copy()), *map(pa.array, sign.T.copy()), pa.array(units)], names=["lh", *kind.keys, *_SIGN, "units"])
 
-    columns = [*_KEYS, *_SIGN, "units"]
+    columns = [*kind.keys, *_SIGN, "units"]
     found = lines.select("lh", "line").mapInArrow(run, ", ".join(f"{c} long" for c in ["lh", *columns]))
     return found.groupBy("lh").agg(*[F.min(c).alias(c) for c in columns])
 
@@ -117,13 +135,13 @@ def _wanted(pairs: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
-def _least_places(units, similar: float, exp, sqrt):
+def _least_places(units, similar: float, deviations: float, exp, sqrt):
     """Equal places from which a pair is checked whose shorter line has ``units`` shingles: fewer shingles fill fewer places, so the estimate is wider."""
     filled = PLACES * (1 - exp(-units / float(PLACES)))
-    return PLACES * similar - DEVIATIONS * PLACES * (similar * (1 - similar)) ** 0.5 / sqrt(filled)
+    return PLACES * similar - deviations * PLACES * (similar * (1 - similar)) ** 0.5 / sqrt(filled)
 
 
-def _alike(pairs: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
+def _alike(pairs: DataFrame, marks: DataFrame, similar: float, deviations: float) -> DataFrame:
     """Pairs whose signatures agree as often as those of similar lines all but always do."""
     pairs = common.settle(pairs, "candidates")
     sign = common.settle(marks.join(_wanted(pairs), F.col("lh") == F.col("w")).select("lh", F.struct(*_SIGN, "units").alias("s")), "signs")
@@ -135,7 +153,7 @@ def _alike(pairs: DataFrame, marks: DataFrame, similar: float) -> DataFrame:
             bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
         differ = differ + F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
     units = F.least(F.col("x")["units"], F.col("y")["units"]).cast("double")
-    return both.where(F.lit(PLACES) - differ >= _least_places(units, similar, F.exp, F.sqrt)).select("a", "b")
+    return both.where(F.lit(PLACES) - differ >= _least_places(units, similar, deviations, F.exp, F.sqrt)).select("a", "b")
 
 
 def _common(x: np.ndarray, y: np.ndarray, similar: float) -> bool:
@@ -147,7 +165,7 @@ def _common(x: np.ndarray, y: np.ndarray, similar: float) -> bool:
     return shared >= similar * (len(both) - shared)
 
 
-def cell_links(lh, root, own, within, band, units, keys, sign, texts, shingle: int, similar: float) -> list[tuple[int, int]]:
+def cell_links(lh, root, own, within, band, units, keys, sign, texts, shingle: int, similar: float, kind: Kind = LINES) -> list[tuple[int, int]]:
     """Verified links between the rows of one cell that have different roots, as far as no earlier link joins them.
 
     Pairs that an earlier band brings together as well are left to it.
@@ -163,13 +181,13 @@ def cell_links(lh, root, own, within, band, units, keys, sign, texts, shingle: i
 
     def hashes(i: int) -> np.ndarray:
         if i not in sets:
-            sets[i] = np.unique(shingle_hashes([texts[i]], shingle)[0])
+            sets[i] = np.unique(kind.hashes([texts[i]], shingle)[0])
         return sets[i]
 
     for i in range(len(lh) - 1):
         k = np.flatnonzero((root[i + 1 :] != root[i]) & (within[i] | (own[i + 1 :] != own[i]))) + i + 1
         same = np.count_nonzero(sign[k] == sign[i], axis=1)
-        k = k[same >= _least_places(np.minimum(units[k], units[i]), similar, np.exp, np.sqrt)]
+        k = k[same >= _least_places(np.minimum(units[k], units[i]), similar, kind.deviations, np.exp, np.sqrt)]
         k = k[np.argmax(keys[k] == keys[i], axis=1) == band[i]]
         for j in k.tolist():
             x, y = top(int(root[i])), top(int(root[j]))
@@ -180,7 +198,7 @@ def cell_links(lh, root, own, within, band, units, keys, sign, texts, shingle: i
     return found
 
 
-def _links_apart(left: DataFrame, marks: DataFrame, lines: DataFrame, firsts: DataFrame, shingle: int, similar: float) -> DataFrame:
+def _links_apart(left: DataFrame, marks: DataFrame, lines: DataFrame, firsts: DataFrame, shingle: int, similar: float, kind: Kind) -> DataFrame:
     """Links a, b that join what is similar among rows (key, lh, root) with one key and different roots.
 
     A bucket's lines are compared in numpy, by signature and then exactly, and only links
@@ -194,13 +212,13 @@ def _links_apart(left: DataFrame, marks: DataFrame, lines: DataFrame, firsts: Da
     rows = rows.select("key", "lh", "root", "own", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") == F.col("other")).alias("within"))
     apart = common.settle(left.select(F.col("lh").alias("a"), F.col("lh").alias("b")).distinct(), "apart")
     texts = _texts(apart, lines, firsts)
-    sign = common.settle(marks.join(texts, "lh").select(F.col("lh").alias("w"), "units", *_KEYS, *_SIGN, "line"), "signs")
+    sign = common.settle(marks.join(texts, "lh").select(F.col("lh").alias("w"), "units", *kind.keys, *_SIGN, "line"), "signs")
     rows = rows.join(sign, F.col("lh") == F.col("w"))
-    band = F.array_position(F.array(*_KEYS), F.col("key")).cast("int") - 1
-    rows = rows.select("cell", "lh", "root", "own", "within", band.alias("band"), "units", *_KEYS, *_SIGN, "line")
+    band = F.array_position(F.array(*kind.keys), F.col("key")).cast("int") - 1
+    rows = rows.select("cell", "lh", "root", "own", "within", band.alias("band"), "units", *kind.keys, *_SIGN, "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, plain = None, 7 + BANDS
+        rest, plain = None, 7 + kind.bands
         for batch in chain(batches, [None]):
             rows = None
             if batch is not None:
@@ -217,7 +235,7 @@ def _links_apart(left: DataFrame, marks: DataFrame, lines: DataFrame, firsts: Da
             found = []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi - lo > 1:
-                    found += cell_links(*(r[lo:hi] for r in rows[1:7]), keys[lo:hi], sign[lo:hi], rows[-1][lo:hi], shingle, similar)
+                    found += cell_links(*(r[lo:hi] for r in rows[1:7]), keys[lo:hi], sign[lo:hi], rows[-1][lo:hi], shingle, similar, kind)
             yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
 
     return common.settle(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct(), "cross")
@@ -235,7 +253,7 @@ def _pair_chunks(left: list[str], right: list[str]) -> Iterator[tuple[int, int]]
     yield from flat.chunks([a if len(a) > len(b) else b for a, b in zip(left, right, strict=True)])
 
 
-def _similar(pairs: DataFrame, lines: DataFrame, firsts: DataFrame, shingle: int, similar: float) -> DataFrame:
+def _similar(pairs: DataFrame, lines: DataFrame, firsts: DataFrame, shingle: int, similar: float, kind: Kind) -> DataFrame:
     """Those of the pairs a, b whose lines' shingle sets have a Jaccard similarity of ``similar`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +262,7 @@ def _similar(pairs: DataFrame, lines: DataFrame, firsts: DataFrame, shingle: int
             keep = np.zeros(len(a), dtype=bool)
             for lo, hi in _pair_chunks(left, right):
                 texts = dict(zip([*a[lo:hi], *b[lo:hi]], [*left[lo:hi], *right[lo:hi]], strict=True))
-                h, units = shingle_hashes(list(texts.values()), shingle)
+                h, units = kind.hashes(list(texts.values()), shingle)
                 sets = dict(zip(texts, map(np.unique, np.split(h, np.cumsum(units)[:-1])), strict=True))
                 for i in range(lo, hi):
                     keep[i] = _common(sets[a[i]], sets[b[i]], similar)
@@ -261,26 +279,30 @@ def line_classes(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMIL
     Places order lines by doc_id (null last), then line number. Lines with fewer than
     ``shingle`` characters have no shingle and take no part.
     """
-    lines = _lines(docs, shingle)
+    return classes(_lines(docs, shingle), shingle, similar, LINES)
+
+
+def classes(lines: DataFrame, shingle: int, similar: float, kind: Kind) -> DataFrame:
+    """``line_classes`` of a table doc_id, th, line_no, at, lh, line."""
     thin = common.settle(lines.drop("line"), "lines")
     firsts = common.settle(thin.groupBy("lh").agg(F.min("at").alias("at"), F.count("*").alias("n")), "firsts")
-    marks = common.settle(signatures(lines, shingle), "marks")
+    marks = common.settle(signatures(lines, shingle, kind), "marks")
     many = common.settle(firsts.where("n > 1").select(F.col("lh").alias("l"), "n"), "many")
-    bands = marks.select("lh", F.explode(F.array(*_KEYS)).alias("key"))
+    bands = marks.select("lh", F.explode(F.array(*kind.keys)).alias("key"))
     bands = common.settle(bands.join(many, F.col("lh") == F.col("l"), "left").select("key", "lh", F.coalesce("n", F.lit(1)).alias("n")), "bands")
     shared = lambda least: F.min(F.when(F.col("n") >= least, F.col("lh")))
     hubs = bands.groupBy("key").agg(F.count("*").alias("size"), F.coalesce(shared(256), shared(16), shared(4), shared(2), F.min("lh")).alias("hub"), F.max("lh").alias("hub2"))
     hubs = common.settle(hubs.where("size > 1").drop("size"), "hubs")
     met = common.settle(bands.select("key", "lh").join(hubs, "key"), "met")
     first = met.select("lh", F.explode(F.array("hub", "hub2")).alias("hub")).where("lh <> hub").select(F.least("lh", "hub").alias("a"), F.greatest("lh", "hub").alias("b")).distinct()
-    links = _similar(common.settle(_alike(first, marks, similar), "pairs"), lines, firsts, shingle, similar)
+    links = _similar(common.settle(_alike(first, marks, similar, kind.deviations), "pairs"), lines, firsts, shingle, similar, kind)
     roots = common.settle(components(links), "roots")
 
     named = met.join(roots, F.col("lh") == F.col("node"), "left").select("key", "lh", "hub", "hub2", F.coalesce("root", "lh").alias("root"))
     named = common.settle(named, "named")
     split = common.settle(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "split")
     left = common.settle(named.join(split, "key", "left_semi").where("lh <> hub and lh <> hub2").select("key", "lh", "root"), "apart")
-    cross = _links_apart(left, marks, lines, firsts, shingle, similar)
+    cross = _links_apart(left, marks, lines, firsts, shingle, similar, kind)
     if cross.head(1):
         links = links.union(cross)
         roots = common.settle(components(links), "roots")
