@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
-from filmcrate.llm import copies
+from filmcrate.llm import copies, simhash
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,3 +55,17 @@ def test_hashes_and_signatures():
     both = [" ".join(f"w{i}" for i in range(k, k + 1000)) for k in (0, 100)]
     same = np.mean([a == b for x in [copies.signature_values(both)[1].view(np.uint8)] for a, b in zip(x[0], x[1], strict=True)])
     assert abs(same - 0.81) < 0.2
+
+
+def test_unlike_documents_stay(spark, pairs):
+    """Pairs below four fifths, and unrelated texts of six words whose fingerprints lie within 8 bits."""
+    rng, docs = random.Random(9), []
+    for i in range(0, len(pairs), 2):
+        if jaccard(grams(pairs[i][1]), grams(pairs[i + 1][1])) < 0.8:
+            docs += pairs[i : i + 2]
+    short = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(6)) for _ in range(3000)]
+    fp = simhash.fingerprint_values(short, 5)
+    met = [(i, i + 1 + int(k)) for i in range(len(fp) - 1) for k in np.flatnonzero(np.bitwise_count((fp[i] ^ fp[i + 1 :]).view(np.uint64)) <= 8)]
+    assert met and len(docs) > 100
+    docs += [(10_000 + i, short[i]) for i in {x for p in met for x in p}]
+    assert left(spark, docs) == {i for i, _ in docs}
