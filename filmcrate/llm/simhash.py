@@ -24,8 +24,8 @@ from . import common, flat
 from .components import components
 
 BITS, MOST_BITS, SHINGLE, SEED = 64, 3, 3, 42
-#: Larger buckets are not compared in one task; they take the path of ``ball_links``.
-BUCKET = 4096
+#: Larger buckets are not compared in one task; they take the path of ``ball_links``, or beyond BALL_BITS that of ``block_links``.
+BUCKET, BALL_BITS = 4096, 3
 #: Cost of a key row against that of one comparison.
 KEY_COST = 200.0
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -250,6 +250,21 @@ def ball_links(keys: DataFrame, mask: list[int], most_bits: int) -> DataFrame:
     return rows.join(hubs, "point").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def block_links(keys: DataFrame, most_bits: int, block: int) -> DataFrame:
+    """Links that connect all rows of large buckets as far as they lie within ``most_bits``, by comparing pairs of blocks.
+
+    A bucket is dealt out in blocks of about ``block`` / 2 rows; every pair of blocks is one
+    cell, so that no task holds more than two blocks of a bucket at once and no pair is left
+    out. Rows grow with the number of blocks, comparisons with the square of the bucket.
+    """
+    sizes = common.settle(keys.groupBy("j", "key").agg(F.count("*").alias("m")).select(F.col("j").alias("g"), F.col("key").alias("k"), F.ceil(F.col("m") / (block / 2)).cast("int").alias("blocks")), "sizes")
+    rows = keys.join(sizes, (F.col("j") == F.col("g")) & (F.col("key") == F.col("k"))).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
+    rows = rows.select("j", "key", "fp", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cell = F.xxhash64("j", "key", F.least("own", "other"), F.greatest("own", "other"))
+    # a cell is a bucket of its own for bucket_links; without masks every near pair of it is found, or a spanning forest
+    return bucket_links(rows.select(F.lit(0).alias("j"), cell.alias("key"), "fp", "node"), [], most_bits).distinct()
+
+
 def near_links(nodes: DataFrame, most_bits: int = MOST_BITS, bucket: int = BUCKET) -> DataFrame:
     """Links a, b between rows (fp distinct, node) within ``most_bits`` bits that leave no component apart."""
     n = nodes.count()
@@ -261,7 +276,8 @@ def near_links(nodes: DataFrame, most_bits: int = MOST_BITS, bucket: int = BUCKE
         return bucket_links(keys, mask, most_bits)
     large = F.broadcast(large) if found <= 10_000 else large
     rest = bucket_links(keys.join(large, ["j", "key"], "left_anti"), mask, most_bits)
-    return rest.union(ball_links(keys.join(large, ["j", "key"]), mask, most_bits))
+    hot = keys.join(large, ["j", "key"])
+    return rest.union(ball_links(hot, mask, most_bits) if most_bits <= BALL_BITS else block_links(hot, most_bits, bucket))
 
 
 def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
@@ -271,7 +287,7 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, shingle: int =
     texts than a shingle are one shingle. Repeated rows and equal texts meet in one node.
     Rows without doc_id take part; a component without any doc_id has a null component_id.
     Identifiers lie below 2**62. An empty table gives an empty one; further columns are not
-    read. Nothing is left out of large groups: see ``ball_links``.
+    read. Nothing is left out of large groups: see ``ball_links`` and ``block_links``.
     """
     marks = common.settle(fingerprints(docs, shingle), "fingerprints")
     nameless = F.lit(_NAMELESS) + F.shiftrightunsigned("fp", 2)

@@ -68,6 +68,21 @@ def test_links_on_dense_clusters(spark, bucket):
     assert groups(range(len(fps)), found) == groups(range(len(fps)), links)
 
 
+def test_large_buckets_at_eight_bits(spark):
+    """Buckets over the limit lose no link at the wider radius, where points around a fingerprint are too many to list."""
+    rng = np.random.default_rng(6)
+    fps = {int(x) for x in rng.integers(0, 1 << 63, 200)}
+    for _ in range(3):
+        centre = int(rng.integers(0, 1 << 63))
+        fps |= {centre ^ sum({1 << int(b) for b in rng.integers(0, 63, int(rng.integers(0, 9)))}) for _ in range(120)}
+    fps = sorted(fps)
+    nodes = spark.createDataFrame(list(zip(fps, range(len(fps)), strict=True)), "fp long, node long")
+    links = [(a, b) for a, b in combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= 8]
+    found = [(r["a"], r["b"]) for r in simhash.near_links(nodes, 8, 30).collect()]
+    assert {tuple(sorted(p)) for p in found} <= set(links)
+    assert groups(range(len(fps)), found) == groups(range(len(fps)), links)
+
+
 def test_every_plan_is_whole():
     rng = np.random.default_rng(2)
     both = np.full((64, 64), 25.0) + np.diag(np.full(64, 25.0))
