@@ -32,8 +32,6 @@ from .components import components
 U = np.uint64
 SHINGLE, SIMILAR = 9, 0.8
 BANDS, ROWS, PLACES = 6, 3, 64
-#: Hashes of a line that take part in its signature, about: of longer lines only the lowest hashes can be a least one.
-LEAST = 320
 #: Ids that are broadcast at most (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Pairs are checked whose signatures agree in at least the places expected at the wanted similarity, less so many standard deviations.
@@ -67,16 +65,17 @@ def shingle_hashes(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray
 
 
 def signature_values(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band keys (n, BANDS), one byte of each place as int64 (n, PLACES // 8), and numbers of shingles."""
+    """Band keys (n, BANDS), one byte of each place as int64 (n, PLACES // 8), and numbers of places that a hash fills.
+
+    Only the set of a line's shingles counts, not how often each occurs.
+    """
     h, units = shingle_hashes(lines, shingle)
     n, owner = len(lines), np.repeat(np.arange(len(lines)), units)
-    limit = np.where(units > LEAST, LEAST / units * 2.0**63, 2.0**63).astype(np.uint64)
-    low = np.flatnonzero(h >> U(1) <= limit[owner])
-    h, owner = h[low], owner[low]
     empty = U((1 << 64) - 1)
     table = np.full(n * PLACES, empty, dtype=np.uint64)
     np.minimum.at(table, owner * PLACES + (h & U(PLACES - 1)).astype(np.int64), h)
     table = table.reshape(n, PLACES)
+    filled = np.count_nonzero(table != empty, axis=1)
     at = np.where(table != empty, np.arange(PLACES), 2 * PLACES)
     at = np.minimum.accumulate(np.hstack([at, at + PLACES])[:, ::-1], axis=1)[:, ::-1][:, :PLACES]
     far = (at - np.arange(PLACES)).astype(np.uint64)
@@ -88,7 +87,7 @@ def signature_values(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarr
             key = flat.mix(key + table[:, k])
         keys[:, band] = key
     byte = ((table >> U(6)) & U(255)).astype(np.uint8)
-    return keys.view(np.int64), np.ascontiguousarray(byte).view(np.int64), units
+    return keys.view(np.int64), np.ascontiguousarray(byte).view(np.int64), filled
 
 
 _SIGN = [f"s{i}" for i in range(PLACES // 8)]
@@ -112,7 +111,7 @@ LINES = Kind()
 
 
 def signatures(lines: DataFrame, shingle: int = SHINGLE, kind: Kind = LINES) -> DataFrame:
-    """lh, k0.. (band keys), s0.. (eight places each) and units (shingles) of every different line."""
+    """lh, k0.. (band keys), s0.. (eight places each) and filled (places that a hash of its own fills) of every different line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,10 +120,10 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE, kind: Kind = LINES) ->
             rows = pa.array(np.sort(first))
             names, texts = lh[rows.to_numpy()], batch.column(1).take(rows).to_pylist()
             for lo, hi in flat.chunks(texts):
-                keys, sign, units = kind.values(texts[lo:hi], shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi]), *map(pa.array, keys.T.copy()), *map(pa.array, sign.T.copy()), pa.array(units)], names=["lh", *kind.keys, *_SIGN, "units"])
+                keys, sign, filled = kind.values(texts[lo:hi], shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi]), *map(pa.array, keys.T.copy()), *map(pa.array, sign.T.copy()), pa.array(filled)], names=["lh", *kind.keys, *_SIGN, "filled"])
 
-    columns = [*kind.keys, *_SIGN, "units"]
+    columns = [*kind.keys, *_SIGN, "filled"]
     found = lines.select("lh", "line").mapInArrow(run, ", ".join(f"{c} long" for c in ["lh", *columns]))
     return found.groupBy("lh").agg(*[F.min(c).alias(c) for c in columns])
 
@@ -135,16 +134,15 @@ def _wanted(pairs: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
-def _least_places(units, similar: float, deviations: float, exp, sqrt):
-    """Equal places from which a pair is checked whose shorter line has ``units`` shingles: fewer shingles fill fewer places, so the estimate is wider."""
-    filled = PLACES * (1 - exp(-units / float(PLACES)))
+def _least_places(filled, similar: float, deviations: float, sqrt):
+    """Equal places from which a pair is checked whose signature with fewer hashes has ``filled`` places: the fewer, the wider the estimate."""
     return PLACES * similar - deviations * PLACES * (similar * (1 - similar)) ** 0.5 / sqrt(filled)
 
 
 def _alike(pairs: DataFrame, marks: DataFrame, similar: float, deviations: float) -> DataFrame:
     """Pairs whose signatures agree as often as those of similar lines all but always do."""
     pairs = common.settle(pairs, "candidates")
-    sign = common.settle(marks.join(_wanted(pairs), F.col("lh") == F.col("w")).select("lh", F.struct(*_SIGN, "units").alias("s")), "signs")
+    sign = common.settle(marks.join(_wanted(pairs), F.col("lh") == F.col("w")).select("lh", F.struct(*_SIGN, "filled").alias("s")), "signs")
     both = pairs.join(sign.select(F.col("lh").alias("a"), F.col("s").alias("x")), "a").join(sign.select(F.col("lh").alias("b"), F.col("s").alias("y")), "b")
     differ = F.lit(0)
     for c in _SIGN:
@@ -152,8 +150,8 @@ def _alike(pairs: DataFrame, marks: DataFrame, similar: float, deviations: float
         for shift in (4, 2, 1):
             bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
         differ = differ + F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
-    units = F.least(F.col("x")["units"], F.col("y")["units"]).cast("double")
-    return both.where(F.lit(PLACES) - differ >= _least_places(units, similar, deviations, F.exp, F.sqrt)).select("a", "b")
+    filled = F.least(F.col("x")["filled"], F.col("y")["filled"]).cast("double")
+    return both.where(F.lit(PLACES) - differ >= _least_places(filled, similar, deviations, F.sqrt)).select("a", "b")
 
 
 def _common(x: np.ndarray, y: np.ndarray, similar: float) -> bool:
@@ -165,7 +163,7 @@ def _common(x: np.ndarray, y: np.ndarray, similar: float) -> bool:
     return shared >= similar * (len(both) - shared)
 
 
-def cell_links(lh, root, own, within, band, units, keys, sign, texts, shingle: int, similar: float, kind: Kind = LINES) -> list[tuple[int, int]]:
+def cell_links(lh, root, own, within, band, filled, keys, sign, texts, shingle: int, similar: float, kind: Kind = LINES) -> list[tuple[int, int]]:
     """Verified links between the rows of one cell that have different roots, as far as no earlier link joins them.
 
     Pairs that an earlier band brings together as well are left to it.
@@ -187,7 +185,7 @@ def cell_links(lh, root, own, within, band, units, keys, sign, texts, shingle: i
     for i in range(len(lh) - 1):
         k = np.flatnonzero((root[i + 1 :] != root[i]) & (within[i] | (own[i + 1 :] != own[i]))) + i + 1
         same = np.count_nonzero(sign[k] == sign[i], axis=1)
-        k = k[same >= _least_places(np.minimum(units[k], units[i]), similar, kind.deviations, np.exp, np.sqrt)]
+        k = k[same >= _least_places(np.minimum(filled[k], filled[i]), similar, kind.deviations, np.sqrt)]
         k = k[np.argmax(keys[k] == keys[i], axis=1) == band[i]]
         for j in k.tolist():
             x, y = top(int(root[i])), top(int(root[j]))
@@ -212,10 +210,10 @@ def _links_apart(left: DataFrame, marks: DataFrame, lines: DataFrame, firsts: Da
     rows = rows.select("key", "lh", "root", "own", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") == F.col("other")).alias("within"))
     apart = common.settle(left.select(F.col("lh").alias("a"), F.col("lh").alias("b")).distinct(), "apart")
     texts = _texts(apart, lines, firsts)
-    sign = common.settle(marks.join(texts, "lh").select(F.col("lh").alias("w"), "units", *kind.keys, *_SIGN, "line"), "signs")
+    sign = common.settle(marks.join(texts, "lh").select(F.col("lh").alias("w"), "filled", *kind.keys, *_SIGN, "line"), "signs")
     rows = rows.join(sign, F.col("lh") == F.col("w"))
     band = F.array_position(F.array(*kind.keys), F.col("key")).cast("int") - 1
-    rows = rows.select("cell", "lh", "root", "own", "within", band.alias("band"), "units", *kind.keys, *_SIGN, "line")
+    rows = rows.select("cell", "lh", "root", "own", "within", band.alias("band"), "filled", *kind.keys, *_SIGN, "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, plain = None, 7 + kind.bands

@@ -68,3 +68,17 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(lines, "BLOCK", 4)
     got = {(r["doc_id"], r["line_no"], r["kept_doc_id"], r["kept_line_no"]) for r in lines.removed_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert len(got ^ plain(docs)) <= 1
+
+
+def test_repeats_inside_a_line_do_not_count(spark):
+    """Lines with the same shingles, in very different numbers, are found alike."""
+    rng, rows = random.Random(21), []
+    for k, (size, times) in enumerate([(300, 12), (1000, 10), (60, 20), (300, 5)] * 6):
+        unit = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=size))
+        rows += [(2 * k, unit + unit[:8]), (2 * k + 1, unit * times + unit[:8])]
+        assert shingles(rows[-1][1]) == shingles(rows[-2][1])
+    rows += [(100, "=" * 60), (101, "=" * 40000)]
+    one, two = lines.signature_values([t for _, t in rows])[0].reshape(-1, 2, lines.BANDS).transpose(1, 0, 2)
+    assert (one == two).all()
+    got = {(r["doc_id"], r["line_no"], r["kept_doc_id"], r["kept_line_no"]) for r in lines.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain(rows)
