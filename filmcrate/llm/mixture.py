@@ -4,7 +4,8 @@ A source's documents stand in a shuffled order (by a hash of identifier and text
 one stream of words that may be read up to three times over. The mix is a sequence of slots
 of equally many words. Slot k takes the golden-ratio point frac(k * phi); the point's place
 among the cumulated targets names its source, and the slot's rank among those of its source
-names the block of that source's stream it reads. Joining slots with the documents' pieces
+names the block of that source's stream it reads. A source that no point meets has one slot
+after all others. Joining slots with the documents' pieces
 of blocks gives what the mix reads of each document.
 """
 
@@ -22,8 +23,8 @@ from . import common
 WEIGHTS = (5, 2, 1)
 #: A source is read this often at most.
 EPOCHS = 3
-#: Words of a slot at least, and slots of a mix at most (larger mixes have larger slots).
-LEAST_WORDS, MOST_SLOTS = 16, 1 << 20
+#: Words of a slot, whatever the size of the mix: larger slots would pass over small sources.
+SLOT_WORDS = 16
 #: Sources at most: their totals, targets and cumulated weights are kept on the driver.
 MOST_SOURCES = 1_000_000
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -76,7 +77,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int =
     sizes = [r["size"] for r in totals]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
     words, n = sum(sizes), sum(r["n"] for r in totals)
-    block = max(LEAST_WORDS, -(-words // MOST_SLOTS))
+    block = SLOT_WORDS
     slots = round(words / block) if words >= block else min(words, 1)
     edges = np.cumsum(goal) / max(words, 1)
     last = max((i for i, g in enumerate(goal) if g > 0), default=0)
@@ -102,6 +103,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int =
     first = counts.select("src", "part", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     rank = F.row_number().over(Window.partitionBy("src", "part").orderBy("slot")) - 1
     plan = plan.join(first, ["src", "part"]).select("slot", "src", (F.col("first") + rank).alias("block"))
+    missed = known.where("target > 0").join(counts.select("src").distinct(), "src", "left_anti")
+    plan = plan.union(missed.select((F.lit(slots).cast("long") + F.col("src")).alias("slot"), "src", F.lit(0).cast("long").alias("block")))
 
     real = rows.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))))
     real = real.withColumn("at", F.col("start") + F.col("epoch") * F.col("source_size"))

@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from filmcrate.llm import mixture
 
@@ -61,3 +62,13 @@ def test_empty_and_wordless_tables(spark):
     assert mixture.taken_words(spark.createDataFrame([], shape)).count() == 0
     (r,) = mixture.taken_words(spark.createDataFrame([(1, None, None, 1, 1)], shape)).collect()
     assert (r["taken"], r["target"]) == (0, 0.0)
+
+
+def test_small_sources_of_a_large_mix(spark):
+    """Sources of one short document beside 40 million words are taken near their targets: none falls between the slots."""
+    docs = [(0, "a " * 1_000_000, "big")] + [(1 + i, f"s{i} " * n, f"tiny{i}") for i, n in enumerate([4, 9, 20, 40, 90] * 8)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    big = rows.where("doc_id = 0").withColumn("doc_id", F.explode(F.sequence(F.lit(-40).cast("long"), F.lit(-1).cast("long"))))
+    got = mixture.taken_words(big.union(rows.where("doc_id > 0"))).where("doc_id > 0").collect()
+    assert len(got) == 40
+    assert all(0 < r["taken"] <= 3 * r["size"] and abs(r["taken"] - r["target"]) <= 64 for r in got)
