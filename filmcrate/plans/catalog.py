@@ -601,6 +601,14 @@ def _(spark, sf):
     return top.select("id", F.row_number().over(Window.orderBy(depth.desc(), "path")).cast("long").alias("by_depth"))
 
 
+@query("sort_depth_order", "SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey % 4 DESC, o_orderkey) AS by_depth FROM orders")
+def _(spark, sf):
+    """Every row of the order of which ``sort_depth_runs`` has the first hundred."""
+    o = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.repeat(F.lit("/a"), (F.col("o_orderkey") % 4).cast("int")), F.lit("/"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("path"))
+    depth = F.length("path") - F.length(F.replace(F.col("path"), F.lit("/")))
+    return ordering.with_position(o.withColumn("up", -depth), ["up", "path"], "by_depth", 1).select("id", "by_depth")
+
+
 # Binary readers (rows only where SQL has no parser) ---------------------------------------------
 
 
