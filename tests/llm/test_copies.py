@@ -69,3 +69,12 @@ def test_unlike_documents_stay(spark, pairs):
     assert met and len(docs) > 100
     docs += [(10_000 + i, short[i]) for i in {x for p in met for x in p}]
     assert left(spark, docs) == {i for i, _ in docs}
+
+
+def test_repeated_and_missing_identifiers(spark):
+    """Texts under one doc_id, or none, are judged each for itself."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    data = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, d), (None, a), (None, "x y z"), (None, "x y z"), (None, None), (None, " ")]
+    rows = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in data], SHAPE)
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in cp.drop_copies(spark, rows, "").collect()))
+    assert got == sorted([(1, a), (2, b), (3, c), (3, d), (0, "x y z"), (0, ""), (0, " ")])
