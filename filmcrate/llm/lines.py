@@ -1,346 +1,222 @@
-"""Fuzzy line deduplication by MinHash.
-
-A line (trimmed, lower case) is the set of its character shingles, named by 64-bit rolling
-hashes. One-permutation MinHash: a hash's low bits choose one of PLACES places, the least
-hash of each place is the signature; empty places borrow from the next. Lines that agree in
-all ROWS values of a band are candidates. They are checked, where one byte of each place
-agrees often enough, by the exact Jaccard similarity of their shingle sets, links are joined
-to components by distributed union-find, and the first line of each component stays.
-
-Within a band's bucket every line is first checked against two hubs (a line that many
-documents share, and another). Only lines that this leaves in different components are then
-checked against each other, which no longer concerns the lines of a large group of copies.
-
-Signatures and similarities are numpy over Arrow batches, everything else is DataFrame
-functions: in built-in functions alone these two steps exceed the time there is (see README).
+"""Fuzzy line deduplication by MinHash, in DataFrame functions alone.
+
+A line (trimmed, lower case) is the set of its character shingles; a shorter line is one
+shingle. Its signature holds, for each of BANDS * ROWS fixed points, the shingle hash that
+comes nearest to the point by xor: two lines agree in a place with the probability of their
+Jaccard similarity. Lines that agree in all ROWS places of a band share a bucket. There every
+line is checked by exact Jaccard similarity against the bucket's hub (the line that most
+documents share). Lines that this leaves in different components are compared with each
+other in cells of bounded size; only links leave a cell. Links become components by
+distributed union-find, and the first line of each component stays.
+
+Shingles become rows that are aggregated in the same stage (UNROLL of them a row), so that
+hashing and minima stay in generated code. Only lines that share a bucket have their texts
+fetched, and only the links' and the repeated lines' places are looked up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from itertools import chain
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common, flat
+from . import common
 from .components import components
 
-U = np.uint64
 SHINGLE, SIMILAR = 9, 0.8
-BANDS, ROWS, PLACES = 6, 3, 64
-#: Ids that are broadcast at most (16 bytes each); beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
-#: Pairs are checked whose signatures agree in at least the places expected at the wanted similarity, less so many standard deviations.
-DEVIATIONS = 3.3
-#: Lines of one bucket that one task compares at once; larger buckets are dealt out as pairs of blocks.
-BLOCK = 512
-_SPAN = 10**10
-
-
-def _lines(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, th (hash of the text), line_no, at (place of the line in the corpus), lh (hash of the line) and line, of lines with a shingle."""
+BANDS, ROWS = 6, 3
+#: Shingles hashed by one generated row.
+UNROLL = 8
+#: Shingles of a block; a bucket with more is dealt out as pairs of blocks, so that a cell holds two blocks at most.
+BLOCK = 1 << 18
+#: Least shingle hashes of a line that are compared before the whole sets, and how many two lines must share: similar ones share fewer once in 30,000 pairs.
+SKETCH, SHARED = 16, 6
+#: White space that is trimmed; a line of nothing else is blank.
+_BLANK = " \t\x0b\x0c\r"
+
+
+def _point(k: int) -> int:
+    """The k-th of the fixed points, a signed 64-bit number."""
+    x = (k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % (1 << 64)
+    x ^= x >> 31
+    return x - (1 << 64) if x >> 63 else x
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), line_no, lh (hash of the line) and line, of every line that is not blank."""
     rows = common.pick(docs, "doc_id", "text").where("text is not null")
-    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.lower(F.trim("line"))).where(F.length("line") >= shingle)
-    place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit((1 << 63) - 1).cast("decimal(20,0)")) * F.lit(_SPAN).cast("decimal(11,0)") + F.col("line_no")
-    return rows.select("doc_id", "th", "line_no", place.cast("decimal(38,0)").alias("at"), F.xxhash64("line").alias("lh"), "line")
-
-
-def shingle_hashes(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of the lines, one after another, and how many each line has. Lines have ``shingle`` code points at least."""
-    data = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    size = np.array([len(x) for x in lines], dtype=np.int64)
-    sums = flat.prefix(data.astype(np.uint64) + U(1), flat._B)
-    whole = sums[shingle:] - sums[:-shingle]
-    whole *= flat.powers(pow(flat._B, -1, 1 << 64), len(whole))
-    inside = np.ones(len(data), dtype=bool)
-    ends = np.cumsum(size)
-    for k in range(1, shingle):
-        inside[ends - k] = False
-    return flat.mix(whole[inside[: len(whole)]]), size - shingle + 1
-
-
-def signature_values(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band keys (n, BANDS), one byte of each place as int64 (n, PLACES // 8), and numbers of places that a hash fills.
-
-    Only the set of a line's shingles counts, not how often each occurs.
-    """
-    h, units = shingle_hashes(lines, shingle)
-    n, owner = len(lines), np.repeat(np.arange(len(lines)), units)
-    empty = U((1 << 64) - 1)
-    table = np.full(n * PLACES, empty, dtype=np.uint64)
-    np.minimum.at(table, owner * PLACES + (h & U(PLACES - 1)).astype(np.int64), h)
-    table = table.reshape(n, PLACES)
-    filled = np.count_nonzero(table != empty, axis=1)
-    at = np.where(table != empty, np.arange(PLACES), 2 * PLACES)
-    at = np.minimum.accumulate(np.hstack([at, at + PLACES])[:, ::-1], axis=1)[:, ::-1][:, :PLACES]
-    far = (at - np.arange(PLACES)).astype(np.uint64)
-    table = np.take_along_axis(table, at % PLACES, axis=1) + far * U(0x632BE5AB00000141)
-    keys = np.empty((n, BANDS), dtype=np.uint64)
-    for band in range(BANDS):
-        key = np.full(n, band + 1, dtype=np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
-            key = flat.mix(key + table[:, k])
-        keys[:, band] = key
-    byte = ((table >> U(6)) & U(255)).astype(np.uint8)
-    return keys.view(np.int64), np.ascontiguousarray(byte).view(np.int64), filled
-
-
-_SIGN = [f"s{i}" for i in range(PLACES // 8)]
-
-
-@dataclass(frozen=True)
-class Kind:
-    """What is compared: how texts become hashes of shingles and signatures (of PLACES bytes), and how far signatures may fall short."""
-
-    bands: int = BANDS
-    deviations: float = DEVIATIONS
-    hashes: Callable = shingle_hashes
-    values: Callable = signature_values
-
-    @property
-    def keys(self) -> list[str]:
-        return [f"k{i}" for i in range(self.bands)]
-
-
-LINES = Kind()
-
-
-def signatures(lines: DataFrame, shingle: int = SHINGLE, kind: Kind = LINES) -> DataFrame:
-    """lh, k0.. (band keys), s0.. (eight places each) and filled (places that a hash of its own fills) of every different line."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lh = batch.column(0).to_numpy()
-            _, first = np.unique(lh, return_index=True)
-            rows = pa.array(np.sort(first))
-            names, texts = lh[rows.to_numpy()], batch.column(1).take(rows).to_pylist()
-            for lo, hi in flat.chunks(texts):
-                keys, sign, filled = kind.values(texts[lo:hi], shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi]), *map(pa.array, keys.T.copy()), *map(pa.array, sign.T.copy()), pa.array(filled)], names=["lh", *kind.keys, *_SIGN, "filled"])
-
-    columns = [*kind.keys, *_SIGN, "filled"]
-    found = lines.select("lh", "line").mapInArrow(run, ", ".join(f"{c} long" for c in ["lh", *columns]))
-    return found.groupBy("lh").agg(*[F.min(c).alias(c) for c in columns])
-
-
-def _wanted(pairs: DataFrame) -> DataFrame:
-    """The different ids in pairs a, b, as w; broadcast where they are few."""
-    ids = common.settle(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "wanted")
-    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
-
-
-def _least_places(filled, similar: float, deviations: float, sqrt):
-    """Equal places from which a pair is checked whose signature with fewer hashes has ``filled`` places: the fewer, the wider the estimate."""
-    return PLACES * similar - deviations * PLACES * (similar * (1 - similar)) ** 0.5 / sqrt(filled)
-
-
-def _alike(pairs: DataFrame, marks: DataFrame, similar: float, deviations: float) -> DataFrame:
-    """Pairs whose signatures agree as often as those of similar lines all but always do."""
-    pairs = common.settle(pairs, "candidates")
-    sign = common.settle(marks.join(_wanted(pairs), F.col("lh") == F.col("w")).select("lh", F.struct(*_SIGN, "filled").alias("s")), "signs")
-    both = pairs.join(sign.select(F.col("lh").alias("a"), F.col("s").alias("x")), "a").join(sign.select(F.col("lh").alias("b"), F.col("s").alias("y")), "b")
-    differ = F.lit(0)
-    for c in _SIGN:
-        bits = F.col("x")[c].bitwiseXOR(F.col("y")[c])
-        for shift in (4, 2, 1):
-            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
-        differ = differ + F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
-    filled = F.least(F.col("x")["filled"], F.col("y")["filled"]).cast("double")
-    return both.where(F.lit(PLACES) - differ >= _least_places(filled, similar, deviations, F.sqrt)).select("a", "b")
-
-
-def _common(x: np.ndarray, y: np.ndarray, similar: float) -> bool:
-    """Whether two sets (sorted hashes, each once) have a Jaccard similarity of ``similar`` or more."""
-    if min(len(x), len(y)) < similar * max(len(x), len(y)):
-        return False
-    both = np.sort(np.concatenate([x, y]), kind="stable")
-    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-    return shared >= similar * (len(both) - shared)
-
-
-def cell_links(lh, root, own, within, band, filled, keys, sign, texts, shingle: int, similar: float, kind: Kind = LINES) -> list[tuple[int, int]]:
-    """Verified links between the rows of one cell that have different roots, as far as no earlier link joins them.
-
-    Pairs that an earlier band brings together as well are left to it.
+    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
+    rows = rows.withColumn("line", F.trim("line", F.lit(_BLANK))).where("line <> ''")
+    return rows.select("doc_id", "th", "line_no", F.xxhash64("line").alias("lh"), "line")
+
+
+def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """lh, n (how often the line occurs) and k0.. (band keys) of every different line of a table lh, line.
+
+    Shingles are cut from the UTF-8 bytes here, so that each is found without counting
+    characters; an edit touches no larger share of them than of the character shingles.
     """
-    parent: dict[int, int] = {}
-    sets: dict[int, np.ndarray] = {}
-    found = []
-
-    def top(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
-        return x
-
-    def hashes(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = np.unique(kind.hashes([texts[i]], shingle)[0])
-        return sets[i]
-
-    for i in range(len(lh) - 1):
-        k = np.flatnonzero((root[i + 1 :] != root[i]) & (within[i] | (own[i + 1 :] != own[i]))) + i + 1
-        same = np.count_nonzero(sign[k] == sign[i], axis=1)
-        k = k[same >= _least_places(np.minimum(filled[k], filled[i]), similar, kind.deviations, np.sqrt)]
-        k = k[np.argmax(keys[k] == keys[i], axis=1) == band[i]]
-        for j in k.tolist():
-            x, y = top(int(root[i])), top(int(root[j]))
-            if x != y and _common(hashes(i), hashes(j), similar):
-                parent[y] = x
-                found.append((int(lh[i]), int(lh[j])))
-        sets.pop(i, None)
-    return found
-
-
-def _links_apart(left: DataFrame, marks: DataFrame, lines: DataFrame, firsts: DataFrame, shingle: int, similar: float, kind: Kind) -> DataFrame:
-    """Links a, b that join what is similar among rows (key, lh, root) with one key and different roots.
-
-    A bucket's lines are compared in numpy, by signature and then exactly, and only links
-    become rows. Buckets of more than BLOCK lines are dealt out as pairs of blocks, so that no
-    task holds more than two blocks and no pair is left out.
+    rows = lines.select("lh", F.col("line").cast("binary").alias("raw"))
+    rows = rows.withColumn("last", F.greatest(F.octet_length("raw") - (shingle - 1), F.lit(1)))
+    rows = rows.select("lh", "raw", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(UNROLL))).alias("i"))
+    begin = [F.col("i"), *(F.least(F.col("i") + j, F.col("last")) for j in range(1, UNROLL))]
+    rows = rows.select("lh", "i", *[F.xxhash64(F.substring("raw", at, F.lit(shingle))).alias(f"h{j}") for j, at in enumerate(begin)])
+    nearest = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(_point(k))) for j in range(UNROLL)])).alias(f"m{k}") for k in range(BANDS * ROWS)]
+    found = rows.groupBy("lh").agg(F.sum(F.when(F.col("i") == 1, 1).otherwise(0)).alias("n"), *nearest)
+    return found.select("lh", "n", *[F.xxhash64(F.lit(b), *[f"m{k}" for k in range(b * ROWS, (b + 1) * ROWS)]).alias(f"k{b}") for b in range(BANDS)])
+
+
+def shingle_sets(line: Column, shingle: int = SHINGLE) -> Column:
+    """The different character shingles of a line; a line that is shorter is one."""
+    return F.when(F.length(line) < shingle, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit("(?s)(?=(.{%d}))" % shingle), F.lit(1))))
+
+
+def _alike(x: Column, y: Column, similar: float) -> Column:
+    """Whether two sets have a Jaccard similarity of ``similar`` or more."""
+    part, m, n = F.lit(round(similar * 1000)).cast("long"), F.size(x), F.size(y)
+    return (F.least(m, n) * 1000 >= part * F.greatest(m, n)) & (F.size(F.array_intersect(x, y)) * (part + 1000) >= part * (m + n))
+
+
+def _texts(ids: DataFrame, lines: DataFrame) -> DataFrame:
+    """lh and line of every line among ``ids`` (lh)."""
+    few = common.maybe_in(lines.select("lh", "line"), "lh", ids).dropDuplicates(["lh"])
+    return common.settle(few.join(ids, "lh", "left_semi"), "texts")
+
+
+def hub_links(met: DataFrame, lines: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """Links a, b between lines and the hubs of their buckets. ``met``: key, lh, hub."""
+    pairs = common.settle(met.where("lh <> hub").select(F.least("lh", "hub").alias("a"), F.greatest("lh", "hub").alias("b")).distinct(), "pairs")
+    texts = _texts(common.settle(pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct(), "wanted"), lines)
+    both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lh").alias("b"), F.col("line").alias("y")), "b")
+    sets = F.array(F.struct(shingle_sets(F.col("x"), shingle).alias("x"), shingle_sets(F.col("y"), shingle).alias("y")))
+    # as an array's element the sets are made once, however often the test names them
+    return common.settle(both.where(F.exists(sets, lambda s: _alike(s["x"], s["y"], similar))).select("a", "b"), "links")
+
+
+def cell_links(cells: DataFrame, similar: float) -> DataFrame:
+    """Links a, b found inside cells (column ``rows``: structs lh, root, own, earlier, low, s; column ``within``): for each line at most one, to a line of another root.
+
+    ``earlier`` are the line's keys in the bands before the cell's: a pair that meets there is left to that band.
     """
-    sizes = common.settle(left.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select(F.col("key").alias("k"), F.ceil(F.col("m") / (BLOCK / 2)).cast("int").alias("blocks")), "large")
-    rows = left.join(sizes, F.col("key") == F.col("k"), "left").select("key", "lh", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("lh", F.lit(7)), F.col("blocks")).cast("int"))
-    rows = rows.select("key", "lh", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", "lh", "root", "own", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") == F.col("other")).alias("within"))
-    apart = common.settle(left.select(F.col("lh").alias("a"), F.col("lh").alias("b")).distinct(), "apart")
-    texts = _texts(apart, lines, firsts)
-    sign = common.settle(marks.join(texts, "lh").select(F.col("lh").alias("w"), "filled", *kind.keys, *_SIGN, "line"), "signs")
-    rows = rows.join(sign, F.col("lh") == F.col("w"))
-    band = F.array_position(F.array(*kind.keys), F.col("key")).cast("int") - 1
-    rows = rows.select("cell", "lh", "root", "own", "within", band.alias("band"), "filled", *kind.keys, *_SIGN, "line")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, plain = None, 7 + kind.bands
-        for batch in chain(batches, [None]):
-            rows = None
-            if batch is not None:
-                rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-                rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)] if rest is not None else rows
-            elif rest is not None:
-                rows = rest
-            if rows is None or not len(rows[0]):
-                continue
-            edge = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
-            cuts = [0, *edge.tolist()] + [len(rows[0])] * (batch is None)
-            rest = [r[cuts[-1] :] for r in rows]
-            keys, sign = np.column_stack(rows[7:plain]), np.column_stack(rows[plain:-1]).view(np.uint8)
-            found = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi - lo > 1:
-                    found += cell_links(*(r[lo:hi] for r in rows[1:7]), keys[lo:hi], sign[lo:hi], rows[-1][lo:hi], shingle, similar, kind)
-            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
-
-    return common.settle(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct(), "cross")
-
-
-def _texts(pairs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """lh and line of every line in pairs a, b."""
-    ids = common.settle(_wanted(pairs).join(firsts.select("lh", "at"), F.col("w") == F.col("lh")).select("w", F.col("at").alias("first")), "places")
-    ids = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
-    texts = lines.select("lh", "at", "line").join(ids, (F.col("lh") == F.col("w")) & (F.col("at") == F.col("first"))).select("lh", "line").dropDuplicates(["lh"])
-    return common.settle(texts, "texts")
-
-
-def _pair_chunks(left: list[str], right: list[str]) -> Iterator[tuple[int, int]]:
-    yield from flat.chunks([a if len(a) > len(b) else b for a, b in zip(left, right, strict=True)])
-
-
-def _similar(pairs: DataFrame, lines: DataFrame, firsts: DataFrame, shingle: int, similar: float, kind: Kind) -> DataFrame:
-    """Those of the pairs a, b whose lines' shingle sets have a Jaccard similarity of ``similar`` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, left, right = (c.to_pylist() for c in batch.columns)
-            keep = np.zeros(len(a), dtype=bool)
-            for lo, hi in _pair_chunks(left, right):
-                texts = dict(zip([*a[lo:hi], *b[lo:hi]], [*left[lo:hi], *right[lo:hi]], strict=True))
-                h, units = kind.hashes(list(texts.values()), shingle)
-                sets = dict(zip(texts, map(np.unique, np.split(h, np.cumsum(units)[:-1])), strict=True))
-                for i in range(lo, hi):
-                    keep[i] = _common(sets[a[i]], sets[b[i]], similar)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    texts = _texts(pairs, lines, firsts)
-    both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("left")), "a").join(texts.select(F.col("lh").alias("b"), F.col("line").alias("right")), "b")
-    return common.settle(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"), "similar")
-
-
-def line_classes(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, th, line_no, at, kept_at of every line that takes part; ``kept_at`` is the place of its component's first line.
-
-    Places order lines by doc_id (null last), then line number. Lines with fewer than
-    ``shingle`` characters have no shingle and take no part.
+
+    def partner(x: Column, y: Column, within: Column) -> Column:
+        apart = (y["lh"] < x["lh"]) & (y["root"] != x["root"]) & (within | (y["own"] != x["own"]))
+        fresh = ~F.arrays_overlap(x["earlier"], y["earlier"])
+        enough = F.size(F.array_intersect(x["low"], y["low"])) >= F.least(F.lit(SHARED), F.ceil(F.size(x["low"]) / 2), F.ceil(F.size(y["low"]) / 2))
+        return F.when(apart, F.when(fresh, F.when(enough, _alike(x["s"], y["s"], similar)).otherwise(False)).otherwise(False)).otherwise(False)
+
+    rows = F.col("rows")
+    found = F.transform(rows, lambda x: F.transform(F.slice(F.filter(rows, lambda y: partner(x, y, F.col("within"))), 1, 1), lambda y: F.struct(y["lh"].alias("a"), x["lh"].alias("b"))))
+    return cells.select(F.explode(F.flatten(found)).alias("l")).select("l.a", "l.b").distinct()
+
+
+def apart_links(left: DataFrame, marks: DataFrame, lines: DataFrame, shingle: int, similar: float) -> DataFrame | None:
+    """Links a, b between lines (key, lh, root) of one key and different roots, enough to join all that are similar; None if there are none.
+
+    Buckets of more than BLOCK shingles are dealt out as pairs of blocks. A round finds one
+    partner for each line; rounds go on, over buckets that still hold different roots, until
+    one finds nothing.
     """
-    return classes(_lines(docs, shingle), shingle, similar, LINES)
-
-
-def classes(lines: DataFrame, shingle: int, similar: float, kind: Kind) -> DataFrame:
-    """``line_classes`` of a table doc_id, th, line_no, at, lh, line."""
-    thin = common.settle(lines.drop("line"), "lines")
-    firsts = common.settle(thin.groupBy("lh").agg(F.min("at").alias("at"), F.count("*").alias("n")), "firsts")
-    marks = common.settle(signatures(lines, shingle, kind), "marks")
-    many = common.settle(firsts.where("n > 1").select(F.col("lh").alias("l"), "n"), "many")
-    bands = marks.select("lh", F.explode(F.array(*kind.keys)).alias("key"))
-    bands = common.settle(bands.join(many, F.col("lh") == F.col("l"), "left").select("key", "lh", F.coalesce("n", F.lit(1)).alias("n")), "bands")
-    shared = lambda least: F.min(F.when(F.col("n") >= least, F.col("lh")))
-    hubs = bands.groupBy("key").agg(F.count("*").alias("size"), F.coalesce(shared(256), shared(16), shared(4), shared(2), F.min("lh")).alias("hub"), F.max("lh").alias("hub2"))
-    hubs = common.settle(hubs.where("size > 1").drop("size"), "hubs")
-    met = common.settle(bands.select("key", "lh").join(hubs, "key"), "met")
-    first = met.select("lh", F.explode(F.array("hub", "hub2")).alias("hub")).where("lh <> hub").select(F.least("lh", "hub").alias("a"), F.greatest("lh", "hub").alias("b")).distinct()
-    links = _similar(common.settle(_alike(first, marks, similar, kind.deviations), "pairs"), lines, firsts, shingle, similar, kind)
+    ids = common.settle(left.select("lh").distinct(), "apart")
+    sets = _texts(ids, lines).select("lh", F.array_sort(F.transform(shingle_sets(F.col("line"), shingle), lambda x: F.xxhash64(x))).alias("s"))
+    sets = sets.join(common.maybe_in(marks, "lh", ids).select(F.col("lh").alias("w"), F.array(*[f"k{b}" for b in range(BANDS)]).alias("keys")), F.col("lh") == F.col("w"))
+    sets = common.settle(sets.select("lh", "keys", F.slice("s", 1, SKETCH).alias("low"), "s"), "sets")
+    rows = common.settle(left.join(sets.select(F.col("lh").alias("w"), F.size("s").alias("units")), F.col("lh") == F.col("w")).select("key", "lh", "root", "units"), "members")
+    links = None
+    while True:
+        sizes = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("units").alias("units"))
+        sizes = common.settle(sizes.where("low < high").select(F.col("key").alias("k"), F.ceil(F.col("units") / BLOCK).cast("int").alias("blocks")), "buckets")
+        cut = rows.join(sizes, F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("lh", F.lit(7)), F.col("blocks")).cast("int"))
+        cut = cut.select("key", "lh", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "lh", "root", "own")
+        full = cut.join(sets.withColumnRenamed("lh", "w"), F.col("lh") == F.col("w"))
+        earlier = F.slice("keys", F.lit(1), F.greatest(F.array_position("keys", F.col("key")).cast("int") - 1, F.lit(0)))
+        cells = full.groupBy("key", "i", "j").agg(F.collect_list(F.struct("lh", "root", "own", earlier.alias("earlier"), "low", "s")).alias("rows"))
+        new = common.settle(cell_links(cells.select("rows", (F.col("i") == F.col("j")).alias("within")), similar), "cross")
+        if not new.head(1):
+            return links
+        links = new if links is None else links.union(new)
+        ends = new.join(rows.select(F.col("lh").alias("a"), F.col("root").alias("p")).distinct(), "a").join(rows.select(F.col("lh").alias("b"), F.col("root").alias("q")).distinct(), "b")
+        merged = common.settle(components(ends.select(F.col("p").alias("a"), F.col("q").alias("b"))), "merged").withColumnRenamed("root", "to")
+        rows = common.settle(rows.join(merged, F.col("root") == F.col("node"), "left").select("key", "lh", F.coalesce("to", "root").alias("root"), "units"), "members")
+
+
+def line_roots(lines: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """lh and root of every line that occurs more than once or is like another; lines of one component share a root."""
+    marks = common.settle(signatures(lines, shingle), "marks")
+    bands = marks.select("lh", "n", F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = common.settle(bands.join(shared, "key").select("key", "lh", "n", "size"), "met")
+    hubs = met.groupBy("key").agg(F.min(F.struct(-F.col("n"), "lh")).alias("first")).select("key", F.col("first.lh").alias("hub"))
+    met = common.settle(met.join(hubs, "key").select("key", "lh", "hub", "size"), "hubs")
+    links = hub_links(met, lines, shingle, similar)
     roots = common.settle(components(links), "roots")
-
-    named = met.join(roots, F.col("lh") == F.col("node"), "left").select("key", "lh", "hub", "hub2", F.coalesce("root", "lh").alias("root"))
-    named = common.settle(named, "named")
-    split = common.settle(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "split")
-    left = common.settle(named.join(split, "key", "left_semi").where("lh <> hub and lh <> hub2").select("key", "lh", "root"), "apart")
-    cross = _links_apart(left, marks, lines, firsts, shingle, similar, kind)
-    if cross.head(1):
-        links = links.union(cross)
-        roots = common.settle(components(links), "roots")
-    placed = firsts.join(roots, F.col("lh") == F.col("node"), "left").select("lh", "at", F.coalesce("root", "lh").alias("root"))
-    placed = common.settle(placed, "placed")
-    least = common.settle(placed.groupBy("root").agg(F.min("at").alias("kept_at")), "least")
-    kept = placed.join(least, "root").select(F.col("lh").alias("l"), "kept_at")
-    kept = common.settle(kept, "kept")
-    return thin.join(kept, F.col("lh") == F.col("l")).select("doc_id", "th", "line_no", "at", "kept_at")
+    rest = met.where("size > 2 and lh <> hub").join(roots, F.col("lh") == F.col("node"), "left").select("key", "lh", F.coalesce("root", "lh").alias("root"))
+    rest = common.settle(rest, "rest")
+    split = common.settle(rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "split")
+    left = common.settle(rest.join(split, "key", "left_semi"), "left")
+    cross = apart_links(left, marks, lines, shingle, similar) if left.head(1) else None
+    if cross is not None:
+        roots = common.settle(components(links.union(cross)), "roots")
+    many = marks.where("n > 1").select(F.col("lh").alias("m"))
+    return common.settle(many.join(roots, F.col("m") == F.col("node"), "full").select(F.coalesce("m", "node").alias("lh"), F.coalesce("root", "m").alias("root")), "named")
 
 
 def removed_lines(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, th, line_no of every line that goes, with kept_doc_id and kept_line_no, the line it repeats."""
-    gone = line_classes(docs, shingle, similar).where("at <> kept_at")
-    doc = F.floor(F.col("kept_at") / F.lit(_SPAN).cast("decimal(11,0)")).cast("decimal(20,0)")
-    gone = gone.select("doc_id", "th", "line_no", doc.alias("d"), (F.col("kept_at") % F.lit(_SPAN).cast("decimal(11,0)")).cast("int").alias("kept_line_no"))
-    return gone.select("doc_id", "th", "line_no", F.when(F.col("d") < F.lit((1 << 63) - 1).cast("decimal(20,0)"), F.col("d").cast("long")).alias("kept_doc_id"), "kept_line_no")
+    """doc_id, th (hash of the text), line_no of every line that goes, with kept_doc_id and kept_line_no, the line it repeats.
+
+    Lines are ordered by doc_id (null last), then hash of the text, then line number; the first of
+    a component stays. Any doc_id is allowed; texts that share one are told apart. Rows that
+    repeat doc_id and text count once. Null texts and blank lines have no part in it, lines
+    shorter than a shingle only as exact repeats. Long lines are compared whole. An empty table
+    gives an empty one; columns besides doc_id and text are not read.
+    """
+    with common.passing(docs.sparkSession):
+        lines = common.settle(line_table(docs), "lines")
+        named = line_roots(lines, shingle, similar)
+        place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th", "line_no").alias("at")
+        rows = common.settle(lines.select("lh", place).join(named, "lh").select("root", "at"), "places")
+        least = common.settle(rows.groupBy("root").agg(F.min("at").alias("kept")), "least")
+        gone = rows.join(least, "root").where(F.col("at") != F.col("kept"))
+        gone = gone.select("at.doc_id", "at.th", "at.line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")).distinct()
+        return common.settle(gone, "removed", stays=True)
+
+
+def _with_gone(docs: DataFrame, gone: DataFrame, *values: Column) -> tuple[DataFrame, Column, Column]:
+    """``docs`` with columns c0, c1 .. in place of its names and what is aggregated of ``gone`` for each doc_id and text; then its doc_id and text."""
+    at, text = docs.columns.index("doc_id"), docs.columns.index("text")
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("_th", F.xxhash64(f"c{text}"))
+    found = gone.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(*values)
+    rows = rows.join(found, rows[f"c{at}"].eqNullSafe(found["_d"]) & (rows["_th"] == found["_t"]), "left")
+    return rows, F.col(f"c{at}"), F.col(f"c{text}")
 
 
 def dedup_lines(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """``docs`` with the texts that are left when every line that repeats an earlier one, exactly or nearly, is taken out.
 
-    Order: doc_id (null last), then line number. Null and empty texts stay as they are; a text all of
-    whose lines go becomes empty; blank lines and lines shorter than a shingle stay. Lines of any length
-    are compared whole. Rows that repeat doc_id and text count as one document and stay alike. An empty
-    table gives an empty one; other columns are passed through.
+    See ``removed_lines`` for the order and for what counts as a repeat. Null and empty texts
+    stay as they are; a text all of whose lines go becomes empty; blank lines stay. Rows that
+    repeat doc_id and text stay alike. An empty table gives an empty one; other columns, of
+    whatever names, are passed through.
     """
-    gone = removed_lines(docs, shingle, similar).distinct().groupBy("doc_id", "th").agg(F.collect_list("line_no").alias("_gone"))
-    gone = common.settle(gone.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "_gone"), "gone")
-    rows = docs.withColumn("_th", F.xxhash64("text"))
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_d"]) & (rows["_th"] == gone["_t"]), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
-    return rows.withColumn("text", text).select(*docs.columns)
+    rows, _, text = _with_gone(docs, removed_lines(docs, shingle, similar), F.collect_list("line_no").alias("_gone"))
+    rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    new = F.when(F.col("_gone").isNull(), text).otherwise(rest)
+    return rows.select(*[new if n == "text" and i == docs.columns.index("text") else F.col(f"c{i}") for i, n in enumerate(docs.columns)]).toDF(*docs.columns)
 
 
 def op10_minhash_lines(spark, sf_dir: str) -> DataFrame:
-    """Per document: lines, lines that go, and which they are (line number, then document and line that stays)."""
+    """Per row of ``documents``: doc_id, n_lines, n_removed, and ``removed``: line number, then document and line that stays.
+
+    A null text has no lines, an empty one has one. Rows that repeat doc_id and text have the
+    same lists; of a line that several documents share, or that one repeats, the first
+    occurrence stays. A null doc_id is written as nothing. An empty table gives an empty one.
+    See ``removed_lines`` for the rest.
+    """
     docs = common.pick(common.read(spark, sf_dir, "documents"), "doc_id", "text")
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "kept_doc_id", "kept_line_no"))), lambda x: F.concat_ws(":", x["line_no"], x["kept_doc_id"], x["kept_line_no"])), ",").alias("list"))
-    rows = docs.select("doc_id", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long").alias("n_lines"))
-    out = rows.join(gone.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left")
-    return out.select("doc_id", "n_lines", F.coalesce("n", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("list", F.lit("")).alias("removed"))
+    line = F.struct("line_no", "kept_doc_id", "kept_line_no")
+    each = F.transform(F.array_sort(F.collect_list(line)), lambda x: F.concat(x["line_no"].cast("string"), F.lit(":"), F.coalesce(x["kept_doc_id"].cast("string"), F.lit("")), F.lit(":"), x["kept_line_no"].cast("string")))
+    out, doc_id, text = _with_gone(docs, removed_lines(docs), F.count("*").alias("n"), F.array_join(each, ",").alias("list"))
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1, F.lit(0)).cast("long")
+    return out.select(doc_id.alias("doc_id"), n_lines.alias("n_lines"), F.coalesce("n", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("list", F.lit("")).alias("removed"))
