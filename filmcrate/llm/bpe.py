@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from . import common, flat
 
-#: Words remembered by a task, at most; then it starts afresh.
-REMEMBER = 100_000
+#: Bytes of words, ids and strings remembered by a task, at most; then it starts afresh.
+REMEMBER = 24 << 20
 _NONE = np.int64(1 << 62)
 
 
@@ -33,10 +33,12 @@ def _byte_symbols() -> list[str]:
 
 
 class Coder:
-    """Reads a BPE file of the tokenizers library whose words end in a suffix symbol."""
+    """Reads a BPE file of the tokenizers library whose words end in a suffix symbol. ``strings``: words' ids and names are also remembered as text, for ``digests``."""
 
-    def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+    def __init__(self, path: str, strings: bool = False):
+        self.strings = strings
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         symbols = _byte_symbols()
         self.first = np.array([vocab[s] for s in symbols], dtype=np.int64)
@@ -57,10 +59,11 @@ class Coder:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.count = np.zeros(0, dtype=np.int64)
-        self.parts: list[np.ndarray] = []
+        self.count, self.start = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=np.int32)
         self.written: list[str] = []
         self.spoken: list[str] = []
+        self.held = 0
 
     def split(self, text: str) -> list[str]:
         """Words of a text after normalisation, special tokens as they stand."""
@@ -75,14 +78,21 @@ class Coder:
         new = [w for w in words if w not in self.at]
         if not new:
             return
-        for w, ids in zip(new, self.merge(new), strict=True):
-            self.at[w] = len(self.parts)
-            self.parts.append(ids)
-            self.written.append(" ".join(map(str, ids)))
-            self.spoken.append(" ".join(map(self.name.__getitem__, ids)))
-        self.count = np.concatenate([self.count, [len(x) for x in self.parts[len(self.count) :]]]).astype(np.int64)
-
-    def merge(self, words: list[str]) -> list[list[int]]:
+        ids, count = self.merge(new)
+        start = len(self.ids) + np.cumsum(count) - count
+        self.at.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
+        self.ids, self.count, self.start = np.append(self.ids, ids), np.append(self.count, count), np.append(self.start, start)
+        self.held += 4 * len(ids) + sum(map(len, new)) + 150 * len(new)
+        if self.strings:
+            ends = np.cumsum(count).tolist()
+            for lo, hi in zip([0, *ends], ends, strict=False):
+                part = ids[lo:hi].tolist()
+                self.written.append(" ".join(map(str, part)))
+                self.spoken.append(" ".join(map(self.name.__getitem__, part)))
+                self.held += len(self.written[-1]) + len(self.spoken[-1]) + 100
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after another, and how many each has."""
         raw = [w.encode("utf-8") for w in words]
         size = np.array([len(x) for x in raw], dtype=np.int64)
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -90,9 +100,10 @@ class Coder:
         ids = self.first[data]
         ids[ends] = self.final[data[ends]]
         word = np.repeat(np.arange(len(words)), size)
-        done: list[list[int]] = [[self.special[w]] if w in self.special else [] for w in words]
-        if self.special:
-            keep = ~np.isin(word, [i for i, d in enumerate(done) if d])
+        marked = np.array([i for i, w in enumerate(words) if w in self.special], dtype=np.int64)
+        done = [(marked, np.array([self.special[words[i]] for i in marked], dtype=np.int64))]
+        if len(marked):
+            keep = ~np.isin(word, marked)
             ids, word = ids[keep], word[keep]
         while len(ids):
             rank = np.full(len(ids), _NONE)  # of the pair that begins at each place
@@ -104,31 +115,42 @@ class Coder:
             best = np.minimum.reduceat(rank, starts)
             ended = best == _NONE
             size = np.diff(np.append(starts, len(ids)))
-            for i in np.flatnonzero(ended):
-                done[word[starts[i]]] = ids[starts[i] : starts[i] + size[i]].tolist()
-            chosen = (rank == np.repeat(best, size)) & np.repeat(~ended, size)
+            over = np.repeat(ended, size)
+            done.append((word[over], ids[over]))
+            chosen = (rank == np.repeat(best, size)) & ~over
             where = np.flatnonzero(chosen)
             if len(where):  # of a run of overlapping places every second one stays, from the left
                 run = np.concatenate([[True], np.diff(where) != 1])
                 begin = where[np.maximum.accumulate(np.where(run, np.arange(len(where)), 0))]
                 where = where[(where - begin) % 2 == 0]
                 ids[where] = self.made[rank[where]]
-            stay = np.repeat(~ended, size)
+            stay = ~over
             stay[where + 1] = False
             ids, word = ids[stay], word[stay]
-        return done
+        word, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        return ids[np.argsort(word, kind="stable")].astype(np.int32), np.bincount(word, minlength=len(words))
 
     def known(self, texts: list[str]) -> list[list[int]]:
         """Place of every word of every text in the memory, after learning new ones."""
-        if len(self.at) > REMEMBER:
+        if self.held > REMEMBER:
             self.forget()
         split = [self.split(t) for t in texts]
         self.learn({w for ws in split for w in ws})
         at = self.at
         return [[at[w] for w in ws] for ws in split]
 
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and the place where each text's begin, with the end."""
+        known = self.known(texts)
+        words = np.concatenate([np.zeros(0, dtype=np.int64), *(np.array(ws, dtype=np.int64) for ws in known)])
+        count = self.count[words]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.start[words] - ends[:-1], count)]
+        return ids, ends[np.concatenate([[0], np.cumsum([len(ws) for ws in known], dtype=np.int64)])]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[i for w in ws for i in self.parts[w]] for ws in self.known(texts)]
+        ids, ends = self.encode_flat(texts)
+        return [ids[lo:hi].tolist() for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """As the library without a decoder: names of the tokens, a space between."""
@@ -171,11 +193,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(path or vocabulary())
-        for batch in batches:
+
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part, texts in _each_chunk(batch, len(keep)):
-                ids = pa.array(coder.encode(texts), pa.list_(pa.int32()))
-                count = pa.array([len(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], count, ids], names=[*keep, "n_tokens", "ids"])
+                ids, ends = coder.encode_flat(texts)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(np.diff(ends), pa.int64()), lists], names=[*keep, "n_tokens", "ids"])
+
+        return common.by_batch(work)(batches)
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)])
     return source.mapInArrow(run, f"{shape}, n_tokens long, ids array<int>")
@@ -194,15 +219,23 @@ def decode_documents(coded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op8_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
-    """Counts and digests of ids and decoded texts of all ``documents``."""
+    """Counts and digests of ids and decoded texts of all ``documents``.
+
+    Null texts count as empty; empty texts and texts of white space have no tokens and the
+    digest of the empty string. Texts of any length are encoded whole; repeated rows and null
+    doc_ids are rows like any other; an empty table gives an empty one; other columns are not read.
+    """
     path = vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path)
-        for batch in batches:
+        coder = Coder(path, strings=True)
+
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for part, texts in _each_chunk(batch, 1):
                 n, ids, back = zip(*coder.digests(texts), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+        return common.by_batch(work)(batches)
+
     docs = common.pick(common.read(spark, sf_dir, "documents"), "doc_id", "text")
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -28,15 +28,15 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and root (the least node of its component) of every node in ``links`` (columns a, b).
 
-    Large and small stars alternate until nothing changes, about log(n) rounds; every round
+    Large and small stars alternate until only stars are left, about log(n) rounds; every round
     is written to the shared scratch place. Self-links, repeated links, either direction and
     rows with a null are allowed; nodes that have only self-links get no row.
     """
     rows = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    rows, state = common.settle(rows, "links"), None
+    rows = common.settle(rows, "links")
     while True:
-        mark = rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == state or not mark[0]:
+        # a star's leaves have one link, to its root, which is no leaf
+        ends = rows.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("leaf")), F.struct(F.col("b").alias("node"), F.lit(1).alias("leaf")))).alias("e")).select("e.*")
+        if not ends.groupBy("node").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("least")).where("n > 1 or n = 1 and least = 0").head(1):
             return rows.select(F.col("b").alias("node"), F.col("a").alias("root")).union(rows.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        state = mark
         rows = _star(_star(rows, True), False)

@@ -16,6 +16,8 @@ fetched, and only the links' and the repeated lines' places are looked up.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ UNROLL = 8
 BLOCK = 1 << 18
 #: Least shingle hashes of a line that are compared before the whole sets, and how many two lines must share: similar ones share fewer once in 30,000 pairs.
 SKETCH, SHARED = 16, 6
+#: Links that a round gives for one line at most; further ones are found by the next round, if they still lead to another component.
+PARTNERS = 8
 #: White space that is trimmed; a line of nothing else is blank.
 _BLANK = " \t\x0b\x0c\r"
 
@@ -47,7 +51,9 @@ def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), line_no, lh (hash of the line) and line, of every line that is not blank."""
     rows = common.pick(docs, "doc_id", "text").where("text is not null")
     rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.trim("line", F.lit(_BLANK))).where("line <> ''")
+    odd = reduce(Column.__or__, [end("line", F.lit(c)) for c in _BLANK for end in (F.startswith, F.endswith)])
+    # cutting other characters than the space walks the whole line, so only lines that need it are cut
+    rows = rows.withColumn("line", F.when(odd, F.trim("line", F.lit(_BLANK))).otherwise(F.col("line"))).where("line <> ''")
     return rows.select("doc_id", "th", "line_no", F.xxhash64("line").alias("lh"), "line")
 
 
@@ -67,15 +73,17 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return found.select("lh", "n", *[F.xxhash64(F.lit(b), *[f"m{k}" for k in range(b * ROWS, (b + 1) * ROWS)]).alias(f"k{b}") for b in range(BANDS)])
 
 
-def shingle_sets(line: Column, shingle: int = SHINGLE) -> Column:
-    """The different character shingles of a line; a line that is shorter is one."""
-    return F.when(F.length(line) < shingle, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit("(?s)(?=(.{%d}))" % shingle), F.lit(1))))
+def shingle_rows(lines: DataFrame, shingle: int, *keep: str) -> DataFrame:
+    """The ``keep`` columns with h, the hash of a shingle of ``line``, for every place of the line; a line that is shorter is one shingle."""
+    rows = lines.select(*keep, F.encode("line", "UTF-32").alias("raw"))
+    rows = rows.select(*keep, "raw", F.explode(F.sequence(F.lit(1), F.greatest(F.octet_length("raw") - 4 * (shingle - 1), F.lit(1)), F.lit(4))).alias("i"))
+    return rows.select(*keep, F.xxhash64(F.substring("raw", F.col("i"), F.lit(4 * shingle))).alias("h"))
 
 
-def _alike(x: Column, y: Column, similar: float) -> Column:
-    """Whether two sets have a Jaccard similarity of ``similar`` or more."""
-    part, m, n = F.lit(round(similar * 1000)).cast("long"), F.size(x), F.size(y)
-    return (F.least(m, n) * 1000 >= part * F.greatest(m, n)) & (F.size(F.array_intersect(x, y)) * (part + 1000) >= part * (m + n))
+def _enough(both: Column, m: Column, n: Column, similar: float) -> Column:
+    """Whether sets of m and n elements that share ``both`` have a Jaccard similarity of ``similar`` (to a thousandth) or more."""
+    part = F.lit(round(similar * 1000)).cast("long")
+    return both * (part + 1000) >= part * (m + n)
 
 
 def _texts(ids: DataFrame, lines: DataFrame) -> DataFrame:
@@ -89,37 +97,43 @@ def hub_links(met: DataFrame, lines: DataFrame, shingle: int, similar: float) ->
     pairs = common.settle(met.where("lh <> hub").select(F.least("lh", "hub").alias("a"), F.greatest("lh", "hub").alias("b")).distinct(), "pairs")
     texts = _texts(common.settle(pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct(), "wanted"), lines)
     both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lh").alias("b"), F.col("line").alias("y")), "b")
-    sets = F.array(F.struct(shingle_sets(F.col("x"), shingle).alias("x"), shingle_sets(F.col("y"), shingle).alias("y")))
-    # as an array's element the sets are made once, however often the test names them
-    return common.settle(both.where(F.exists(sets, lambda s: _alike(s["x"], s["y"], similar))).select("a", "b"), "links")
+    sides = F.array(F.struct(F.lit(1).alias("side"), F.col("x").alias("line")), F.struct(F.lit(2).alias("side"), F.col("y").alias("line")))
+    sides = both.repartition("a", "b").select("a", "b", F.explode(sides).alias("s")).select("a", "b", "s.side", "s.line")
+    # a pair's rows are in one partition already: neither aggregation moves them
+    held = shingle_rows(sides, shingle, "a", "b", "side").groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
+    sums = held.groupBy("a", "b").agg(*[F.count_if(F.col("sides").bitwiseAND(F.lit(k)) == k).alias(name) for name, k in (("m", 1), ("n", 2), ("both", 3))])
+    return common.settle(sums.where(_enough(F.col("both"), F.col("m"), F.col("n"), similar)).select("a", "b"), "links")
 
 
 def cell_links(cells: DataFrame, similar: float) -> DataFrame:
-    """Links a, b found inside cells (column ``rows``: structs lh, root, own, earlier, low, s; column ``within``): for each line at most one, to a line of another root.
+    """Links found inside cells (column ``rows``: structs lh, root, own, earlier, low, s; column ``within``).
 
-    ``earlier`` are the line's keys in the bands before the cell's: a pair that meets there is left to that band.
+    a, partners: for each line the first PARTNERS lines of other roots that it is like; and more,
+    whether it has further ones. ``earlier`` are the line's keys in the bands before the
+    cell's: a pair that meets there is left to that band.
     """
 
     def partner(x: Column, y: Column, within: Column) -> Column:
         apart = (y["lh"] < x["lh"]) & (y["root"] != x["root"]) & (within | (y["own"] != x["own"]))
-        fresh = ~F.arrays_overlap(x["earlier"], y["earlier"])
-        enough = F.size(F.array_intersect(x["low"], y["low"])) >= F.least(F.lit(SHARED), F.ceil(F.size(x["low"]) / 2), F.ceil(F.size(y["low"]) / 2))
-        return F.when(apart, F.when(fresh, F.when(enough, _alike(x["s"], y["s"], similar)).otherwise(False)).otherwise(False)).otherwise(False)
+        m, n = F.size(x["s"]), F.size(y["s"])
+        near = F.size(F.array_intersect(x["low"], y["low"])) >= F.least(F.lit(SHARED), F.ceil(F.size(x["low"]) / 2), F.ceil(F.size(y["low"]) / 2))
+        tests = [~F.arrays_overlap(x["earlier"], y["earlier"]), near, _enough(F.least(m, n), m, n, similar), _enough(F.size(F.array_intersect(x["s"], y["s"])), m, n, similar)]
+        return reduce(lambda rest, test: F.when(test, rest).otherwise(False), reversed([apart, *tests]), F.lit(True))
 
     rows = F.col("rows")
-    found = F.transform(rows, lambda x: F.transform(F.slice(F.filter(rows, lambda y: partner(x, y, F.col("within"))), 1, 1), lambda y: F.struct(y["lh"].alias("a"), x["lh"].alias("b"))))
-    return cells.select(F.explode(F.flatten(found)).alias("l")).select("l.a", "l.b").distinct()
+    found = F.transform(rows, lambda x: F.struct(x["lh"].alias("a"), F.transform(F.filter(rows, lambda y: partner(x, y, F.col("within"))), lambda y: y["lh"]).alias("partners")))
+    found = cells.select(F.explode(F.filter(found, lambda x: F.size(x["partners"]) > 0)).alias("l"))
+    return found.select("l.a", F.slice("l.partners", 1, PARTNERS).alias("partners"), (F.size("l.partners") > PARTNERS).alias("more"))
 
 
-def apart_links(left: DataFrame, marks: DataFrame, lines: DataFrame, shingle: int, similar: float) -> DataFrame | None:
-    """Links a, b between lines (key, lh, root) of one key and different roots, enough to join all that are similar; None if there are none.
+def apart_links(left: DataFrame, marks: DataFrame, lines: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """Links a, b between lines (key, lh, root) of one key and different roots, enough to join all that are similar.
 
-    Buckets of more than BLOCK shingles are dealt out as pairs of blocks. A round finds one
-    partner for each line; rounds go on, over buckets that still hold different roots, until
-    one finds nothing.
+    Buckets of more than BLOCK shingles are dealt out as pairs of blocks. Where a line has
+    more partners than one round gives, another round looks among those that are still apart.
     """
     ids = common.settle(left.select("lh").distinct(), "apart")
-    sets = _texts(ids, lines).select("lh", F.array_sort(F.transform(shingle_sets(F.col("line"), shingle), lambda x: F.xxhash64(x))).alias("s"))
+    sets = shingle_rows(_texts(ids, lines), shingle, "lh").groupBy("lh").agg(F.sort_array(F.collect_set("h")).alias("s"))
     sets = sets.join(common.maybe_in(marks, "lh", ids).select(F.col("lh").alias("w"), F.array(*[f"k{b}" for b in range(BANDS)]).alias("keys")), F.col("lh") == F.col("w"))
     sets = common.settle(sets.select("lh", "keys", F.slice("s", 1, SKETCH).alias("low"), "s"), "sets")
     rows = common.settle(left.join(sets.select(F.col("lh").alias("w"), F.size("s").alias("units")), F.col("lh") == F.col("w")).select("key", "lh", "root", "units"), "members")
@@ -133,10 +147,11 @@ def apart_links(left: DataFrame, marks: DataFrame, lines: DataFrame, shingle: in
         full = cut.join(sets.withColumnRenamed("lh", "w"), F.col("lh") == F.col("w"))
         earlier = F.slice("keys", F.lit(1), F.greatest(F.array_position("keys", F.col("key")).cast("int") - 1, F.lit(0)))
         cells = full.groupBy("key", "i", "j").agg(F.collect_list(F.struct("lh", "root", "own", earlier.alias("earlier"), "low", "s")).alias("rows"))
-        new = common.settle(cell_links(cells.select("rows", (F.col("i") == F.col("j")).alias("within")), similar), "cross")
-        if not new.head(1):
-            return links
+        found = common.settle(cell_links(cells.select("rows", (F.col("i") == F.col("j")).alias("within")), similar), "cross")
+        new = found.select("a", F.explode("partners").alias("b")).distinct()
         links = new if links is None else links.union(new)
+        if not found.where("more").head(1):
+            return links
         ends = new.join(rows.select(F.col("lh").alias("a"), F.col("root").alias("p")).distinct(), "a").join(rows.select(F.col("lh").alias("b"), F.col("root").alias("q")).distinct(), "b")
         merged = common.settle(components(ends.select(F.col("p").alias("a"), F.col("q").alias("b"))), "merged").withColumnRenamed("root", "to")
         rows = common.settle(rows.join(merged, F.col("root") == F.col("node"), "left").select("key", "lh", F.coalesce("to", "root").alias("root"), "units"), "members")
@@ -157,7 +172,7 @@ def line_roots(lines: DataFrame, shingle: int, similar: float) -> DataFrame:
     split = common.settle(rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "split")
     left = common.settle(rest.join(split, "key", "left_semi"), "left")
     cross = apart_links(left, marks, lines, shingle, similar) if left.head(1) else None
-    if cross is not None:
+    if cross is not None and cross.head(1):
         roots = common.settle(components(links.union(cross)), "roots")
     many = marks.where("n > 1").select(F.col("lh").alias("m"))
     return common.settle(many.join(roots, F.col("m") == F.col("node"), "full").select(F.coalesce("m", "node").alias("lh"), F.coalesce("root", "m").alias("root")), "named")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -58,9 +59,14 @@ class Model:
     weight: np.ndarray
     bias: float
 
+    @cached_property
+    def dense(self) -> np.ndarray:
+        out = np.zeros(1 << BITS, dtype=np.float32)
+        out[self.index] = self.weight
+        return out
+
     def scores(self, texts: list[str]) -> np.ndarray:
-        dense = np.zeros(1 << BITS, dtype=np.float32)
-        dense[self.index] = self.weight
+        dense = self.dense
         out = np.empty(len(texts))
         for lo, hi in flat.chunks(texts):
             index, owner = features(texts[lo:hi])
@@ -125,12 +131,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "toxic").limit(rows)
     texts = common.pick(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").select("h", "doc_id", "toxic", "text")
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(3).to_pylist()]
-            for lo, hi in flat.chunks(texts):
-                sets = pa.array([s for s in feature_sets(texts[lo:hi])], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), sets], names=["h", "doc_id", "toxic", "f"])
+    def build(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = [t or "" for t in batch.column(3).to_pylist()]
+        for lo, hi in flat.chunks(texts):
+            sets = pa.array(feature_sets(texts[lo:hi]), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:3]), sets], names=["h", "doc_id", "toxic", "f"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, labels = [], []
@@ -140,8 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         model = fit(sets, np.array(labels, dtype=np.float64))
         index, weight = np.append(model.index, -1), np.append(model.weight.astype(np.float64), model.bias)
         yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(weight)], names=["i", "w"])
+        common.tidy()
 
-    sample = texts.mapInArrow(build, "h long, doc_id long, toxic int, f array<int>").orderBy("h", "doc_id", "toxic", "f").limit(rows)
+    sample = texts.mapInArrow(common.by_batch(build), "h long, doc_id long, toxic int, f array<int>").orderBy("h", "doc_id", "toxic", "f").limit(rows)
     learned = sample.mapInArrow(learn, "i long, w double").toArrow()  # at most 2**BITS + 1 weights
     index, weight = learned["i"].to_numpy(), learned["w"].to_numpy()
     if not len(index):
@@ -151,11 +157,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def scorer(docs: DataFrame, model: Model):
     """A column function: score of a text, 0 to 1."""
-    held = docs.sparkSession.sparkContext.broadcast((model.index, model.weight, model.bias))
+    parts = model.index.astype(np.int32), model.weight, model.bias  # a few thousand weights: they go with the function
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(Model(*held.value).scores([t or "" for t in texts]))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        mine = Model(*parts)
+        try:
+            for texts in batches:
+                yield pd.Series(mine.scores([t or "" for t in texts]))
+        finally:
+            common.tidy()
 
     return score
 
