@@ -30,12 +30,15 @@ BANDS, ROWS = 6, 3
 UNROLL = 8
 #: Shingles of a block; a bucket with more is dealt out as pairs of blocks, so that a cell holds two blocks at most.
 BLOCK = 1 << 18
-#: Least shingle hashes of a line that are compared before the whole sets, and how many two lines must share: similar ones share fewer once in 30,000 pairs.
-SKETCH, SHARED = 16, 6
+#: Places of two signatures that must agree (by one byte each) before a pair is checked: fewer agree once in 1,400 pairs at a similarity of exactly 0.8.
+LEAST_PLACES = 9
+#: Least shingle hashes of a line that are compared before the whole sets, and how many two lines must share: at 0.8 they share fewer once in 20,000 pairs.
+SKETCH, SHARED = 64, 38
 #: Links that a round gives for one line at most; further ones are found by the next round, if they still lead to another component.
-PARTNERS = 8
+PARTNERS = 64
 #: White space that is trimmed; a line of nothing else is blank.
 _BLANK = " \t\x0b\x0c\r"
+_SIGN = [f"s{i}" for i in range(-(-BANDS * ROWS // 8))]
 
 
 def _point(k: int) -> int:
@@ -58,7 +61,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """lh, n (how often the line occurs) and k0.. (band keys) of every different line of a table lh, line.
+    """lh, n (how often the line occurs), k0.. (band keys) and s0.. (a byte of each place) of every different line of a table lh, line.
 
     Shingles are cut from the UTF-8 bytes here, so that each is found without counting
     characters; an edit touches no larger share of them than of the character shingles.
@@ -70,14 +73,29 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     rows = rows.select("lh", "i", *[F.xxhash64(F.substring("raw", at, F.lit(shingle))).alias(f"h{j}") for j, at in enumerate(begin)])
     nearest = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(_point(k))) for j in range(UNROLL)])).alias(f"m{k}") for k in range(BANDS * ROWS)]
     found = rows.groupBy("lh").agg(F.sum(F.when(F.col("i") == 1, 1).otherwise(0)).alias("n"), *nearest)
-    return found.select("lh", "n", *[F.xxhash64(F.lit(b), *[f"m{k}" for k in range(b * ROWS, (b + 1) * ROWS)]).alias(f"k{b}") for b in range(BANDS)])
+    keys = [F.xxhash64(F.lit(b), *[f"m{k}" for k in range(b * ROWS, (b + 1) * ROWS)]).alias(f"k{b}") for b in range(BANDS)]
+    byte = lambda k: F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(255)), 8 * (k % 8))
+    signs = [reduce(Column.bitwiseOR, map(byte, range(lo, min(lo + 8, BANDS * ROWS)))).alias(name) for lo, name in zip(range(0, BANDS * ROWS, 8), _SIGN, strict=True)]
+    return found.select("lh", "n", *keys, *signs)
+
+
+def _agree(x: list[Column], y: list[Column]) -> Column:
+    """Number of places in which two signatures agree."""
+    differ = F.lit(0)
+    for a, b in zip(x, y, strict=True):
+        bits = a.bitwiseXOR(b)
+        for shift in (4, 2, 1):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
+        differ = differ + F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+    return F.lit(BANDS * ROWS) - differ
 
 
 def shingle_rows(lines: DataFrame, shingle: int, *keep: str) -> DataFrame:
-    """The ``keep`` columns with h, the hash of a shingle of ``line``, for every place of the line; a line that is shorter is one shingle."""
+    """The ``keep`` columns with hs, the hashes of UNROLL neighbouring shingles of ``line`` (at its end the last again); a line that is shorter is one shingle."""
     rows = lines.select(*keep, F.encode("line", "UTF-32").alias("raw"))
-    rows = rows.select(*keep, "raw", F.explode(F.sequence(F.lit(1), F.greatest(F.octet_length("raw") - 4 * (shingle - 1), F.lit(1)), F.lit(4))).alias("i"))
-    return rows.select(*keep, F.xxhash64(F.substring("raw", F.col("i"), F.lit(4 * shingle))).alias("h"))
+    rows = rows.withColumn("last", F.greatest(F.octet_length("raw") - (4 * shingle - 1), F.lit(1)))
+    rows = rows.select(*keep, "raw", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * UNROLL))).alias("i"))
+    return rows.select(*keep, F.array(*[F.xxhash64(F.substring("raw", F.least(F.col("i") + 4 * j, F.col("last")), F.lit(4 * shingle))) for j in range(UNROLL)]).alias("hs"))
 
 
 def _enough(both: Column, m: Column, n: Column, similar: float) -> Column:
@@ -93,20 +111,21 @@ def _texts(ids: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def hub_links(met: DataFrame, lines: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """Links a, b between lines and the hubs of their buckets. ``met``: key, lh, hub."""
-    pairs = common.settle(met.where("lh <> hub").select(F.least("lh", "hub").alias("a"), F.greatest("lh", "hub").alias("b")).distinct(), "pairs")
+    """Links a, b between lines and the hubs of their buckets. ``met``: key, lh, hub, s0.. and first (the hub's s0..)."""
+    near = _agree([F.col(c) for c in _SIGN], [F.col("first")[c] for c in _SIGN]) >= LEAST_PLACES
+    pairs = common.settle(met.where("lh <> hub").where(near).select(F.least("lh", "hub").alias("a"), F.greatest("lh", "hub").alias("b")).distinct(), "pairs")
     texts = _texts(common.settle(pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct(), "wanted"), lines)
     both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lh").alias("b"), F.col("line").alias("y")), "b")
     sides = F.array(F.struct(F.lit(1).alias("side"), F.col("x").alias("line")), F.struct(F.lit(2).alias("side"), F.col("y").alias("line")))
-    sides = both.repartition("a", "b").select("a", "b", F.explode(sides).alias("s")).select("a", "b", "s.side", "s.line")
-    # a pair's rows are in one partition already: neither aggregation moves them
-    held = shingle_rows(sides, shingle, "a", "b", "side").groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
-    sums = held.groupBy("a", "b").agg(*[F.count_if(F.col("sides").bitwiseAND(F.lit(k)) == k).alias(name) for name, k in (("m", 1), ("n", 2), ("both", 3))])
-    return common.settle(sums.where(_enough(F.col("both"), F.col("m"), F.col("n"), similar)).select("a", "b"), "links")
+    sides = both.repartition(4 * int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b").select("a", "b", F.explode(sides).alias("s")).select("a", "b", "s.side", "s.line")
+    # a pair's rows are in one partition then: the aggregation moves nothing; the number is given, as texts grow tenfold here
+    held = shingle_rows(sides, shingle, "a", "b", "side").groupBy("a", "b").agg(*[F.flatten(F.collect_list(F.when(F.col("side") == k, F.col("hs")))).alias(name) for k, name in ((1, "x"), (2, "y"))])
+    alike = _enough(F.size(F.array_intersect("x", "y")), F.size(F.array_distinct("x")), F.size(F.array_distinct("y")), similar)
+    return common.settle(held.where(alike).select("a", "b"), "links")
 
 
 def cell_links(cells: DataFrame, similar: float) -> DataFrame:
-    """Links found inside cells (column ``rows``: structs lh, root, own, earlier, low, s; column ``within``).
+    """Links found inside cells (column ``rows``: structs lh, root, own, earlier, sign, low, s; column ``within``).
 
     a, partners: for each line the first PARTNERS lines of other roots that it is like; and more,
     whether it has further ones. ``earlier`` are the line's keys in the bands before the
@@ -116,8 +135,9 @@ def cell_links(cells: DataFrame, similar: float) -> DataFrame:
     def partner(x: Column, y: Column, within: Column) -> Column:
         apart = (y["lh"] < x["lh"]) & (y["root"] != x["root"]) & (within | (y["own"] != x["own"]))
         m, n = F.size(x["s"]), F.size(y["s"])
-        near = F.size(F.array_intersect(x["low"], y["low"])) >= F.least(F.lit(SHARED), F.ceil(F.size(x["low"]) / 2), F.ceil(F.size(y["low"]) / 2))
-        tests = [~F.arrays_overlap(x["earlier"], y["earlier"]), near, _enough(F.least(m, n), m, n, similar), _enough(F.size(F.array_intersect(x["s"], y["s"])), m, n, similar)]
+        near = F.size(F.array_intersect(x["low"], y["low"])) * SKETCH >= F.least(F.size(x["low"]), F.size(y["low"])) * SHARED
+        agree = _agree([x["sign"][c] for c in _SIGN], [y["sign"][c] for c in _SIGN]) >= LEAST_PLACES
+        tests = [agree, ~F.arrays_overlap(x["earlier"], y["earlier"]), near, _enough(F.least(m, n), m, n, similar), _enough(F.size(F.array_intersect(x["s"], y["s"])), m, n, similar)]
         return reduce(lambda rest, test: F.when(test, rest).otherwise(False), reversed([apart, *tests]), F.lit(True))
 
     rows = F.col("rows")
@@ -133,9 +153,9 @@ def apart_links(left: DataFrame, marks: DataFrame, lines: DataFrame, shingle: in
     more partners than one round gives, another round looks among those that are still apart.
     """
     ids = common.settle(left.select("lh").distinct(), "apart")
-    sets = shingle_rows(_texts(ids, lines), shingle, "lh").groupBy("lh").agg(F.sort_array(F.collect_set("h")).alias("s"))
-    sets = sets.join(common.maybe_in(marks, "lh", ids).select(F.col("lh").alias("w"), F.array(*[f"k{b}" for b in range(BANDS)]).alias("keys")), F.col("lh") == F.col("w"))
-    sets = common.settle(sets.select("lh", "keys", F.slice("s", 1, SKETCH).alias("low"), "s"), "sets")
+    sets = shingle_rows(_texts(ids, lines), shingle, "lh").groupBy("lh").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("s"))
+    sets = sets.join(common.maybe_in(marks, "lh", ids).select(F.col("lh").alias("w"), F.array(*[f"k{b}" for b in range(BANDS)]).alias("keys"), F.struct(*_SIGN).alias("sign")), F.col("lh") == F.col("w"))
+    sets = common.settle(sets.select("lh", "keys", "sign", F.slice("s", 1, SKETCH).alias("low"), "s"), "sets")
     rows = common.settle(left.join(sets.select(F.col("lh").alias("w"), F.size("s").alias("units")), F.col("lh") == F.col("w")).select("key", "lh", "root", "units"), "members")
     links = None
     while True:
@@ -146,7 +166,7 @@ def apart_links(left: DataFrame, marks: DataFrame, lines: DataFrame, shingle: in
         cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "lh", "root", "own")
         full = cut.join(sets.withColumnRenamed("lh", "w"), F.col("lh") == F.col("w"))
         earlier = F.slice("keys", F.lit(1), F.greatest(F.array_position("keys", F.col("key")).cast("int") - 1, F.lit(0)))
-        cells = full.groupBy("key", "i", "j").agg(F.collect_list(F.struct("lh", "root", "own", earlier.alias("earlier"), "low", "s")).alias("rows"))
+        cells = full.groupBy("key", "i", "j").agg(F.collect_list(F.struct("lh", "root", "own", earlier.alias("earlier"), "sign", "low", "s")).alias("rows"))
         found = common.settle(cell_links(cells.select("rows", (F.col("i") == F.col("j")).alias("within")), similar), "cross")
         new = found.select("a", F.explode("partners").alias("b")).distinct()
         links = new if links is None else links.union(new)
@@ -160,11 +180,11 @@ def apart_links(left: DataFrame, marks: DataFrame, lines: DataFrame, shingle: in
 def line_roots(lines: DataFrame, shingle: int, similar: float) -> DataFrame:
     """lh and root of every line that occurs more than once or is like another; lines of one component share a root."""
     marks = common.settle(signatures(lines, shingle), "marks")
-    bands = marks.select("lh", "n", F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"))
+    bands = marks.select("lh", "n", *_SIGN, F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = common.settle(bands.join(shared, "key").select("key", "lh", "n", "size"), "met")
-    hubs = met.groupBy("key").agg(F.min(F.struct(-F.col("n"), "lh")).alias("first")).select("key", F.col("first.lh").alias("hub"))
-    met = common.settle(met.join(hubs, "key").select("key", "lh", "hub", "size"), "hubs")
+    met = common.settle(bands.join(shared, "key").select("key", "lh", "n", "size", *_SIGN), "met")
+    hubs = met.groupBy("key").agg(F.min(F.struct(-F.col("n"), "lh", *_SIGN)).alias("first")).select("key", "first")
+    met = common.settle(met.join(hubs, "key").select("key", "lh", F.col("first.lh").alias("hub"), "size", *_SIGN, "first"), "hubs")
     links = hub_links(met, lines, shingle, similar)
     roots = common.settle(components(links), "roots")
     rest = met.where("size > 2 and lh <> hub").join(roots, F.col("lh") == F.col("node"), "left").select("key", "lh", F.coalesce("root", "lh").alias("root"))
