@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 
 U = np.uint64
 #: Texts are taken together up to this many code points, so that working arrays stay near 30 MB; a longer text is taken alone.
 CHUNK = 1 << 18
+#: Terms from which a span's polynomial hash is replaced by a digest.
+LONG = 64
 _B, _C = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _powers: dict[int, np.ndarray] = {}
 
@@ -93,8 +96,17 @@ def flatten(texts: list[str], gap: np.ndarray = SPACE, data: np.ndarray | None =
     return Flat(data, begin, start, end, np.searchsorted(begin, start, side="right") - 1, points)
 
 
+def strong(parts: Iterable[bytes]) -> np.ndarray:
+    """A digest of each part. Polynomials modulo 2**64 have texts that collide whatever the base, from some thousand terms on; longer spans than LONG take this one."""
+    return np.frombuffer(b"".join(blake2b(x, digest_size=8).digest() for x in parts), dtype=np.uint64)
+
+
 def word_hashes(flat: Flat) -> np.ndarray:
-    return span_hash(prefix(BYTES[flat.data], _B), flat.word_start, flat.word_end, _B)
+    out = span_hash(prefix(BYTES[flat.data], _B), flat.word_start, flat.word_end, _B)
+    long = np.flatnonzero(flat.word_end - flat.word_start > LONG)
+    if len(long):
+        out[long] = strong(flat.data[a:b].tobytes() for a, b in zip(flat.word_start[long].tolist(), flat.word_end[long].tolist(), strict=True))
+    return out
 
 
 def gram_hashes(words: np.ndarray, doc: np.ndarray, n: int, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

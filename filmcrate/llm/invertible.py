@@ -44,6 +44,9 @@ def paragraphs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     start = np.concatenate([[0], stop[:-1]])
     doc = f.word_doc[start]
     digest = flat.span_hash(flat.word_sums(words), start, stop, flat._C)
+    long = np.flatnonzero(stop - start > flat.LONG)
+    if len(long):
+        digest[long] = flat.strong(words[a:b].tobytes() for a, b in zip(start[long].tolist(), stop[long].tolist(), strict=True))
     own = digest ^ flat.mix(doc.astype(np.uint64) + U(1))
     again = flat.repeated(own)
     if len(again):

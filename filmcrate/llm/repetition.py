@@ -1,8 +1,9 @@
 """Quality rules on repetition: how much of a text lies inside repeated n-grams and lines.
 
 Rolling polynomial hashes (one pass of prefix sums over the bytes and one over the words,
-modulo 2**64) give the hash of every word, line and n-word window by two subtractions;
-equal hashes inside one text are equal windows. Whole batches of texts are handled as flat
+modulo 2**64) give the hash of every word and n-word window by two subtractions; equal
+hashes inside one text are equal windows. Words of more than 64 bytes have a digest instead
+(``flat.strong``), and lines are compared as they are. Whole batches of texts are handled as flat
 arrays. Memory follows the longest text of a batch.
 """
 
@@ -41,10 +42,10 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
     counted = np.searchsorted(f.word_start, ends) > np.searchsorted(f.word_start, starts)
     starts, ends = starts[counted], ends[counted]
     line_doc = np.searchsorted(f.begin, starts, side="right") - 1
-    key = flat.span_hash(flat.prefix(flat.BYTES[f.data], flat._B), starts, ends, flat._B) ^ flat.mix(line_doc.astype(np.uint64) + flat.U(1))
-    _, first = np.unique(key, return_index=True)
-    again = np.ones(len(key), dtype=bool)
-    again[first] = False
+    raw, seen, again = f.data.tobytes(), set(), np.zeros(len(starts), dtype=bool)
+    for i, line in enumerate(zip(line_doc.tolist(), map(raw.__getitem__, map(slice, starts.tolist(), ends.tolist())), strict=True)):
+        again[i] = line in seen  # lines themselves are compared, not hashes of them
+        seen.add(line)
     line_chars = f.points[ends] - f.points[starts]
     n_lines, n_dup = flat.per_doc(line_doc, n), flat.per_doc(line_doc[again], n)
     dup_chars, all_chars = flat.per_doc(line_doc[again], n, line_chars[again]), flat.per_doc(line_doc, n, line_chars)
@@ -86,14 +87,13 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
     table an empty one; columns other than doc_id and text are not read.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in flat.chunks(texts):
-                out = measure(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *map(pa.array, out.values())], names=["doc_id", *out])
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+        for lo, hi in flat.chunks(texts):
+            out = measure(texts[lo:hi])
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *map(pa.array, out.values())], names=["doc_id", *out])
 
-    return common.pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return common.pick(docs, "doc_id", "text").mapInArrow(common.by_batch(work), SCHEMA)
 
 
 def op5_repetition_coverage(spark, sf_dir: str) -> DataFrame:

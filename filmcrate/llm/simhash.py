@@ -29,8 +29,6 @@ BUCKET, BALL_BITS = 4096, 3
 #: Cost of a key row against that of one comparison.
 KEY_COST = 200.0
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: Node numbers of fingerprints without any document identifier begin here; identifiers lie below.
-_NAMELESS = 1 << 62
 
 
 def fingerprint_values(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
@@ -286,15 +284,15 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, shingle: int =
     Null texts and texts without words have fingerprint 0 and link like any other; shorter
     texts than a shingle are one shingle. Repeated rows and equal texts meet in one node.
     Rows without doc_id take part; a component without any doc_id has a null component_id.
-    Identifiers lie below 2**62. An empty table gives an empty one; further columns are not
+    Any doc_id is allowed. An empty table gives an empty one; further columns are not
     read. Nothing is left out of large groups: see ``ball_links`` and ``block_links``.
     """
     marks = common.settle(fingerprints(docs, shingle), "fingerprints")
-    nameless = F.lit(_NAMELESS) + F.shiftrightunsigned("fp", 2)
-    nodes = common.settle(marks.groupBy("fp").agg(F.min("doc_id").alias("node")).select("fp", F.coalesce("node", nameless).alias("node")), "nodes")
-    roots = components(near_links(nodes, most_bits, bucket))
-    named = nodes.join(roots, "node", "left").select(F.col("fp").alias("f"), F.coalesce("root", "node").alias("c"))
-    named = common.settle(named.select("f", F.when(F.col("c") < _NAMELESS, F.col("c")).alias("component_id")), "named")
+    nodes = common.settle(marks.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.col("fp").alias("node"), "first"), "nodes")
+    roots = components(near_links(nodes.select("fp", "node"), most_bits, bucket))
+    named = common.settle(nodes.join(roots, "node", "left").select(F.col("fp").alias("f"), F.coalesce("root", "node").alias("c"), "first"), "named")
+    least = common.settle(named.groupBy("c").agg(F.min("first").alias("component_id")), "least")
+    named = named.join(least, "c").select("f", "component_id")
     return marks.join(named, marks["fp"] == named["f"]).select("doc_id", "fp", "component_id")
 
 

@@ -63,3 +63,17 @@ def test_repetition_equals_brute_force(spark, monkeypatch):
     got = sorted((r[0] if r[0] is not None else -9, *r[1:8]) for r in repetition.repetition_rules(df).collect())
     assert got == want
     assert repetition.repetition_rules(df.limit(0)).count() == 0
+
+
+def test_texts_on_which_polynomial_hashes_collide():
+    """Thue-Morse strings and their complements: equal modulo 2**64 whatever the base, as lines, as words and as paragraphs of words."""
+    from filmcrate.llm import flat, invertible
+
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    one, two = ("".join("ab"[b ^ k] for b in bits) for k in (0, 1))
+    out = repetition.measure([f"{one}\n{two}", f"{one}\n{one}"])
+    assert out["n_dup_lines"].tolist() == [0, 1]
+    assert len(set(flat.word_hashes(flat.flatten([f"{one} {two}"])).tolist())) == 2
+    kept = [w for w in map(str, range(100)) if int(flat.word_hashes(flat.flatten([w]))[0]) % invertible.CUT][:2]
+    digest, doc = invertible.paragraphs([" ".join(kept[b ^ k] for b in bits) for k in (0, 1)])
+    assert doc.tolist() == [0, 1] and digest[0] != digest[1]

@@ -115,3 +115,9 @@ def test_query_equals_brute_force(spark):
     got = sorted((r["doc_id"] or 0, r["fp"] % (1 << 64), r["component_id"] or 0) for r in simhash.near_duplicates(docs).collect())
     assert got == sorted((i or 0, f, least.get(root[fps.index(f)], 0) or 0) for i, f in rows)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_identifiers_of_the_whole_range(spark):
+    rows = [(1 << 62, "one two three four"), ((1 << 63) - 1, "One two three four"), (-(1 << 63), "five six seven eight"), (None, "nine ten eleven twelve"), (None, "five six seven eight")]
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1 << 62, 1 << 62), ((1 << 63) - 1, 1 << 62), (-(1 << 63), -(1 << 63)), (None, None), (None, -(1 << 63))}
