@@ -116,17 +116,19 @@ def general_dates(stem: Column, years: tuple[int, int]) -> Column:
     return F.filter(F.transform(found, one), lambda d: d["when"].isNotNull())
 
 
+def _own_pattern(text: str) -> re.Pattern | None:
+    """A user's pattern, if it compiles and names a year, month and day."""
+    try:
+        rx = re.compile(text, re.IGNORECASE)
+    except re.error:
+        return None
+    return rx if rx.groupindex.keys() >= {"y", "m", "d"} else None
+
+
 def user_patterns(patterns: tuple[str, ...]) -> tuple[list[re.Pattern], list[str]]:
-    """Patterns of the user's own that compile and name y, m and d, and those that do not."""
-    good, bad = [], []
-    for text in patterns:
-        try:
-            made = re.compile(text, re.IGNORECASE)
-        except re.error:
-            bad.append(text)
-            continue
-        (good if {"y", "m", "d"} <= set(made.groupindex) else bad).append(made if {"y", "m", "d"} <= set(made.groupindex) else text)
-    return good, bad
+    """The usable ones of a user's patterns, and the texts of the others."""
+    made = {text: _own_pattern(text) for text in patterns}
+    return [rx for rx in map(made.get, patterns) if rx], [text for text in patterns if not made[text]]
 
 
 def user_date(stem: Column, opts: DateOptions) -> Column:

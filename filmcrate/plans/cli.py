@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import datetime
 import os
 import sys
 
@@ -30,7 +31,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         print(f"no folder: {root}", file=sys.stderr)
         return 2
     if args.undo:
-        got = execution.undo(execution.find_log(root))
+        dest = os.path.abspath(args.dest) if args.dest else root
+        own = execution.find_log(root) or execution.find_log(dest)
+        got = execution.undo(own, other_logs=tuple(execution.candidate_logs(root, dest)))
         for path, why in got.skipped:
             print(f"{path}: {why}", file=sys.stderr)
         return 1 if got.nothing or got.blocked_by or got.log_error or got.skipped else 0
@@ -44,7 +47,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.copy and dest.lower() == root.lower():
         print("a copy needs another folder", file=sys.stderr)
         return 2
-    opts = from_settings(settings | {"dest": ""}, root, dest, "copy" if args.copy else "move", args.heic_only, args.convert_heic or args.heic_only)
+    opts = from_settings(settings | {"dest": ""}, root, dest, "copy" if args.copy else "move", args.heic_only, args.convert_heic or args.heic_only, now=datetime.datetime.now(), time_zone=spark._jvm.java.util.TimeZone.getDefault().getID())
     plan = planner.make_plan(spark, opts, args.dedupe or args.similar, threshold=settings["similar_threshold"] if args.similar else None)
     if not plan.items.head(1):
         print("no media files")
@@ -62,7 +65,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         print(f"{need} bytes needed", file=sys.stderr)
         return 1
     try:
-        done = execution.execute(plan)
+        done = execution.execute(plan, quality=settings["quality"])
     except OSError as exc:
         print(exc, file=sys.stderr)
         return 1

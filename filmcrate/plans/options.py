@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass, field
 
 from ..functions import labels
@@ -42,8 +43,8 @@ class Options:
         return {s: self.word(f"source_{s}") for s in ("kakao", "screenshot", "messenger", "camera", "other")}
 
 
-def from_settings(settings: dict, root: str, dest: str = "", mode: str = "", heic_only: bool = False, convert: bool | None = None, **more) -> Options:
-    """Options of checked settings. Conversion is off where the JPG of a pair counts as a duplicate, unless only conversion is asked for."""
+def from_settings(settings: dict, root: str, dest: str = "", mode: str = "", heic_only: bool = False, convert: bool | None = None, now: datetime.datetime | None = None, time_zone: str = "UTC", **more) -> Options:
+    """Options of checked settings. Dates up to a day after ``now`` (local time) count; without it those of ``DateOptions``. Conversion is off where the JPG of a pair counts as a duplicate, unless only conversion is asked for."""
     wants = settings["convert"] if convert is None else convert
     return Options(
         root=root,
@@ -52,7 +53,7 @@ def from_settings(settings: dict, root: str, dest: str = "", mode: str = "", hei
         template=settings["pattern"],
         convert=wants and (heic_only or not settings["jpg_pair_as_dupe"]),
         heic_only=heic_only,
-        dates=DateOptions(use_mtime=settings["use_mtime"], year_min=settings["year_min"], year_max=settings["year_max"], user_patterns=tuple(settings["name_patterns"])),
+        dates=DateOptions(**({"as_of": now} if now else {}), time_zone=time_zone, use_mtime=settings["use_mtime"], year_min=settings["year_min"], year_max=settings["year_max"], user_patterns=tuple(settings["name_patterns"])),
         **{k: settings[k] for k in ("rename", "include_nodate", "convert_avif", "heic_original", "remove_empty", "dupes_action", "jpg_pair_as_dupe")},
         **more,
     )

@@ -8,9 +8,9 @@ import struct
 
 import pytest
 
-from filmcrate.plans import cli, execution, planner
+from filmcrate.plans import cli, execution, planner, steps
 from filmcrate.plans.options import Options
-from filmcrate.sources import binary, runlog, tree
+from filmcrate.sources import binary, files, runlog, tree
 
 
 def tiff(when, make=b"Apple\0", model=b"iPhone\0"):
@@ -144,6 +144,50 @@ def test_copy_mode_is_quiet_the_second_time(spark, tmp_path):
     assert not back.skipped and snapshot(dest) == {} and snapshot(root) == before
 
 
+def test_a_photo_of_yesterday_is_dated(spark, tmp_path, capsys):
+    """The command line takes the present from the clock, not from a constant."""
+    day = datetime.datetime.now() - datetime.timedelta(days=1)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.jpg").write_bytes(jpeg(day.strftime("%Y:%m:%d %H:%M:%S")))
+    assert cli.run(spark, cli.parser().parse_args([str(tmp_path)])) == 0
+    assert any(day.strftime("%Y-%m") in os.path.join(t, n) for t, _, ns in os.walk(tmp_path) for n in ns if n == "x.jpg")
+
+
+def test_undo_sees_runs_of_other_logs(tmp_path):
+    """A later run, in another log, took what the run placed: it must be undone first."""
+    one, two = tmp_path / "one", tmp_path / "two"
+    for folder in (one, two):
+        folder.mkdir()
+    (one / "p.jpg").write_bytes(b"picture")
+    logs = []
+    for src, dst, when in ((one / "p.jpg", one / "d" / "p.jpg", "2024-01-01T00:00:00"), (one / "d" / "p.jpg", two / "p.jpg", "2024-01-02T00:00:00")):
+        log = runlog.RunLog(str(dst.parent if dst.parent != one / "d" else one), str(one), "move")
+        log.head["time"] = when
+        execution.Executor(log, execution.Result(), "move").place(steps.Move(str(src), str(dst)))
+        log.finish()
+        logs.append(log.path)
+    assert execution.undo(logs[0], other_logs=tuple(logs)).blocked_by and (two / "p.jpg").exists()
+    assert execution.undo(logs[1], other_logs=tuple(logs)).restored == 1
+    back = execution.undo(logs[0], other_logs=tuple(logs))
+    assert back.restored == 1 and (one / "p.jpg").read_bytes() == b"picture" and not (one / "d").exists()
+
+
+def test_files_are_never_replaced(tmp_path):
+    a, b = tmp_path / "a", tmp_path / "b"
+    a.write_bytes(b"1")
+    b.write_bytes(b"2")
+    for act in (files.relocate, files.duplicate):
+        with pytest.raises(files.Refused):
+            act(str(a), str(b))
+    assert (a.read_bytes(), b.read_bytes()) == (b"1", b"2")
+    with pytest.raises(ZeroDivisionError), files.replacing(str(b)) as part:
+        open(part, "w").write("3")
+        raise ZeroDivisionError
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["a", "b"] and b.read_bytes() == b"2"
+    files.relocate(str(a), str(tmp_path / "A"))
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["A", "b"]
+
+
 def test_readers():
     read = lambda data: lambda at, n: data[at : at + n]
     assert binary.jpeg_tags(read(jpeg("2024:01:02 03:04:05")))["original"] == "2024:01:02 03:04:05"
