@@ -2,11 +2,12 @@
 
 A text is cut into paragraphs at newlines, and long paragraphs further after words whose
 hash is divisible by CUT (so that the cuts move with the text). Every paragraph's digest goes
-into one cell of each of three subtables; a cell keeps a count, the xor of its digests and
-the xor of their check sums. Two versions' tables subtract cell by cell: what both hold
-cancels, and cells left with a single digest are peeled until none is left. Where peeling
-stops early the tables are built again with twice the cells. The differing digests found
-this way give the likeness: paragraphs in common over paragraphs in either.
+into one cell of each of three subtables; a cell keeps a count and the xor of its digests
+with their check sums. The tables grow with the text's paragraphs, so that all can be peeled
+out again; they are the fingerprint. Two fingerprints are folded to a common small width and
+subtracted cell by cell: what both hold cancels, and cells left with a single digest are
+peeled until none is left. Where peeling stops early they are folded less. The differing
+digests found this way give the likeness: paragraphs in common over paragraphs in either.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from . import common, flat
 
 U = np.uint64
 TABLES = 3
-#: Cells of the smallest sketch, which is also what the fingerprint holds.
-CELLS = 24
+#: Cells of a subtable of the smallest sketch; others have a power of two times as many.
+WIDTH = 8
+#: Rounds of peeling at most; a table that needs more counts as not peeled.
+ROUNDS = 100
 CUT = 8
 _SALT = [0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]
 _CHECK = U(0x589965CC75374CC3)
@@ -58,101 +61,164 @@ def paragraphs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return digest, doc
 
 
-def _check(digest: np.ndarray) -> np.ndarray:
-    return flat.mix(digest * _CHECK + U(7))
+def _words(digest: np.ndarray) -> np.ndarray:
+    """What a cell collects by xor: 40 bits of a digest above 24 bits of its check sum."""
+    high = digest >> U(24)
+    return (high << U(24)) | (flat.mix(high * _CHECK + U(7)) >> U(40))
 
 
-def _cells(digest: np.ndarray, cells: int, table: int) -> np.ndarray:
-    width = cells // TABLES
-    return (flat.mix(digest ^ U(_SALT[table])) % U(width)).astype(np.int64) + table * width
+def _cells(word: np.ndarray, width: int, table: int) -> np.ndarray:
+    """Cell in a subtable of ``width`` cells, a power of two: halving the width leaves out the highest bit."""
+    return (flat.mix(word ^ U(_SALT[table])) & U(width - 1)).astype(np.int64) + table * width
 
 
 class Sketch:
-    """Tables of ``n`` texts with ``cells`` cells each."""
+    """Tables of ``n`` texts, each with TABLES subtables of ``width`` cells."""
 
-    def __init__(self, n: int, cells: int):
-        self.cells = cells
-        self.count = np.zeros(n * cells, dtype=np.int64)
-        self.digest, self.check = np.zeros(n * cells, dtype=np.uint64), np.zeros(n * cells, dtype=np.uint64)
+    def __init__(self, n: int, width: int):
+        self.width, self.cells = width, TABLES * width
+        self.count, self.word = np.zeros(n * self.cells, dtype=np.int64), np.zeros(n * self.cells, dtype=np.uint64)
 
-    def add(self, digest: np.ndarray, owner: np.ndarray, sign) -> Sketch:
+    def add(self, word: np.ndarray, owner: np.ndarray, sign) -> Sketch:
         for table in range(TABLES):
-            at = owner * self.cells + _cells(digest, self.cells, table)
+            at = owner * self.cells + _cells(word, self.width, table)
             np.add.at(self.count, at, sign)
-            np.bitwise_xor.at(self.digest, at, digest)
-            np.bitwise_xor.at(self.check, at, _check(digest))
+            np.bitwise_xor.at(self.word, at, word)
         return self
 
     def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(0, self.cells)
-        out.count, out.digest, out.check = self.count - other.count, self.digest ^ other.digest, self.check ^ other.check
+        out = Sketch(0, self.width)
+        out.count, out.word = self.count - other.count, self.word ^ other.word
+        return out
+
+    def pick(self, rows: np.ndarray) -> Sketch:
+        out = Sketch(0, self.width)
+        out.count, out.word = (x.reshape(-1, self.cells)[rows].ravel() for x in (self.count, self.word))
+        return out
+
+    def folded(self, width: int) -> Sketch:
+        """The tables as they would be with fewer cells."""
+        out = Sketch(0, width)
+        shape = (-1, TABLES, self.width // width, width)
+        out.count, out.word = self.count.reshape(shape).sum(axis=2).ravel(), np.bitwise_xor.reduce(self.word.reshape(shape), axis=2).ravel()
         return out
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Owner, digest and sign of what is left after a subtraction, and which owners were emptied."""
-        found = []
-        while True:
+        """Owner, word and sign of what is left after a subtraction, and which owners were emptied. The tables are used up."""
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))]
+        for _ in range(ROUNDS):
             pure = np.flatnonzero(np.abs(self.count) == 1)
-            pure = pure[_check(self.digest[pure]) == self.check[pure]]
+            pure = pure[_words(self.word[pure]) == self.word[pure]]
             if not len(pure):
                 break
-            owner, digest, sign = pure // self.cells, self.digest[pure], self.count[pure]
-            _, one = np.unique(digest ^ flat.mix(owner.astype(np.uint64) + U(1)), return_index=True)
-            owner, digest, sign = owner[one], digest[one], sign[one]
-            found.append((owner, digest, sign))
-            self.add(digest, owner, -sign)
-        whole = ~((self.count != 0) | (self.digest != 0)).reshape(-1, self.cells).any(axis=1)
-        empty = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-        owner, digest, sign = (np.concatenate(x) for x in zip(*found, strict=True)) if found else empty
-        return owner, digest, sign, whole
+            owner, word, sign = pure // self.cells, self.word[pure], self.count[pure]
+            _, one = np.unique(word ^ flat.mix(owner.astype(np.uint64) + U(1)), return_index=True)
+            found.append((owner[one], word[one], sign[one]))
+            self.add(word[one], owner[one], -sign[one])
+        whole = ~((self.count != 0) | (self.word != 0)).reshape(-1, self.cells).any(axis=1)
+        return (*(np.concatenate(x) for x in zip(*found, strict=True)), whole)
 
     def written(self, i: int) -> str:
         part = slice(i * self.cells, (i + 1) * self.cells)
-        raw = self.count[part].astype("<i4").tobytes() + self.digest[part].astype("<u8").tobytes() + self.check[part].astype("<u8").view("<u4")[::2].tobytes()
-        return base64.b64encode(raw).decode()
+        return base64.b64encode(self.count[part].astype("<i2").tobytes() + self.word[part].astype("<u8").tobytes()).decode()
+
+    @staticmethod
+    def read(text: str) -> Sketch:
+        raw = base64.b64decode(text)
+        out = Sketch(0, len(raw) // (10 * TABLES))
+        out.count, out.word = np.frombuffer(raw, "<i2", out.cells).astype(np.int64), np.frombuffer(raw, "<u8", out.cells, 2 * out.cells).copy()
+        return out
 
 
-def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, digest and sign (1: only in a, -1: only in b) of all digests that differ between n pairs of versions.
+def sketches(words: np.ndarray, owner: np.ndarray, n: int) -> list[tuple[np.ndarray, Sketch]]:
+    """Sketches of n texts, in groups of one width: the numbers of the texts and their tables.
 
-    a and b hold digests with the number of their pair. The cells double until peeling
-    empties a pair's table; from twice the pair's digests on it all but always does.
+    A text's width is the least that holds its paragraphs at two thirds of its cells and from
+    which they can all be peeled; where that fails it doubles. It depends on the text alone.
     """
-    out, open_ = [], np.arange(n)
+    size = np.bincount(owner, minlength=n)
+    width = np.full(n, WIDTH, dtype=np.int64)
+    while (small := 3 * size > 2 * TABLES * width).any():
+        width[small] *= 2
+    open_, out = np.arange(n), []
     while len(open_):
-        place = np.full(n, -1, dtype=np.int64)
-        place[open_] = np.arange(len(open_))
-        tables = []
-        for digest, owner in (a, b):
-            mine = place[owner] >= 0
-            tables.append(Sketch(len(open_), cells).add(digest[mine], place[owner[mine]], 1))
-        owner, digest, sign, whole = tables[0].minus(tables[1]).peel()
-        good = whole[owner]
-        out.append((open_[owner[good]], digest[good], sign[good]))
-        open_, cells = open_[~whole], cells * 2
-    empty = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else empty
-
-
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
-    """Paragraphs in common over paragraphs in either, for n pairs; 1 where neither has any."""
-    owner, _, _ = differences(a, b, n)
-    differ = np.bincount(owner, minlength=n)
-    both = np.bincount(a[1], minlength=n) + np.bincount(b[1], minlength=n)
-    return np.where(both + differ > 0, (both - differ) / np.maximum(both + differ, 1), 1.0)
+        again = []
+        for w in np.unique(width[open_]).tolist():
+            mine = open_[width[open_] == w]
+            place = np.full(n, -1, dtype=np.int64)
+            place[mine] = np.arange(len(mine))
+            held = place[owner] >= 0
+            made = Sketch(len(mine), w).add(words[held], place[owner[held]], 1)
+            whole = made.pick(np.arange(len(mine))).peel()[3] | (w > 64 * np.maximum(size[mine], WIDTH))
+            out.append((mine[whole], made.pick(np.flatnonzero(whole))))
+            again.append(mine[~whole])
+        open_ = np.concatenate(again)
+        width[open_] *= 2
+    return out
+
+
+def differing(a: Sketch, b: Sketch) -> np.ndarray:
+    """How many paragraphs differ between the i-th tables of a and of b, as far as can be peeled.
+
+    The tables are folded to the smallest width, subtracted and peeled; where that fails with
+    twice the width, up to that of the smaller table, and at last each is peeled alone.
+    """
+    n = len(a.count) // a.cells
+    out, open_, width = np.zeros(n, dtype=np.int64), np.arange(n), WIDTH
+    while len(open_) and width <= min(a.width, b.width):
+        left = a.pick(open_).folded(width).minus(b.pick(open_).folded(width))
+        owner, _, _, whole = left.peel()
+        out[open_[whole]] = np.bincount(owner, minlength=len(open_))[whole]
+        open_, width = open_[~whole], 2 * width
+    if len(open_):
+        (mine, x, *_), (theirs, y, *_) = a.pick(open_).peel(), b.pick(open_).peel()
+        keys = [word ^ flat.mix(owner.astype(np.uint64) + U(1)) for owner, word in ((mine, x), (theirs, y))]
+        for owner, own, other in ((mine, *keys), (theirs, *reversed(keys))):
+            out[open_] += np.bincount(owner[~np.isin(own, other)], minlength=len(open_))
+    return out
+
+
+def likeness(a: Sketch, b: Sketch) -> np.ndarray:
+    """Paragraphs in common over paragraphs in either, for the i-th tables of a and b; 1 where neither has any."""
+    both = sum(x.count.reshape(-1, x.cells)[:, : x.width].sum(axis=1) for x in (a, b))
+    differ = np.minimum(differing(a, b), both)
+    return np.where(both > 0, (both - differ) / np.maximum(both + differ, 1), 1.0)
+
+
+class Prints:
+    """Fingerprints of the texts of a batch, with what is needed to compare them."""
+
+    def __init__(self, texts: list[str]):
+        digest, owner = paragraphs(texts)
+        # one of two different paragraphs whose 40 bits agree stays
+        _, one = np.unique((digest >> U(24)) ^ flat.mix(owner.astype(np.uint64) + U(1)), return_index=True)
+        self.groups = sketches(_words(digest[one]), owner[one], len(texts))
+        self.group, self.row = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        for g, (mine, _) in enumerate(self.groups):
+            self.group[mine], self.row[mine] = g, np.arange(len(mine))
+
+    def written(self, i: int) -> str:
+        return self.groups[self.group[i]][1].written(int(self.row[i]))
+
+    def likeness(self, at: np.ndarray, other: Prints, there: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(at))
+        g, h = self.group[at], other.group[there]
+        for x, y in {*zip(g.tolist(), h.tolist(), strict=True)}:
+            k = np.flatnonzero((g == x) & (h == y))
+            out[k] = likeness(self.groups[x][1].pick(self.row[at[k]]), other.groups[y][1].pick(other.row[there[k]]))
+        return out
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (a base64 sketch of CELLS cells) of every row. Null texts count as empty."""
+    """doc_id and fingerprint of every row. Null texts count as empty."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in flat.chunks(texts):
-                s = Sketch(hi - lo, CELLS).add(*paragraphs(texts[lo:hi]), 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.written(i) for i in range(hi - lo)])], names=["doc_id", "fingerprint"])
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        for lo, hi in flat.chunks(texts):
+            made = Prints(texts[lo:hi])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(map(made.written, range(hi - lo)), pa.string())], names=["doc_id", "fingerprint"])
 
-    return common.pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return common.pick(docs, "doc_id", "text").mapInArrow(common.by_batch(work), "doc_id long, fingerprint string")
 
 
 def _branch(bounds: list[int], first: int = 0) -> Column:
@@ -219,21 +285,16 @@ def _compare(rows: list[tuple]) -> pa.RecordBatch:
     at = [i for i, r in enumerate(rows[:-1]) if not r[2]]
     texts = [r[1] for r in rows]
     edits = [edited(texts[i], texts[i + 1]) for i in at]
-    n = len(at)
-    digest, doc = paragraphs(texts)
-    own, after = np.full(len(rows), -1), np.full(len(rows), -1)
-    own[at], after[[i + 1 for i in at]] = np.arange(n), np.arange(n)
-    mine, theirs = own[doc] >= 0, after[doc] >= 0
-    a, b, e = (digest[mine], own[doc[mine]]), (digest[theirs], after[doc[theirs]]), paragraphs(edits)
-    sketch, changed = Sketch(n, CELLS).add(*a, 1), Sketch(n, CELLS).add(*e, 1)
+    mine, changed = Prints(texts), Prints(edits)
+    here = np.array(at, dtype=np.int64)
     cols = [
         pa.array([rows[i][0] for i in at], pa.int64()),
         pa.array([len(texts[i]) for i in at], pa.int64()),
         pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edits], pa.string()),
-        pa.array([sketch.written(i) for i in range(n)], pa.string()),
-        pa.array([changed.written(i) for i in range(n)], pa.string()),
-        pa.array(likeness(a, e, n), pa.float64()),
-        pa.array(likeness(a, b, n), pa.float64()),
+        pa.array(map(mine.written, at), pa.string()),
+        pa.array(map(changed.written, range(len(at))), pa.string()),
+        pa.array(mine.likeness(here, changed, np.arange(len(at))), pa.float64()),
+        pa.array(mine.likeness(here, mine, here + 1), pa.float64()),
     ]
     return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
