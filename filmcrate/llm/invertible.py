@@ -130,8 +130,8 @@ class Sketch:
         return out
 
 
-def sketches(words: np.ndarray, owner: np.ndarray, n: int) -> list[tuple[np.ndarray, Sketch]]:
-    """Sketches of n texts, in groups of one width: the numbers of the texts and their tables.
+def sketches(words: np.ndarray, owner: np.ndarray, n: int) -> list[tuple[np.ndarray, Sketch, np.ndarray, np.ndarray]]:
+    """Sketches of n texts, in groups of one width: the numbers of the texts, their tables, and what was peeled out of them: words and their texts.
 
     A text's width is the least that holds its paragraphs at two thirds of its cells and from
     which they can all be peeled; where that fails it doubles. It depends on the text alone.
@@ -149,8 +149,9 @@ def sketches(words: np.ndarray, owner: np.ndarray, n: int) -> list[tuple[np.ndar
             place[mine] = np.arange(len(mine))
             held = place[owner] >= 0
             made = Sketch(len(mine), w).add(words[held], place[owner[held]], 1)
-            whole = made.pick(np.arange(len(mine))).peel()[3] | (w > 64 * np.maximum(size[mine], WIDTH))
-            out.append((mine[whole], made.pick(np.flatnonzero(whole))))
+            peeled, word, _, whole = made.pick(np.arange(len(mine))).peel()
+            whole = whole | (w > 64 * np.maximum(size[mine], WIDTH))
+            out.append((mine[whole], made.pick(np.flatnonzero(whole)), word[whole[peeled]], mine[peeled[whole[peeled]]]))
             again.append(mine[~whole])
         open_ = np.concatenate(again)
         width[open_] *= 2
@@ -192,21 +193,50 @@ class Prints:
         digest, owner = paragraphs(texts)
         # one of two different paragraphs whose 40 bits agree stays
         _, one = np.unique((digest >> U(24)) ^ flat.mix(owner.astype(np.uint64) + U(1)), return_index=True)
-        self.groups = sketches(_words(digest[one]), owner[one], len(texts))
-        self.group, self.row = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-        for g, (mine, _) in enumerate(self.groups):
-            self.group[mine], self.row[mine] = g, np.arange(len(mine))
+        made = sketches(_words(digest[one]), owner[one], len(texts))
+        self.tables = [t for _, t, _, _ in made]
+        self.group, self.row, self.width = (np.zeros(len(texts), dtype=np.int64) for _ in range(3))
+        for g, (mine, table, _, _) in enumerate(made):
+            self.group[mine], self.row[mine], self.width[mine] = g, np.arange(len(mine)), table.width
+        word, text = (np.concatenate([np.zeros(0, dtype=x.dtype), *(m[k] for m in made)]) for k, x in ((2, digest), (3, owner)))
+        order = np.argsort(text, kind="stable")
+        self.word, self.begin = word[order], np.searchsorted(text[order], np.arange(len(texts) + 1))
 
     def written(self, i: int) -> str:
-        return self.groups[self.group[i]][1].written(int(self.row[i]))
+        return self.tables[self.group[i]].written(int(self.row[i]))
+
+    def folded(self, at: np.ndarray, width: int) -> Sketch:
+        """The tables of texts whose own are at least so wide."""
+        out = Sketch(len(at), width)
+        count, word, group = out.count.reshape(len(at), -1), out.word.reshape(len(at), -1), self.group[at]
+        for g in np.unique(group).tolist():
+            mine = np.flatnonzero(group == g)
+            part = self.tables[g].pick(self.row[at[mine]]).folded(width)
+            count[mine], word[mine] = part.count.reshape(len(mine), -1), part.word.reshape(len(mine), -1)
+        return out
+
+    def peeled(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What peeling each text's own table gave: for the k-th of the texts, k and the words."""
+        size = self.begin[at + 1] - self.begin[at]
+        k = np.repeat(np.arange(len(at)), size)
+        return k, self.word[np.arange(len(k)) + np.repeat(self.begin[at] - np.cumsum(size) + size, size)]
 
     def likeness(self, at: np.ndarray, other: Prints, there: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at))
-        g, h = self.group[at], other.group[there]
-        for x, y in {*zip(g.tolist(), h.tolist(), strict=True)}:
-            k = np.flatnonzero((g == x) & (h == y))
-            out[k] = likeness(self.groups[x][1].pick(self.row[at[k]]), other.groups[y][1].pick(other.row[there[k]]))
-        return out
+        """As ``likeness``, for all pairs of texts at once."""
+        most = np.minimum(self.width[at], other.width[there])
+        differ, open_, width = np.zeros(len(at), dtype=np.int64), np.ones(len(at), dtype=bool), WIDTH
+        while len(k := np.flatnonzero(open_ & (most >= width))):
+            owner, _, _, whole = self.folded(at[k], width).minus(other.folded(there[k], width)).peel()
+            differ[k[whole]] = np.bincount(owner, minlength=len(k))[whole]
+            open_[k[whole]] = False
+            width *= 2
+        k = np.flatnonzero(open_)
+        (x, mine), (y, theirs) = self.peeled(at[k]), other.peeled(there[k])
+        keys = [word ^ flat.mix(i.astype(np.uint64) + U(1)) for i, word in ((x, mine), (y, theirs))]
+        for i, own, rest in ((x, *keys), (y, *reversed(keys))):
+            differ[k] += np.bincount(i[~np.isin(own, rest)], minlength=len(k))
+        both = (self.begin[at + 1] - self.begin[at]) + (other.begin[there + 1] - other.begin[there])
+        return np.where(both > 0, (both - differ) / np.maximum(both + differ, 1), 1.0)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

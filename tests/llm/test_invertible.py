@@ -17,7 +17,7 @@ def test_differences_equal_set_difference():
     made = []
     for digest, owner in (flat(a), flat(b)):
         words = invertible._words(digest)
-        made.append({int(i): t.pick(np.array([k])) for mine, t in invertible.sketches(words, owner, len(sets)) for k, i in enumerate(mine)})
+        made.append({int(i): t.pick(np.array([k])) for mine, t, _, _ in invertible.sketches(words, owner, len(sets)) for k, i in enumerate(mine)})
     short = lambda xs: {int(w) for w in invertible._words(np.array(sorted(xs), dtype=np.uint64))}
     for i in range(len(sets)):
         x, y = made[0][i], made[1][i]
