@@ -38,6 +38,8 @@ SKETCH, SHARED = 64, 38
 PARTNERS = 64
 #: White space that is trimmed; a line of nothing else is blank.
 _BLANK = " \t\x0b\x0c\r"
+#: Words of 64 bits that hold the parities of a set.
+_PARITY = [f"p{i}" for i in range(8)]
 _SIGN = [f"s{i}" for i in range(-(-BANDS * ROWS // 8))]
 
 
@@ -90,12 +92,31 @@ def _agree(x: list[Column], y: list[Column]) -> Column:
     return F.lit(BANDS * ROWS) - differ
 
 
-def shingle_rows(lines: DataFrame, shingle: int, *keep: str) -> DataFrame:
-    """The ``keep`` columns with hs, the hashes of UNROLL neighbouring shingles of ``line`` (at its end the last again); a line that is shorter is one shingle."""
-    rows = lines.select(*keep, F.encode("line", "UTF-32").alias("raw"))
-    rows = rows.withColumn("last", F.greatest(F.octet_length("raw") - (4 * shingle - 1), F.lit(1)))
-    rows = rows.select(*keep, "raw", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * UNROLL))).alias("i"))
-    return rows.select(*keep, F.array(*[F.xxhash64(F.substring("raw", F.least(F.col("i") + 4 * j, F.col("last")), F.lit(4 * shingle))) for j in range(UNROLL)]).alias("hs"))
+def _bound(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` evaluated once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def shingle_set(line: Column, shingle: int) -> Column:
+    """The distinct hashes of a line's character shingles; a line that is shorter is one shingle."""
+
+    def cut(raw: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - (4 * shingle - 1), F.lit(1)), F.lit(4))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(raw, i, F.lit(4 * shingle)))))
+
+    return _bound(F.encode(line, "UTF-32"), cut)
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """w (the line) and p0.., the bits that an odd number of the set's hashes falls on, of every row of lh, s.
+
+    Two sets differ in at least as many elements as these bits differ in places, so that
+    a pair whose bits differ in too many is certainly not similar.
+    """
+    rows = sets.select(F.col("lh").alias("w"), F.explode("s").alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(len(_PARITY) - 1))
+    return rows.groupBy("w").agg(*[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(name) for k, name in enumerate(_PARITY)])
 
 
 def _enough(both: Column, m: Column, n: Column, similar: float) -> Column:
@@ -116,18 +137,17 @@ def hub_links(met: DataFrame, lines: DataFrame, shingle: int, similar: float) ->
     pairs = common.settle(met.where("lh <> hub").where(near).select(F.least("lh", "hub").alias("a"), F.greatest("lh", "hub").alias("b")).distinct(), "pairs")
     texts = _texts(common.settle(pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct(), "wanted"), lines)
     both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lh").alias("b"), F.col("line").alias("y")), "b")
-    sides = F.array(F.struct(F.lit(1).alias("side"), F.col("x").alias("line")), F.struct(F.lit(2).alias("side"), F.col("y").alias("line")))
-    sides = both.repartition(4 * int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b").select("a", "b", F.explode(sides).alias("s")).select("a", "b", "s.side", "s.line")
-    # a pair's rows are in one partition then: the aggregation moves nothing; the number is given, as texts grow tenfold here
-    held = shingle_rows(sides, shingle, "a", "b", "side").groupBy("a", "b").agg(*[F.flatten(F.collect_list(F.when(F.col("side") == k, F.col("hs")))).alias(name) for k, name in ((1, "x"), (2, "y"))])
-    alike = _enough(F.size(F.array_intersect("x", "y")), F.size(F.array_distinct("x")), F.size(F.array_distinct("y")), similar)
-    return common.settle(held.where(alike).select("a", "b"), "links")
+    # a hub's pairs are dealt out again before their sets are cut
+    both = both.repartition(4 * int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    sets = F.struct(shingle_set(F.col("x"), shingle).alias("x"), shingle_set(F.col("y"), shingle).alias("y"))
+    alike = _bound(sets, lambda p: _enough(F.size(F.array_intersect(p["x"], p["y"])), F.size(p["x"]), F.size(p["y"]), similar))
+    return common.settle(both.where(alike).select("a", "b"), "links")
 
 
 def cell_links(cells: DataFrame, similar: float) -> DataFrame:
-    """Links found inside cells (column ``rows``: structs lh, root, own, earlier, sign, low, s; column ``within``).
+    """Links found inside cells (column ``rows``: structs lh, root, own, earlier, s0.., p0.., low, s; columns ``key``, ``within``).
 
-    a, partners: for each line the first PARTNERS lines of other roots that it is like; and more,
+    key, a, partners: for each line the first PARTNERS lines of other roots that it is like; and more,
     whether it has further ones. ``earlier`` are the line's keys in the bands before the
     cell's: a pair that meets there is left to that band.
     """
@@ -136,26 +156,28 @@ def cell_links(cells: DataFrame, similar: float) -> DataFrame:
         apart = (y["lh"] < x["lh"]) & (y["root"] != x["root"]) & (within | (y["own"] != x["own"]))
         m, n = F.size(x["s"]), F.size(y["s"])
         near = F.size(F.array_intersect(x["low"], y["low"])) * SKETCH >= F.least(F.size(x["low"]), F.size(y["low"])) * SHARED
-        agree = _agree([x["sign"][c] for c in _SIGN], [y["sign"][c] for c in _SIGN]) >= LEAST_PLACES
-        tests = [agree, ~F.arrays_overlap(x["earlier"], y["earlier"]), near, _enough(F.least(m, n), m, n, similar), _enough(F.size(F.array_intersect(x["s"], y["s"])), m, n, similar)]
+        agree = _agree([x[c] for c in _SIGN], [y[c] for c in _SIGN]) >= LEAST_PLACES
+        differ = reduce(Column.__add__, [F.bit_count(x[c].bitwiseXOR(y[c])) for c in _PARITY])
+        part = round(similar * 1000)
+        tests = [differ * (1000 + part) <= (m + n) * (1000 - part), agree, ~F.arrays_overlap(x["earlier"], y["earlier"]), near, _enough(F.least(m, n), m, n, similar), _enough(F.size(F.array_intersect(x["s"], y["s"])), m, n, similar)]
         return reduce(lambda rest, test: F.when(test, rest).otherwise(False), reversed([apart, *tests]), F.lit(True))
 
     rows = F.col("rows")
     found = F.transform(rows, lambda x: F.struct(x["lh"].alias("a"), F.transform(F.filter(rows, lambda y: partner(x, y, F.col("within"))), lambda y: y["lh"]).alias("partners")))
-    found = cells.select(F.explode(F.filter(found, lambda x: F.size(x["partners"]) > 0)).alias("l"))
-    return found.select("l.a", F.slice("l.partners", 1, PARTNERS).alias("partners"), (F.size("l.partners") > PARTNERS).alias("more"))
+    found = cells.select("key", F.explode(F.filter(found, lambda x: F.size(x["partners"]) > 0)).alias("l"))
+    return found.select("key", "l.a", F.slice("l.partners", 1, PARTNERS).alias("partners"), (F.size("l.partners") > PARTNERS).alias("more"))
 
 
 def apart_links(left: DataFrame, marks: DataFrame, lines: DataFrame, shingle: int, similar: float) -> DataFrame:
     """Links a, b between lines (key, lh, root) of one key and different roots, enough to join all that are similar.
 
     Buckets of more than BLOCK shingles are dealt out as pairs of blocks. Where a line has
-    more partners than one round gives, another round looks among those that are still apart.
+    more partners than one round gives, another round looks through its buckets, among those that are still apart.
     """
     ids = common.settle(left.select("lh").distinct(), "apart")
-    sets = shingle_rows(_texts(ids, lines), shingle, "lh").groupBy("lh").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("s"))
-    sets = sets.join(common.maybe_in(marks, "lh", ids).select(F.col("lh").alias("w"), F.array(*[f"k{b}" for b in range(BANDS)]).alias("keys"), F.struct(*_SIGN).alias("sign")), F.col("lh") == F.col("w"))
-    sets = common.settle(sets.select("lh", "keys", "sign", F.slice("s", 1, SKETCH).alias("low"), "s"), "sets")
+    sets = common.settle(_texts(ids, lines).select("lh", F.sort_array(shingle_set(F.col("line"), shingle)).alias("s")), "sets")
+    signs = common.maybe_in(marks, "lh", ids).select(F.col("lh").alias("v"), F.array(*[f"k{b}" for b in range(BANDS)]).alias("keys"), *_SIGN)
+    signs = common.settle(parities(sets).join(signs, F.col("w") == F.col("v")).drop("v"), "signs")
     rows = common.settle(left.join(sets.select(F.col("lh").alias("w"), F.size("s").alias("units")), F.col("lh") == F.col("w")).select("key", "lh", "root", "units"), "members")
     links = None
     while True:
@@ -164,17 +186,18 @@ def apart_links(left: DataFrame, marks: DataFrame, lines: DataFrame, shingle: in
         cut = rows.join(sizes, F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("lh", F.lit(7)), F.col("blocks")).cast("int"))
         cut = cut.select("key", "lh", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "lh", "root", "own")
-        full = cut.join(sets.withColumnRenamed("lh", "w"), F.col("lh") == F.col("w"))
+        full = cut.join(signs, F.col("lh") == F.col("w")).join(sets.select(F.col("lh").alias("v"), "s"), F.col("lh") == F.col("v"))
         earlier = F.slice("keys", F.lit(1), F.greatest(F.array_position("keys", F.col("key")).cast("int") - 1, F.lit(0)))
-        cells = full.groupBy("key", "i", "j").agg(F.collect_list(F.struct("lh", "root", "own", earlier.alias("earlier"), "sign", "low", "s")).alias("rows"))
-        found = common.settle(cell_links(cells.select("rows", (F.col("i") == F.col("j")).alias("within")), similar), "cross")
+        cells = full.groupBy("key", "i", "j").agg(F.collect_list(F.struct("lh", "root", "own", earlier.alias("earlier"), *_SIGN, *_PARITY, F.slice("s", 1, SKETCH).alias("low"), "s")).alias("rows"))
+        found = common.settle(cell_links(cells.select("key", "rows", (F.col("i") == F.col("j")).alias("within")), similar), "cross")
         new = found.select("a", F.explode("partners").alias("b")).distinct()
         links = new if links is None else links.union(new)
-        if not found.where("more").head(1):
+        again = found.where("more").select("key").distinct()
+        if not again.head(1):
             return links
         ends = new.join(rows.select(F.col("lh").alias("a"), F.col("root").alias("p")).distinct(), "a").join(rows.select(F.col("lh").alias("b"), F.col("root").alias("q")).distinct(), "b")
         merged = common.settle(components(ends.select(F.col("p").alias("a"), F.col("q").alias("b"))), "merged").withColumnRenamed("root", "to")
-        rows = common.settle(rows.join(merged, F.col("root") == F.col("node"), "left").select("key", "lh", F.coalesce("to", "root").alias("root"), "units"), "members")
+        rows = common.settle(rows.join(again, "key", "left_semi").join(merged, F.col("root") == F.col("node"), "left").select("key", "lh", F.coalesce("to", "root").alias("root"), "units"), "members")
 
 
 def line_roots(lines: DataFrame, shingle: int, similar: float) -> DataFrame:
