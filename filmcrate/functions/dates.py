@@ -26,7 +26,8 @@ NAME_PATTERNS = (
     ("line", "messenger", r"(?iu)^LINE_.*?(?<!\d)(\d{4})(\d{2})(\d{2})(?!\d)", 3),
 )
 GENERAL = r"(?<!\d)((?:19|20)\d{2})([-._]?)(0[1-9]|1[0-2])\2(0[1-9]|[12]\d|3[01])(?:[ _T-]([01]\d|2[0-3])[.:\-]?([0-5]\d)[.:\-]?([0-5]\d))?(?!\d)"
-RENAMED = r"^(\d{4})-(\d{2})-(\d{2})_(\d{2})(\d{2})(\d{2})_"
+RENAMED = r"^(?:\d{4}-\d{2}-\d{2}_\d{6}_)+"
+RENAMED_LENGTH = 18
 RESETS = ("1970-01-01", "1980-01-01", "2000-01-01")
 # Shapes of dates in metadata that are not the standard one, in order, and how many characters each reads.
 META_SHAPES = (
@@ -47,7 +48,6 @@ MANUAL_SHAPES = (
     r"^(\d{4})\.(\d{1,2})\.(\d{1,2})$",
     r"^(\d{4})(\d{2})(\d{2})$",
 )
-DATED = "struct<when:timestamp_ntz,has_time:boolean,source:string,multiple:boolean>"
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def make_date(parts: list[Column], years: tuple[int, int] = (1, 9999)) -> Column:
+def make_date(parts: list[Column], years: tuple[int | Column, int | Column] = (1, 9999)) -> Column:
     """A time from year, month, day and optional hour, minute, second (numbers); null for what no calendar has.
 
     Missing or null hours or minutes mean midnight; seconds count only with both.
@@ -86,7 +86,7 @@ def make_date(parts: list[Column], years: tuple[int, int] = (1, 9999)) -> Column
         return F.struct(p["y"].alias("y"), p["mo"].alias("mo"), p["d"].alias("d"), zero(p["h"]).alias("h"), zero(p["mi"]).alias("mi"), zero(p["s"]).alias("s"))
 
     def build(p: Column) -> Column:
-        good = p["y"].between(max(1, years[0]), years[1]) & (p["s"] <= 59) & (p["h"] <= 23) & (p["mi"] <= 59)
+        good = (p["y"] >= 1) & p["y"].between(*years) & (p["s"] <= 59) & (p["h"] <= 23) & (p["mi"] <= 59)
         return F.when(good, F.try_make_timestamp_ntz(p["y"], p["mo"], p["d"], p["h"], p["mi"], p["s"].cast("decimal(8,6)")))
 
     return let(F.struct(*[g.alias(n) for g, n in zip(given, names, strict=True)]), lambda p: let(clock(p), build))
@@ -96,24 +96,31 @@ def _number(text: Column) -> Column:
     return F.nullif(text, F.lit("")).try_cast("int")
 
 
-def _groups(text: Column, pattern: str, groups: tuple[int, ...] | range) -> list[Column]:
-    return [_number(F.regexp_extract(text, pattern, g)) for g in groups]
+def _parts(text: Column, pattern: str, groups: tuple[int, ...] | range) -> Column:
+    """Texts of groups of a match that reaches from the beginning of ``text``, in one replacement; groups that took no part are empty."""
+    flags, bare = re.match(r"(\(\?\w+\))?(.*)", pattern, re.DOTALL).groups()
+    whole = (flags or "") + bare.removesuffix("$") + r"[\s\S]*$"
+    return F.split(F.regexp_replace(text, whole, ",".join(f"${g}" for g in groups)), ",")
 
 
-def _dated(when: Column, has_time: Column, source: str, multiple: Column) -> Column:
-    made = lambda w: F.when(w.isNotNull(), F.struct(w.alias("when"), has_time.alias("has_time"), F.lit(source).alias("source"), multiple.alias("multiple"))).cast(DATED)
-    return let(when, made)
+def _placed(text: Column, places: tuple[tuple[int, int], ...]) -> Column:
+    """Trimmed texts at fixed places (from 1 on) with fixed lengths."""
+    return F.array(*[F.trim(F.substring(text, at, n)) for at, n in places])
 
 
-def general_dates(stem: Column, years: tuple[int, int]) -> Column:
-    """All valid dates anywhere in a name, as an array of structs (when, has_time)."""
-    found = F.regexp_extract_all(stem, F.lit(GENERAL), F.lit(0))
+def _made(parts: Column, years: tuple[int | Column, int | Column] = (1, 9999)) -> Column:
+    """The time that an array of up to six texts names, null for none."""
+    return make_date([_number(F.get(parts, F.lit(i))) for i in range(6)], years)
 
-    def one(m: Column) -> Column:
-        y, mo, d, h, mi, s = _groups(m, GENERAL, (1, 3, 4, 5, 6, 7))
-        return F.struct(make_date([y, mo, d, h, mi, s], years).alias("when"), h.isNotNull().alias("has_time"))
 
-    return F.filter(F.transform(found, one), lambda d: d["when"].isNotNull())
+def _first_made(parts: Column) -> Column:
+    """The first time of an array of arrays of texts."""
+    return F.get(F.filter(F.transform(F.filter(parts, lambda p: p.isNotNull()), lambda p: _made(p)), lambda d: d.isNotNull()), F.lit(0))
+
+
+def _shaped(text: Column, shape: str) -> Column:
+    """Groups of ``text`` if it has a shape, else null."""
+    return F.when(text.rlike(shape), _parts(text, shape, range(1, shape.count("(") + 1)))
 
 
 def _own_pattern(text: str) -> re.Pattern | None:
@@ -166,41 +173,69 @@ def user_date(stem: Column, opts: DateOptions) -> Column:
     return search(stem)
 
 
-def _plain_name_date(stem: Column, years: tuple[int, int], own: Column | None = None) -> Column:
-    """Date of a name without the prefix of a renamed file."""
+def _plain_name_date(stem: Column, years: tuple[Column, Column], own: Column | None = None) -> Column:
+    """Date of a name without the prefix of a renamed file.
 
-    def choose(found: Column) -> Column:
-        multiple = F.size(F.array_distinct(F.transform(found, lambda d: F.to_date(d["when"])))) > 1
-        tries = []
-        for _, source, pattern, n in NAME_PATTERNS:
-            when = F.when(stem.rlike(pattern), make_date(_groups(stem, pattern, range(1, n + 1)), years))
-            tries.append(_dated(when, F.lit(n == 6), source, multiple))
+    The known patterns and every date anywhere in the name become rows of one array, which
+    one expression turns into times: a name costs one date expression, not one a pattern.
+    """
+    entry = lambda parts, timed, source, known: F.struct(parts.alias("parts"), timed.alias("has_time"), F.lit(source).alias("source"), F.lit(known).alias("known"))
+    rows = [entry(F.when(stem.rlike(p), _parts(stem, p, range(1, n + 1))), F.lit(n == 6), source, True) for _, source, p, n in NAME_PATTERNS]
+    anywhere = F.transform(F.regexp_extract_all(stem, F.lit(GENERAL), F.lit(0)), lambda m: _parts(m, GENERAL, (1, 3, 4, 5, 6, 7)))
+    anywhere = F.transform(anywhere, lambda parts: entry(parts, parts[3] != "", "", False))
+    matched = F.filter(F.concat(F.array(*rows), anywhere), lambda e: e["parts"].isNotNull())
+    made = F.transform(matched, lambda e: F.struct(_made(e["parts"], years).alias("when"), e["has_time"].alias("has_time"), e["source"].alias("source"), e["known"].alias("known")))
+
+    def choose(dates: Column) -> Column:
+        days = F.array_distinct(F.transform(F.filter(dates, lambda d: ~d["known"]), lambda d: F.to_date(d["when"])))
+        first = F.get(dates, F.lit(0))
         if own is not None:
-            tries.append(_dated(own["when"], own["has_time"], "", multiple))
-        first = F.get(found, F.lit(0))
-        return F.coalesce(*tries, _dated(first["when"], first["has_time"], "", multiple))
+            typed = F.when(own["when"].isNotNull(), F.struct(own["when"].alias("when"), own["has_time"].alias("has_time"), F.lit("").alias("source"), F.lit(True).alias("known")))
+            first = F.when(F.coalesce(first["known"], F.lit(False)), first).otherwise(F.coalesce(typed, first))
+        return let(first, lambda d: F.when(d.isNotNull(), F.struct(d["when"].alias("when"), d["has_time"].alias("has_time"), d["source"].alias("source"), (F.size(days) > 1).alias("multiple"))))
+
+    return let(F.filter(made, lambda d: d["when"].isNotNull()), choose)
+
+
+def _prefixes(stem: Column) -> Column:
+    """Struct of the time of the first sortable prefix (null for none that is a real date) and ``n``, how many real ones are stacked."""
 
-    return let(general_dates(stem, years), choose)
+    def read(count: Column) -> Column:
+        at = lambda i: F.substring(stem, (i - 1) * RENAMED_LENGTH + 1, F.lit(RENAMED_LENGTH))
+        made = F.transform(F.sequence(F.lit(1), count), lambda i: _made(_placed(at(i), ((1, 4), (6, 2), (9, 2), (12, 2), (14, 2), (16, 2)))))
+
+        def ahead(times: Column) -> Column:
+            broken = F.array_position(F.transform(times, lambda w: w.isNull()), True)
+            return F.struct(times[0].alias("when"), F.when(broken == 0, count).otherwise(broken - 1).cast("int").alias("n"))
+
+        return F.when(count > 0, let(made, ahead))
+
+    return let((F.length(F.regexp_extract(stem, RENAMED, 0)) / RENAMED_LENGTH).cast("int"), read)
 
 
 def strip_renamed(stem: Column) -> Column:
-    """The name without the sortable prefix, where that is a real date."""
-    valid = stem.rlike(RENAMED) & make_date(_groups(stem, RENAMED, range(1, 7))).isNotNull()
-    return F.when(valid, F.regexp_replace(stem, RENAMED, "")).otherwise(stem)
+    """The name without the first sortable prefix, where that is a real date."""
+    return let(_prefixes(stem), lambda p: F.when(p["n"] > 0, F.substring(stem, F.lit(RENAMED_LENGTH + 1), F.length(stem))).otherwise(stem))
 
 
 def name_date(stem: Column, opts: DateOptions = DateOptions(), own: Column | None = None) -> Column:
     """Struct of when, has_time, source and multiple from a file name without extension; null without a date.
 
     A sortable prefix wins; then the known patterns in order, the user's (``own``, a column
-    made by ``user_date``), any date. A renamed
-    name has the source of the rest; prefixes may be stacked, of which two are looked through.
+    made by ``user_date``), any date. A renamed name has the source of what follows all its
+    stacked prefixes, the user's patterns having none.
     """
-    prefix = F.when(stem.rlike(RENAMED), make_date(_groups(stem, RENAMED, range(1, 7)), opts.years))
-    inner = F.regexp_replace(F.regexp_replace(stem, RENAMED, ""), RENAMED, "")
-    source = F.coalesce(_plain_name_date(inner, (1, 9999))["source"], F.lit(""))
-    renamed = lambda w: F.when(w.isNotNull(), F.struct(w.alias("when"), F.lit(True).alias("has_time"), source.alias("source"), F.lit(False).alias("multiple"))).cast(DATED)
-    return F.coalesce(let(prefix, renamed), _plain_name_date(stem, opts.years, own))
+    low, high = opts.years
+
+    def choose(prefix: Column) -> Column:
+        renamed = F.coalesce(F.year(prefix["when"]).between(low, high), F.lit(False))
+        rest = F.when(renamed, F.substring(stem, prefix["n"] * RENAMED_LENGTH + 1, F.length(stem))).otherwise(stem)
+        years = F.when(renamed, 1).otherwise(low), F.when(renamed, 9999).otherwise(high)
+        named = F.struct(prefix["when"].alias("when"), F.lit(True).alias("has_time"))
+        with_source = lambda d: F.when(renamed, F.struct(named["when"].alias("when"), named["has_time"].alias("has_time"), F.coalesce(d["source"], F.lit("")).alias("source"), F.lit(False).alias("multiple"))).otherwise(d)
+        return let(rest, lambda r: let(_plain_name_date(r, years, own), with_source))
+
+    return let(_prefixes(stem), choose)
 
 
 def source_of(stem: Column) -> Column:
@@ -218,21 +253,17 @@ def parse_meta_date(text: Column) -> Column:
 
     def parse(s: Column) -> Column:
         standard = (F.length(s) == 19) & s.rlike(r"(?s)^.{4}:.{2}:.{2} .{2}:.{2}:.{2}$")
-        digits = lambda at, n: F.trim(F.substring(s, at, n)).try_cast("int")
-        whole = digits(12, 2).isNotNull() & digits(15, 2).isNotNull() & digits(18, 2).isNotNull()
-        fixed = F.when(whole, make_date([digits(1, 4), digits(6, 2), digits(9, 2), digits(12, 2), digits(15, 2), digits(18, 2)]))
-        free = []
-        for shape, n in META_SHAPES:
-            part = F.substring(s, 1, n)
-            free.append(F.when(part.rlike(shape), make_date(_groups(part, shape, range(1, shape.count("(") + 1)))))
-        return F.when((s == "") | s.startswith("0000"), None).when(standard, fixed).otherwise(F.coalesce(*free))
+        fixed = _placed(s, ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2)))
+        whole = let(fixed, lambda p: F.when(F.forall(F.slice(p, 4, 3), lambda x: _number(x).isNotNull()), p))
+        free = F.array(*[_shaped(F.substring(s, 1, n), shape) for shape, n in META_SHAPES])
+        return _first_made(F.when((s == "") | s.startswith("0000"), None).when(standard, F.array(whole)).otherwise(free))
 
     return let(F.substring(bare, 1, 19), parse)
 
 
 def parse_manual(text: Column) -> Column:
     s = F.trim(text)
-    return F.coalesce(*[F.when(s.rlike(p), make_date(_groups(s, p, range(1, p.count("(") + 1)))) for p in MANUAL_SHAPES])
+    return _first_made(F.array(*[_shaped(s, shape) for shape in MANUAL_SHAPES]))
 
 
 def in_range(when: Column, opts: DateOptions) -> Column:
@@ -268,8 +299,8 @@ def resolve(meta: Column, stem: Column, mtime: Column, opts: DateOptions = DateO
         name_basis = F.when(named["multiple"], "name_multi").otherwise("name")
         source = F.coalesce(F.nullif(named["source"], F.lit("")), F.when(F.coalesce(meta["camera"], F.lit("")) != "", "camera").otherwise("other"))
         out = F.when(F.lit(False), found(F.lit(None).cast("timestamp_ntz"), F.lit("")))
-        for part in ("original", "digitized", "datetime"):
-            when = c[part]
+        for i in range(len(fields)):
+            when = c["read"][i]
             reset = F.coalesce(is_reset(when), F.lit(False))
             out = out.when(reset & named.isNotNull(), found(named["when"], name_basis))
             out = out.when(reset & in_range(when, opts), found(when, F.lit("exif_suspect")))
@@ -282,9 +313,10 @@ def resolve(meta: Column, stem: Column, mtime: Column, opts: DateOptions = DateO
         out = out.otherwise(found(F.lit(None).cast("timestamp_ntz"), F.lit("")))
         return let(out, lambda o: F.struct(o["when"].alias("when"), o["basis"].alias("basis"), source.alias("source")))
 
-    parts = [parse_meta_date(meta[f"exif_{p}"]).alias(p) for p in ("original", "digitized", "datetime")]
+    fields = ("original", "digitized", "datetime")
+    read = F.transform(F.array(*[meta[f"exif_{p}"] for p in fields]), parse_meta_date)
     changed = mtime_to_local(mtime, opts.time_zone) if opts.use_mtime else F.lit(None).cast("timestamp_ntz")
-    return let(F.struct(name_date(stem, opts, own).alias("named"), *parts, shown.alias("shown"), changed.alias("changed")), choose)
+    return let(F.struct(name_date(stem, opts, own).alias("named"), read.alias("read"), shown.alias("shown"), changed.alias("changed")), choose)
 
 
 def displayed(when: Column) -> Column:

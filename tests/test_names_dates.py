@@ -73,3 +73,22 @@ def test_path_edges(spark):
     p = spark.createDataFrame([(c[0],) for c in cases], "p string")
     name = paths.basename(F.col("p"))
     assert [tuple(r) for r in p.select("p", paths.dirname(F.col("p")), paths.stem(name), paths.extension(name)).collect()] == cases
+
+
+def test_stacked_prefixes_are_looked_through_as_long_as_they_are_dates(spark):
+    day = "2024-03-15_123456_"
+    cases = {
+        day * 5 + "KakaoTalk_20200101_010101": ("2024-03-15 12:34:56", "kakao"),
+        day + "2024-02-30_000000_KakaoTalk_20200101_010101": ("2024-03-15 12:34:56", ""),
+        "2024-02-30_000000_x": None,
+        "1970-03-15_123456_IMG-20240315-WA0001": ("2024-03-15 00:00:00", ""),
+        day: ("2024-03-15 12:34:56", ""),
+        "": None,
+    }
+    rows = spark.createDataFrame([(s,) for s in [*cases, None]], "s string").select("s", dates.name_date(F.col("s")).alias("d"), dates.strip_renamed(F.col("s")).alias("left")).collect()
+    for r in rows:
+        want = cases.get(r["s"])
+        assert (None if r["d"] is None else (str(r["d"]["when"]), r["d"]["source"])) == want, r["s"]
+    left = {r["s"]: r["left"] for r in rows}
+    assert left[day * 5 + "KakaoTalk_20200101_010101"] == day * 4 + "KakaoTalk_20200101_010101"
+    assert left["2024-02-30_000000_x"] == "2024-02-30_000000_x"
