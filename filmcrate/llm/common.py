@@ -91,6 +91,12 @@ def settle(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """A scratch table, taken away wherever it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """Tables settled in this block are deleted when it ends; what leaves it must rest on one that stays."""
@@ -98,11 +104,8 @@ def passing(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        paths = _open.pop()
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in paths:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(hadoop).delete(at, True)
+        for path in _open.pop():
+            delete(spark, path)
 
 
 def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:

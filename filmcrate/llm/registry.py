@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, invertible, lines, merkle, mixture, privacy, repetition, shards, simhash, toxicity, warc
+from . import bpe, centroids, invertible, lines, merkle, mixture, privacy, repetition, shards, simhash, toxicity, warc
 
 QUERIES = {
     "op1_ftrl_toxicity": toxicity.op1_ftrl_toxicity,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
     "op9_feistel_shards": shards.op9_feistel_shards,
     "op10_minhash_lines": lines.op10_minhash_lines,
+    "op11_hamerly_centroids": centroids.op11_hamerly_centroids,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op7_warc_round_trip": warc.op7_sql,
+    "op11_hamerly_centroids": centroids.op11_sql,
     "op13_merkle_manifest": merkle.op13_sql,
 }
