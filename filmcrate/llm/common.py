@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Rows that a Python function handles at once, whatever the batches it is sent: texts are long.
 BATCH_ROWS = 1024
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words of 64 bits in the filter of ``maybe_in``: what it broadcasts never exceeds so many rows.
 FILTER_WORDS = 1 << 16
 _open: list[list[str]] = []
@@ -79,6 +80,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run in this block are deleted when it is done, not when the driver collects garbage. The setting is as before afterwards."""
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, before)
+
+
 def settle(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write ``df`` to the shared scratch place and read it back: lineage ends here.
 
@@ -87,7 +99,8 @@ def settle(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     path = scratch(df.sparkSession, name)
     if _open and not stays:
         _open[-1].append(path)
-    df.write.parquet(path)
+    with freeing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, invertible, lines, merkle, mixture, privacy, repetition, shards, simhash, toxicity, warc
+from . import bpe, centroids, invertible, lines, merkle, mixture, privacy, repetition, shards, simhash, substrings, toxicity, warc
 
 QUERIES = {
     "op1_ftrl_toxicity": toxicity.op1_ftrl_toxicity,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_feistel_shards": shards.op9_feistel_shards,
     "op10_minhash_lines": lines.op10_minhash_lines,
     "op11_hamerly_centroids": centroids.op11_hamerly_centroids,
+    "op12_debruijn_passages": substrings.op12_debruijn_passages,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op7_warc_round_trip": warc.op7_sql,
     "op11_hamerly_centroids": centroids.op11_sql,
+    "op12_debruijn_passages": substrings.op12_sql,
     "op13_merkle_manifest": merkle.op13_sql,
 }
