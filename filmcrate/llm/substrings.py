@@ -206,7 +206,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     facts = common.settle(names.join(facts, F.col("id") == F.col("i")).drop("i"), "facts")
     rows = common.settle(_candidates(docs, facts), "windows")
     key = ["h1", "h2", "words"]
-    again = rows.groupBy(*key).agg(F.sum("m").alias("n")).where("n > 1").select(*key)
+    again = common.settle(rows.groupBy(*key).agg(F.sum("m").alias("n")).where("n > 1").select(*key), "again")  # written, so that Spark can split the join at a frequent window
     spans = rows.join(again, key).groupBy("id").agg(F.collect_list(F.struct("at", "words")).alias("s"))
     spans = spans.select(F.col("id").alias("i"), F.col("s.at").alias("at"), F.col("s.words").alias("words"))
     return facts.select("id", "k1", "k2").join(spans, F.col("id") == F.col("i")).select("k1", "k2", "at", "words")
