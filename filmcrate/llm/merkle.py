@@ -17,6 +17,8 @@ from . import common
 
 #: Children of a node.
 ARITY = 2
+#: On the way down every so many levels are one plan; then what was reached is written.
+WRITTEN = 6
 #: Columns of a leaf, in the order in which they are hashed.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Rows whose crc32 of doc_id this divides are tampered with.
@@ -76,6 +78,8 @@ def push(levels: list[DataFrame], above: DataFrame, arity: int = ARITY) -> DataF
         child = held.select("grp", "pos", "kids", "proof", F.posexplode("kids").alias("i", "kid"))
         siblings = F.struct(F.array_join(F.slice("kids", F.lit(1), F.col("i")), "").alias("left"), F.array_join(F.slice("kids", F.col("i") + 2, F.lit(arity)), "").alias("right"))
         reached = child.select("grp", (F.col("pos") * arity + F.col("i")).alias("pos"), F.concat(F.array(siblings), F.col("proof")).alias("proof"))
+        if depth > 1 and depth % WRITTEN == 1:
+            reached = common.settle(reached, "reached")
     return held
 
 
