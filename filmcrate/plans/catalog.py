@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, labels, paths, perceptual, templates
 from ..operators import duplicates, folders, grouping, history, incremental, ordering, placement, similar
-from ..sources import binary
+from ..sources import binary, stills
 from . import planner, views
 from .options import Options
 
@@ -406,6 +406,15 @@ def _(spark, sf):
     return similar.suggestions(m, edges).select("idx", "suggested")
 
 
+@query("similar_suggest_pixels", _GROUPS + ", p AS (SELECT idx, group_no, (100 + idx % 4 * 10)::BIGINT * (50 + idx % 3) AS pixels FROM groups), f AS (SELECT group_no, max(pixels) AS best, min(pixels) AS least, min(idx) AS kept FROM p GROUP BY ALL) SELECT idx, pixels, CASE WHEN least < best THEN pixels < best ELSE idx <> kept END AS suggested FROM p JOIN f USING (group_no)")
+def _(spark, sf):
+    """Widths and heights are read from the headers of four formats in turn."""
+    g, edges = similar.groups(views.hashes(spark, sf), 6)
+    m = g.withColumn("size", stills.header_size(views.picture_head(F.col("idx"), 100 + F.col("idx") % 4 * 10, 50 + F.col("idx") % 3)))
+    m = m.select("idx", "group_no", F.lit("x").alias("stem"), perceptual.pixels(F.col("size")).alias("pixels"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("when"), F.lit(1).cast("long").alias("size"), F.lit("/p").alias("path"))
+    return similar.suggestions(m, edges).select("idx", "pixels", "suggested")
+
+
 @query("similar_estimate", f"WITH {PAIRS} SELECT round(sum(CASE kind WHEN 'jpeg' THEN 0.02 WHEN 'image' THEN 0.04 WHEN 'heic' THEN 0.09 WHEN 'raw' THEN 0.25 ELSE 0 END)::DOUBLE, 3) AS seconds FROM pairs")
 def _(spark, sf):
     return similar.estimate_seconds(views.pairs(spark, sf)).select(F.round("seconds", 3).alias("seconds"))

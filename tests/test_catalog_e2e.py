@@ -10,7 +10,7 @@ import pytest
 
 from filmcrate.plans import cli, execution, planner, steps
 from filmcrate.plans.options import Options
-from filmcrate.sources import binary, files, runlog, tree
+from filmcrate.sources import binary, files, runlog, stills, tree
 
 
 def tiff(when, make=b"Apple\0", model=b"iPhone\0"):
@@ -190,8 +190,8 @@ def test_files_are_never_replaced(tmp_path):
 
 def test_readers():
     read = lambda data: lambda at, n: data[at : at + n]
-    assert binary.jpeg_tags(read(jpeg("2024:01:02 03:04:05")))["original"] == "2024:01:02 03:04:05"
-    assert binary.tiff_tags(read(tiff("2024:01:02 03:04:05")))["make"] == "Apple"
+    assert stills.jpeg_tags(read(jpeg("2024:01:02 03:04:05")))["original"] == "2024:01:02 03:04:05"
+    assert stills.tiff_tags(read(tiff("2024:01:02 03:04:05")))["make"] == "Apple"
     clip = movie(1711185560, b"2024-03-15T12:34:56+0900")
     assert binary.video_dates(read(clip), len(clip)) == {"video_utc": datetime.datetime(2024, 3, 23, 9, 19, 20), "video_local": datetime.datetime(2024, 3, 15, 12, 34, 56)}
     keys = box(b"keys", b"\0\0\0\0" + struct.pack(">I", 1) + box(b"mdta", b"com.apple.quicktime.creationdate"))
