@@ -25,6 +25,7 @@ NAME_PATTERNS = (
     ("band", "messenger", r"(?iu)^band_(\d{4})(\d{2})(\d{2})(?!\d)", 3),
     ("line", "messenger", r"(?iu)^LINE_.*?(?<!\d)(\d{4})(\d{2})(\d{2})(?!\d)", 3),
 )
+# A date anywhere in a name, stems that were renamed before (a prefix and its length), and days that clocks are reset to.
 GENERAL = r"(?<!\d)((?:19|20)\d{2})([-._]?)(0[1-9]|1[0-2])\2(0[1-9]|[12]\d|3[01])(?:[ _T-]([01]\d|2[0-3])[.:\-]?([0-5]\d)[.:\-]?([0-5]\d))?(?!\d)"
 RENAMED = r"^(?:\d{4}-\d{2}-\d{2}_\d{6}_)+"
 RENAMED_LENGTH = 18
@@ -40,7 +41,7 @@ META_SHAPES = (
     (r"^(\d{4}):(\d{1,2}):(\d{1,2})$", 10),
     (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", 10),
 )
-#: Formats a person may type for a date.
+# What a user may type as a date.
 MANUAL_SHAPES = (
     r"^(\d{4})-(\d{1,2})-(\d{1,2}) (\d{1,2}):(\d{1,2}):(\d{1,2})$",
     r"^(\d{4})-(\d{1,2})-(\d{1,2}) (\d{1,2}):(\d{1,2})$",

@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .templates import template_problem
+
 # Folder names and source names by language.
 WORDS = {
     "en": {"folder_nodate": "No Date", "folder_dupes": "_Duplicates", "folder_heic": "_Original_HEIC", "source_kakao": "KakaoTalk", "source_screenshot": "Screenshots", "source_messenger": "Messengers", "source_camera": "Camera", "source_other": "Other"},
@@ -25,6 +27,7 @@ CHOICES = {"theme": ("light", "dark", "system"), "mode": ("move", "copy"), "icc"
 RANGES = {"quality": (80, 100), "year_min": (1900, 2100), "year_max": (0, 2100), "similar_threshold": (0, 16)}
 #: A version text is at most this long.
 VERSION_LENGTH = 32
+TEXT_LENGTHS = {"update_check_last": 10, "update_check_skipped": VERSION_LENGTH}
 
 
 def language_table(spark: SparkSession, words: Mapping[str, Mapping[str, str]] = WORDS) -> DataFrame:
@@ -52,18 +55,23 @@ def _read_object(path: str) -> dict:
 
 
 def coerce_settings(data: Mapping) -> dict:
-    """Defaults, replaced by given values of the same type (a boolean is no number), among the choices and in the range."""
-
-    def fits(name: str, value) -> bool:
-        default = SETTINGS[name]
-        if type(value) is not type(default):
-            return False
-        low, high = RANGES.get(name, (value, value)) if isinstance(value, int) and not isinstance(value, bool) else (value, value)
-        if isinstance(value, list):
-            return all(isinstance(x, str) for x in value)
-        return value in CHOICES.get(name, (value,)) and low <= value <= high
-
-    return {name: data[name] if name in data and fits(name, data[name]) else default for name, default in SETTINGS.items()}
+    """Defaults, replaced by given values of the same type (a boolean is no number), among the choices and in the range.
+
+    Of a list of name patterns the texts that are not blank stay. A folder template that the
+    command line would refuse is the default one. Texts about the last check for a newer version are cut to their lengths.
+    """
+    out = dict(SETTINGS)
+    for name in SETTINGS.keys() & data.keys():
+        value, default = data[name], SETTINGS[name]
+        if type(value) is type(default) and value in CHOICES.get(name, (value,)):
+            low, high = RANGES.get(name, (value, value))
+            out[name] = value if low <= value <= high else default
+    out["name_patterns"] = [p for p in out["name_patterns"] if isinstance(p, str) and p.strip()]
+    if not out["pattern"].strip() or template_problem(out["pattern"]):
+        out["pattern"] = SETTINGS["pattern"]
+    for name, length in TEXT_LENGTHS.items():
+        out[name] = out[name].strip()[:length]
+    return out
 
 
 def coerce_column(name: str, value: Column) -> Column:
