@@ -54,7 +54,7 @@ def sources_at(slots: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.minimum(np.searchsorted(edges, point, side="right"), len(edges) - 1)
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 0, key: str = "") -> tuple[DataFrame, DataFrame]:
     """Two tables: the documents as the mix sees them, and the pieces it reads.
 
     Documents: doc_id, source, size, src (source's number), source_size, target, start (first
@@ -64,11 +64,13 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int =
     Null texts, empty texts and texts of white space have size 0 and are never read; a null
     source is a source of its own, the last. Repeated rows are read separately. An empty
     table, or one without words, gives an empty mix. The order, hence the whole mix, depends
-    on the rows and the seed only. Columns besides doc_id, text and source are not read.
+    on the rows and the seed only. Columns besides doc_id, text and source are not read, but
+    for ``key``, which the documents keep where it is given.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    thin = common.pick(docs, "doc_id", "text", "source").select("doc_id", "source", F.regexp_count(text, F.lit(_WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+    more = [key] if key else []
+    thin = common.pick(docs, "doc_id", "text", "source", *more).select(*more, "doc_id", "source", F.regexp_count(text, F.lit(_WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     thin = common.settle(thin, "sizes")
     totals = thin.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
@@ -92,7 +94,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int =
     before = held.select(F.col("src"), F.col("bin"), F.coalesce(F.sum("held").over(Window.partitionBy("src").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = Window.partitionBy("src", "bin").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(before, ["src", "bin"]).withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(own), F.lit(0)))
-    rows = common.settle(rows.select("doc_id", "source", "size", "src", "source_size", "target", "start"), "stream")
+    rows = common.settle(rows.select(*more, "doc_id", "source", "size", "src", "source_size", "target", "start"), "stream")
 
     @F.pandas_udf("int")
     def source_of(k: pd.Series) -> pd.Series:
@@ -116,15 +118,40 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int =
     return rows, real.join(plan, ["src", "block"]).select("slot", "src", "start", "doc_id", "size", "from_word", "words")
 
 
-def taken_words(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 0) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target and taken."""
-    rows, pieces = mix_sources(docs, weights, seed)
+def taken_words(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 0, key: str = "") -> DataFrame:
+    """One row a document: the ``key`` and its start in the stream if one is given, doc_id, source, size, source_size, target and taken."""
+    rows, pieces = mix_sources(docs, weights, seed, key)
     read = pieces.groupBy("src", "start").agg(F.sum("words").alias("taken"))
     full = rows.where("size > 0").join(read, ["src", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-    names = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    names = [*([key, "start"] if key else []), "doc_id", "source", "size", "source_size", "target", "taken"]
     return full.select(*names).union(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*names))
 
 
+def read_times(docs: DataFrame, key: str) -> DataFrame:
+    """``key`` (unique) and times: how often a mix of whole documents reads each, EPOCHS times at most; once where there are no words.
+
+    A document is read as often as the mix takes all of its words. What a source is then
+    short of, since its last document was taken in part, the documents behind that one in
+    the stream make up; what these leave, one more whose size comes nearest to it, or none
+    if that would be farther off.
+    """
+    taken = common.settle(taken_words(docs, key=key).select(key, "start", "source", "size", "taken"), "taken")
+    part = F.col("taken") % F.col("size")
+    worded = taken.where("size > 0").withColumn("times", F.expr("taken div size"))
+    short = worded.groupBy("source").agg(F.sum(part).alias("short"), F.max(F.when(part > 0, F.col("start") + F.col("size"))).alias("behind")).where("short > 0").withColumnRenamed("source", "s")
+    behind = (F.col("start") >= F.col("behind")) & (F.col("start") + F.col("size") <= F.col("behind") + F.col("short")) & (F.col("times") < EPOCHS)
+    once = F.coalesce(behind, F.lit(False)).cast("int")
+    times = worded.join(short, F.col("source").eqNullSafe(F.col("s")), "left").select(key, "source", "size", "short", once.alias("once"), (F.col("times") + once).cast("int").alias("times"))
+    times = common.settle(times, "times")
+    left = times.groupBy("source").agg((F.max("short") - F.sum(F.col("once") * F.col("size"))).alias("left")).where("left > 0").select(F.col("source").alias("s"), "left")
+    off = F.abs(F.col("size") - F.col("left"))
+    last = times.where(F.col("times") < EPOCHS).join(left, F.col("source").eqNullSafe(F.col("s"))).where(off < F.col("left"))
+    last = last.groupBy("s").agg(F.min_by(key, F.struct(off, key)).alias("last")).select("last")
+    times = times.join(last, F.col(key) == F.col("last"), "left").select(key, (F.col("times") + F.col("last").isNotNull().cast("int")).alias("times"))
+    return times.union(taken.where("size = 0").select(key, F.lit(1).alias("times")))
+
+
 def op3_golden_schedule(spark, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every row of ``documents``; see ``mix_sources`` for nulls, ties, repeated rows and empty tables."""
     out = taken_words(common.read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")

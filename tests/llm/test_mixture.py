@@ -72,3 +72,27 @@ def test_small_sources_of_a_large_mix(spark):
     got = mixture.taken_words(big.union(rows.where("doc_id > 0"))).where("doc_id > 0").collect()
     assert len(got) == 40
     assert all(0 < r["taken"] <= 3 * r["size"] and abs(r["taken"] - r["target"]) <= 64 for r in got)
+
+
+def test_whole_documents_come_near_the_targets(spark):
+    """Ids that are null, shared or negative, texts that differ under one id, rows that repeat, a source of one very long text."""
+    rows = [(None if i % 2 else 7, f"a{i} " * 40, "a") for i in range(40)] + [(-i, f"b{i} " * 40, "b") for i in range(40)]
+    rows += [(5, "c " * 13, "c"), (5, "c " * 13, "c"), (None, None, "c"), (9, " \n", None), (9, "z " * 900, None), (9, "z " * 7, None), (1, "long " * 3000, "d"), *[(2, f"d{i} " * 30, "d") for i in range(200)]]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row long, doc_id long, text string, source string")
+    times = {r["row"]: r["times"] for r in mixture.read_times(docs, "row").collect()}
+    assert len(times) == len(rows) and all(0 <= t <= mixture.EPOCHS for t in times.values())
+    sizes = [len((t or "").split()) for _, t, _ in rows]
+    assert all(times[i] == 1 for i, n in enumerate(sizes) if not n)
+    names = ["a", "b", "c", "d", None]
+    of = lambda s: [i for i, r in enumerate(rows) if r[2] == s]
+    goal = mixture.targets([sum(sizes[i] for i in of(s)) for s in names], [5, 2, 1, 5, 2])
+    for s, g in zip(names, goal, strict=True):
+        read = sum(times[i] * sizes[i] for i in of(s))
+        worded = sorted(sizes[i] for i in of(s) if sizes[i])
+        assert abs(read - g) <= worded[len(worded) // 2] / 2 + mixture.SLOT_WORDS, (s, read, g)
+
+
+def test_read_times_of_nothing(spark):
+    docs = spark.createDataFrame([], "row long, doc_id long, text string, source string")
+    assert mixture.read_times(docs, "row").collect() == []
+    assert [tuple(r) for r in mixture.read_times(spark.createDataFrame([(3, 1, None, "s")], docs.schema), "row").collect()] == [(3, 1)]
