@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, paths
-from ..operators import duplicates, folders, grouping, placement
+from ..operators import duplicates, folders, grouping, incremental, placement
 from ..operators import similar as similar_
 from ..operators.ordering import kept
 from ..sources import binary, pictures, tree
@@ -24,6 +24,11 @@ class Plan:
     items: DataFrame
     empty_dirs: DataFrame
     serial: int = 0
+    #: paths of files that are not on this machine, and of folders that could not be listed
+    cloud: DataFrame | None = None
+    denied: DataFrame | None = None
+    #: files whose content was read for the plan; None where no snapshot was kept
+    opened: int | None = None
 
 
 def _lead(field: str) -> Column:
@@ -194,13 +199,18 @@ def find_similar(items: DataFrame, threshold: int = 6) -> DataFrame:
     return photos.join(told, F.col("idx") == F.col("i")).select("key", "group_no", "suggested")
 
 
-def make_plan(spark: SparkSession, opts: Options, dedupe: bool = True, overrides: DataFrame | None = None, similar: DataFrame | None = None, threshold: int | None = None) -> Plan:
+def make_plan(spark: SparkSession, opts: Options, dedupe: bool = True, overrides: DataFrame | None = None, similar: DataFrame | None = None, threshold: int | None = None, snapshot: str = "") -> Plan:
     """List, read, group, date, deduplicate and place a folder tree.
 
     With a ``threshold``, similar pictures are looked for too; ``similar`` gives groups found before instead.
+    With a ``snapshot`` folder, only files that are new or changed since the last plan with it are opened.
     """
     listing = kept(tree.listing(spark, opts.root, tree.exclusions(opts.root, opts.target)))
-    media = kept(binary.read_media(tree.media_files(listing)))
+    media, opened = tree.media_files(listing), None
+    if snapshot:
+        media, opened = incremental.rescan(media, snapshot, binary.read_media, opts.case_insensitive)
+    else:
+        media = kept(binary.read_media(media))
     if opts.dates.user_patterns:
         media = media.withColumn("user_date", dates.user_date(paths.stem(F.col("name")), opts.dates))
     items = grouping.group_pairs(media, opts.case_insensitive)
@@ -224,7 +234,7 @@ def make_plan(spark: SparkSession, opts: Options, dedupe: bool = True, overrides
     files = kept(files.join(read, F.col("path") == F.col("rp"), "left").select("path", "size", F.coalesce(F.nullif("sha1", F.lit("")), "rs", F.lit("")).alias("sha1"), "scanned"))
     planned = kept(build(_with_hashes(items, files), files, opts, dupes, similar, overrides))
     gone = empty_dirs(planned, listing.where("what in ('file', 'cloud')").select("path"), tree.folders(listing), opts, tree.denied_folders(listing))
-    return Plan(opts, planned, gone)
+    return Plan(opts, planned, gone, cloud=tree.cloud_files(listing), denied=tree.denied_folders(listing), opened=opened)
 
 
 def _with_hashes(items: DataFrame, files: DataFrame) -> DataFrame:

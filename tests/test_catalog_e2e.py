@@ -8,6 +8,7 @@ import struct
 
 import pytest
 
+from filmcrate.operators import incremental
 from filmcrate.plans import cli, execution, planner, steps
 from filmcrate.plans.options import Options
 from filmcrate.sources import binary, files, runlog, stills, tree
@@ -239,3 +240,38 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.run(spark, parse([root, "--dedupe"])) == 0 and snapshot(root) != before
     assert cli.run(spark, parse([root, "--undo"])) == 0
     assert cli.run(spark, parse([root, "--undo"])) == 1
+
+
+def test_a_second_plan_opens_only_what_changed(spark, tmp_path):
+    root, snap = str(tmp_path / "in"), str(tmp_path / "snapshot")
+    fill(root)
+    opts = Options(root, str(tmp_path / "out"))
+    rows = lambda plan: sorted((r["key"], str(r["when"]), r["basis"], r["status"], r["dsts"]) for r in plan.items.collect())
+    plain = rows(planner.make_plan(spark, opts))
+    first = planner.make_plan(spark, opts, snapshot=snap)
+    n = sum(len(names) for _, _, names in os.walk(root))
+    assert rows(first) == plain and n - 3 <= first.opened <= n
+    again = planner.make_plan(spark, opts, snapshot=snap)
+    assert again.opened == 0 and rows(again) == plain
+    # one file changes, one is new, one moves inside the drive, one goes
+    with open(f"{root}/a/IMG_1234.jpg", "wb") as f:
+        f.write(jpeg("2021:01:01 01:01:01", b"changed"))
+    with open(f"{root}/a/new.jpg", "wb") as f:
+        f.write(jpeg("2021:02:02 02:02:02", b"new"))
+    os.rename(f"{root}/b/copy/20240320_141516.jpg", f"{root}/b/copy/renamed.jpg")
+    os.remove(f"{root}/d/20240320_141516.jpg")
+    third = planner.make_plan(spark, opts, snapshot=snap)
+    assert third.opened == 2 and rows(third) == rows(planner.make_plan(spark, opts))
+    assert incremental.versions(spark, snap) == [2, 3]
+    held = {r["path"] for r in spark.read.parquet(f"{snap}/version=3").collect()}
+    assert f"{root}/b/copy/renamed.jpg" in held and f"{root}/d/20240320_141516.jpg" not in held
+
+
+def test_bad_settings_in_a_file_do_no_harm(spark, tmp_path, capsys):
+    root = str(tmp_path / "in")
+    fill(root)
+    (tmp_path / "settings.json").write_text('{"pattern": "{bogus}/../x", "name_patterns": ["(", 3, "(?P<y>\\\\d{4})x(?P<m>\\\\d\\\\d)x(?P<d>\\\\d\\\\d)"], "quality": "high"}')
+    (tmp_path / "in" / "2019x05x06.jpg").write_bytes(jpeg(tail=b"by pattern"))
+    assert cli.run(spark, cli.parser().parse_args([root, "--dry-run", "--settings", str(tmp_path / "settings.json")])) == 0
+    told = capsys.readouterr().out
+    assert "bogus" not in told and "2019/2019-05-06/2019x05x06.jpg" in told
