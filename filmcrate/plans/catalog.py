@@ -552,6 +552,23 @@ def _(spark, sf):
     return history.run_counts(views.ops(spark, sf))
 
 
+_CUT = "cut AS (SELECT user_id, min(event_id) AS at FROM events WHERE event_id % 97 = 0 GROUP BY 1), left_ AS (SELECT e.user_id, e.event_id, e.event_type FROM events e LEFT JOIN cut c ON c.user_id = e.user_id WHERE c.at IS NULL OR e.event_id < c.at)"
+
+
+@query("journal_recovered", f"WITH {_CUT} SELECT user_id::VARCHAR AS log, 'r' || user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_type AS op FROM left_ WHERE user_id % 3 <> 0 UNION ALL SELECT DISTINCT user_id::VARCHAR, 'r' || user_id, 0, 'told' FROM events WHERE user_id % 3 = 0 OR (user_id % 3 = 1 AND user_id NOT IN (SELECT user_id FROM left_))")
+def _(spark, sf):
+    """Every user's events as the journal of a run, cut at a line: of users by three the run is closed, open with a step in its document, or not in it."""
+    e = views.table(spark, sf, "events")
+    line = F.when(F.col("event_id") % 97 == 0, F.lit('{"op": "br')).otherwise(F.to_json(F.struct(F.col("event_type").alias("op"))))
+    log = F.col("user_id").cast("string").alias("log")
+    head = F.concat(F.lit('{"journal": {"id": "r'), F.col("user_id").cast("string"), F.lit('", "open": true}}'))
+    at = lambda n: F.struct(F.lit(0).cast("long").alias("split"), n.cast("long").alias("line")).alias("at")
+    lines = e.select(log, at(F.col("event_id")), line.alias("value")).union(e.select("user_id").distinct().select(log, at(F.lit(-1)), head))
+    runs = e.where("user_id % 3 < 2").select("user_id").distinct()
+    runs = runs.select(log, F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("id"), (F.col("user_id") % 3 == 1).alias("open"), F.array(F.struct(F.lit("told").alias("op"))).alias("ops"))
+    return history.recovered_steps(runs, lines, "struct<op:string>").select("log", "id", "seq", "op")
+
+
 @query("undo_latest_run", f"WITH {STEPS} SELECT max(run_id) AS run_id FROM steps WHERE NOT undone")
 def _(spark, sf):
     return history.latest_pending(views.ops(spark, sf))

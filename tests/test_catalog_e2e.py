@@ -2,13 +2,14 @@
 
 import datetime
 import hashlib
+import json
 import os
 import random
 import struct
 
 import pytest
 
-from filmcrate.operators import incremental
+from filmcrate.operators import history, incremental
 from filmcrate.plans import cli, execution, planner, steps
 from filmcrate.plans.options import Options
 from filmcrate.sources import binary, files, runlog, stills, tree
@@ -275,3 +276,40 @@ def test_bad_settings_in_a_file_do_no_harm(spark, tmp_path, capsys):
     assert cli.run(spark, cli.parser().parse_args([root, "--dry-run", "--settings", str(tmp_path / "settings.json")])) == 0
     told = capsys.readouterr().out
     assert "bogus" not in told and "2019/2019-05-06/2019x05x06.jpg" in told
+
+
+def test_many_journals_fold_like_one(spark, tmp_path):
+    """Documents and journals of every kind, recovered as tables and one by one."""
+    step = lambda i: {"op": "move", "src": f"/a/{i}", "dst": f"/b/{i}", "size": i}
+    head = lambda name, open_=True: {"journal": {"id": name, "time": "t", "source": "/a", "dest": "/b", "mode": "move", "undone": False, "open": open_}}
+    run = lambda name, n, **more: {"id": name, "ops": [step(i) for i in range(n)], **more}
+    cases = [
+        ([run("x", 0, open=True)], [head("x"), *map(step, range(5))], ""),
+        ([run("x", 3, open=True)], [head("x"), step(0)], ""),
+        ([run("x", 2)], [head("x"), *map(step, range(5))], ""),
+        ([run("w", 1)], [head("x"), *map(step, range(4))], '{"op": "mo'),
+        ([run("w", 1)], [head("x", False), step(1)], ""),
+        ([], [step(0), step(1)], ""),
+        ([run("w", 2), run("x", 0, open=True)], [head("x"), step(0), [1], 3, step(1)], "\n" + json.dumps(step(9))),
+        ([run("x", 1)], [], ""),
+        ([run("x", 0, open=True)], [head("x"), *map(step, range(3000))], ""),
+    ]
+    logs = []
+    for i, (runs, rows, tail) in enumerate(cases):
+        (tmp_path / str(i)).mkdir()
+        logs.append(runlog.log_path(str(tmp_path / str(i))))
+        with open(logs[-1], "w") as f:
+            json.dump({"version": 1, "runs": runs}, f)
+        if rows:
+            with open(logs[-1] + runlog.JOURNAL, "w") as f:
+                f.write("".join(json.dumps(r) + "\n" for r in rows) + tail)
+    want = sorted((log, r["id"], k, s.get("src")) for log in logs for r in runlog.load(log)["runs"] for k, s in enumerate(r["ops"]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        lines = runlog.journals_table(spark, logs)
+        got = history.recovered_steps(runlog.runs_table(spark, logs), lines, runlog.OP).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(("/" + r["log"].removeprefix("file:").lstrip("/"), r["id"], r["seq"], r["src"]) for r in got) == want
+    assert runlog.journals_table(spark, [str(tmp_path / "none")]).collect() == []
