@@ -21,11 +21,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--settings", default="")
     p.add_argument("--pattern", default="")
     p.add_argument("--snapshot", default="", help="folder that remembers what was read, for the next time")
-    for flag in ("copy", "dry-run", "undo", "use-mtime", "include-nodate", "convert-heic", "heic-only", "dedupe", "similar"):
+    for flag in ("copy", "dry-run", "undo", "use-mtime", "include-nodate", "convert-heic", "heic-only", "dedupe", "similar", "progress"):
         p.add_argument(f"--{flag}", action="store_true")
     return p
 
 
+def _told(done: int, total: int) -> None:
+    print(f"\r{done}/{total} tasks", end="", file=sys.stderr, flush=True)
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
     root = os.path.abspath(args.folder)
     if not os.path.isdir(root):
@@ -49,7 +53,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         print("a copy needs another folder", file=sys.stderr)
         return 2
     opts = from_settings(settings | {"dest": ""}, root, dest, "copy" if args.copy else "move", args.heic_only, args.convert_heic or args.heic_only, now=datetime.datetime.now(), time_zone=spark._jvm.java.util.TimeZone.getDefault().getID())
-    plan = planner.make_plan(spark, opts, args.dedupe or args.similar, threshold=settings["similar_threshold"] if args.similar else None, snapshot=args.snapshot)
+    plan = planner.make_plan(spark, opts, args.dedupe or args.similar, threshold=settings["similar_threshold"] if args.similar else None, snapshot=args.snapshot, progress=_told if args.progress else None)
     for rows, what in ((plan.cloud, "only in the cloud, left out"), (plan.denied, "folder cannot be listed")):
         for row in rows.orderBy("path").toLocalIterator():
             print(f"{row['path']}: {what}", file=sys.stderr)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,7 @@ from ..operators import similar as similar_
 from ..operators.ordering import kept
 from ..sources import binary, pictures, tree
 from .options import OVERRIDES, Options
+from .progress import watched
 
 DUPES = "key string, dup_of string, reason string"
 SIMILAR = "key string, group_no long, suggested boolean"
@@ -199,12 +202,18 @@ def find_similar(items: DataFrame, threshold: int = 6) -> DataFrame:
     return photos.join(told, F.col("idx") == F.col("i")).select("key", "group_no", "suggested")
 
 
-def make_plan(spark: SparkSession, opts: Options, dedupe: bool = True, overrides: DataFrame | None = None, similar: DataFrame | None = None, threshold: int | None = None, snapshot: str = "") -> Plan:
+def make_plan(spark: SparkSession, opts: Options, dedupe: bool = True, overrides: DataFrame | None = None, similar: DataFrame | None = None, threshold: int | None = None, snapshot: str = "", progress: Callable[[int, int], None] | None = None, cancel: threading.Event | None = None) -> Plan:
     """List, read, group, date, deduplicate and place a folder tree.
 
     With a ``threshold``, similar pictures are looked for too; ``similar`` gives groups found before instead.
     With a ``snapshot`` folder, only files that are new or changed since the last plan with it are opened.
+    ``progress`` and ``cancel`` reach listing, reading and hashing as well (``progress.watched``).
     """
+    with watched(spark, progress, cancel):
+        return _plan(spark, opts, dedupe, overrides, similar, threshold, snapshot)
+
+
+def _plan(spark: SparkSession, opts: Options, dedupe: bool, overrides: DataFrame | None, similar: DataFrame | None, threshold: int | None, snapshot: str) -> Plan:
     listing = kept(tree.listing(spark, opts.root, tree.exclusions(opts.root, opts.target)))
     media, opened = tree.media_files(listing), None
     if snapshot:

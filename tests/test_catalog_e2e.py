@@ -6,12 +6,15 @@ import json
 import os
 import random
 import struct
+import threading
+import time
 
 import pytest
 
 from filmcrate.operators import history, incremental
 from filmcrate.plans import cli, execution, planner, steps
 from filmcrate.plans.options import Options
+from filmcrate.plans.progress import Cancelled, watched
 from filmcrate.sources import binary, files, runlog, stills, tree
 
 
@@ -313,3 +316,29 @@ def test_many_journals_fold_like_one(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(("/" + r["log"].removeprefix("file:").lstrip("/"), r["id"], r["seq"], r["src"]) for r in got) == want
     assert runlog.journals_table(spark, [str(tmp_path / "none")]).collect() == []
+
+
+def test_a_plan_tells_its_progress_and_can_be_cancelled(spark, tmp_path):
+    for i in range(6000):
+        os.makedirs(tmp_path / str(i % 20), exist_ok=True)
+        (tmp_path / str(i % 20) / f"IMG_{i}.jpg").write_bytes(jpeg("2024:01:02 03:04:05", str(i).encode()))
+    told, cancel, when = [], threading.Event(), []
+
+    def progress(done, total):
+        told.append((done, total))
+        if len(told) == 5:
+            when.append(time.monotonic())
+            cancel.set()
+
+    with pytest.raises(Cancelled):
+        planner.make_plan(spark, Options(str(tmp_path)), progress=progress, cancel=cancel)
+    assert time.monotonic() - when[0] < 2
+    assert all(0 <= done <= total for done, total in told)
+    with pytest.raises(Cancelled):
+        planner.make_plan(spark, Options(str(tmp_path)), cancel=cancel)
+    # jobs outside the block go on
+    assert spark.range(10).count() == 10
+    few = []
+    with watched(spark, lambda *counts: few.append(counts), threading.Event()):
+        assert spark.range(0, 1000, 1, 40).selectExpr("reflect('java.lang.Thread', 'sleep', 20L)").count() == 1000
+    assert few
