@@ -330,4 +330,5 @@ def _compare(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def op2_invertible_sketch(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of every row of ``documents`` and of its edited text, and how alike they are; see ``edit_likeness`` for nulls, ties, repeated rows and empty tables."""
     return edit_likeness(common.read(spark, sf_dir, "documents"))

@@ -200,4 +200,5 @@ def find_private(docs: DataFrame) -> DataFrame:
 
 
 def op4_weak_supervision(spark, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data in every row of ``documents``; see ``find_private`` for nulls, very long texts and empty tables."""
     return find_private(common.read(spark, sf_dir, "documents"))

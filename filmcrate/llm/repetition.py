@@ -97,4 +97,5 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
 
 
 def op5_repetition_coverage(spark, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every row of ``documents``; see ``repetition_rules`` for nulls, very long texts and empty tables."""
     return repetition_rules(common.read(spark, sf_dir, "documents"))

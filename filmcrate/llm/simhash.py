@@ -297,5 +297,6 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, shingle: int =
 
 
 def op6_simhash_pigeonhole(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``; see ``near_duplicates`` for nulls, ties, repeated rows and empty tables."""
     out = near_duplicates(common.read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

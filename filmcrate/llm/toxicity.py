@@ -183,5 +183,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_ftrl_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Toxicity score of every row of ``documents`` by a model fitted on rows that are not held out.
+
+    Null texts count as empty; repeated rows are scored alike, texts of any length whole. For
+    labels that are null, unknown, of one class only or not there see ``train``. An empty
+    table gives no rows. Columns besides doc_id and text are not read.
+    """
     docs = common.read(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, common.read(spark, sf_dir, "labels")))

@@ -1,8 +1,10 @@
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from filmcrate.llm import repetition, shards
 
@@ -77,3 +79,42 @@ def test_texts_on_which_polynomial_hashes_collide():
     kept = [w for w in map(str, range(100)) if int(flat.word_hashes(flat.flatten([w]))[0]) % invertible.CUT][:2]
     digest, doc = invertible.paragraphs([" ".join(kept[b ^ k] for b in bits) for k in (0, 1)])
     assert doc.tolist() == [0, 1] and digest[0] != digest[1]
+
+
+def _place(x, n, seed=0):
+    """A row's place by the definition in Python integers: halves swapped six times, each mixed into the other, until it falls inside."""
+    m = (1 << 64) - 1
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    low = (1 << half) - 1
+    keys = [(seed * 0x9E3779B97F4A7C15 + (i + 1) * 0xD1B54A32D192ED03) & m for i in range(6)]
+
+    def mixed(v, key):
+        v = (v + key) & m
+        v = ((v ^ v >> 30) * 0xBF58476D1CE4E5B9) & m
+        v = ((v ^ v >> 27) * 0x94D049BB133111EB) & m
+        return v ^ v >> 31
+
+    while True:
+        left, right = x >> half, x & low
+        for key in keys:
+            left, right = right, left ^ mixed(right, key) & low
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_op9_equals_the_definition(spark):
+    """Every column of the query, recomputed from the table by plain Python."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    data = [((r["text"] or "").encode(), r["doc_id"]) for r in rows]
+    order = sorted((d is not None, d or 0, zlib.crc32(t), len(t) + 1) for t, d in data)
+    want = [(d if there else None, size, crc, "rows", _place(i, len(order)) % 16, _place(i, len(order)) // 16, None) for i, (there, d, crc, size) in enumerate(order)]
+    got = shards.op9_feistel_shards(spark, sf).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_rules_with_clashing_columns_and_a_very_long_text(spark):
+    rows = spark.createDataFrame([(1, "word " * 300_000), (2, None)], "doc_id long, text string")
+    wide = rows.select("*", F.lit("x").alias("Text"), F.lit(5).alias("n_words"), F.lit("y").alias("text"), F.lit(9).alias("kept"))
+    assert sorted(tuple(r) for r in repetition.repetition_rules(wide).collect()) == sorted(tuple(r) for r in repetition.repetition_rules(rows).collect())
