@@ -75,12 +75,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         print(f"{need} bytes needed", file=sys.stderr)
         return 1
     try:
-        done = execution.execute(plan, quality=settings["quality"])
+        done = execution.execute(plan, quality=settings["quality"], icc=settings["icc"])
     except OSError as exc:
         print(exc, file=sys.stderr)
         return 1
     for path, why in done.failed:
         print(f"{path}: {why}", file=sys.stderr)
+    for path, what in done.notes:
+        print(f"{path}: {what}")
     print(f"{done.done} moved, {done.converted} converted, log {done.log_path or '-'}")
     return 1 if done.failed else 0
 
