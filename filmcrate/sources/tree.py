@@ -1,7 +1,7 @@
-"""A directory tree as a DataFrame: Python data source ``media_tree``.
+"""A directory tree as a DataFrame, listed in rounds.
 
-The root is listed on the driver as far as its first two levels; every folder found there is
-a partition whose subtree an executor walks. Links are not entered, excluded folders are
+A round is a table of folders; its tasks list them and go on downwards, each up to a number
+of folders, and hand back those they did not reach for the next round. Links are not entered, excluded folders are
 never listed, and a folder that cannot be listed gives a row instead of an error. Spark's own
 binary source is no substitute: it hides names that begin with _ or . and empty files, and
 follows links round in circles.
@@ -14,22 +14,22 @@ from __future__ import annotations
 
 import os
 import stat
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import labels, paths
+from ..operators.ordering import kept
 
 SCHEMA = "what string, path string, size long, mtime double, mode int, attributes long, device long, inode long, files array<string>, subdirs array<string>"
-_SPLIT_LEVELS = 2
-
-
-class Subtree(InputPartition):
-    def __init__(self, folder: str, deep: bool):
-        super().__init__(folder)
-        self.folder, self.deep = folder, deep
+_COLUMNS = [field.split()[0] for field in SCHEMA.split(", ")]
+#: Folders that the first round's one task lists, those that each task of a later round lists, and rows given to Spark at once.
+FIRST_FOLDERS, MOST_FOLDERS, BATCH = 256, 4096, 10_000
 
 
 def list_folder(folder: str, excluded: frozenset[str]) -> tuple[tuple | None, list[tuple], list[str]]:
@@ -58,56 +58,54 @@ def list_folder(folder: str, excluded: frozenset[str]) -> tuple[tuple | None, li
     return own, rows, subs
 
 
-def walk(top: str, excluded: frozenset[str] = frozenset()) -> Iterator[tuple]:
-    """Rows of a whole subtree, top down; links are not entered."""
-    stack = [top]
-    while stack:
-        own, rows, subs = list_folder(stack.pop(), excluded)
-        if own:
-            yield own
-        yield from rows
-        stack += reversed(subs)
+def walk(folders: Iterable[str], excluded: frozenset[str] = frozenset(), most: int | None = None) -> Iterator[tuple]:
+    """Rows of the given folders and of what lies below, level by level; links are not entered.
 
-
-class TreeReader(DataSourceReader):
-    def __init__(self, root: str, excluded: frozenset[str]):
-        self.root, self.excluded = root, excluded
-
-    def partitions(self) -> list[Subtree]:
-        out, level = [], [self.root]
-        for _ in range(_SPLIT_LEVELS):
-            out += [Subtree(f, False) for f in level]
-            level = [s for f in level for s in list_folder(f, self.excluded)[2]]
-        return out + [Subtree(f, True) for f in level]
-
-    def read(self, part: Subtree) -> Iterator[tuple]:
-        if part.deep:
-            yield from walk(part.folder, self.excluded)
-            return
-        own, rows, _ = list_folder(part.folder, self.excluded)
+    Once ``most`` folders are listed, those still to do are rows of what = todo.
+    """
+    ahead, listed = deque(folders), 0
+    given = len(ahead)
+    while ahead:
+        folder = ahead.popleft()
+        if most is not None and listed >= max(most, given):
+            yield ("todo", folder, *[None] * 8)
+            continue
+        own, rows, subs = list_folder(folder, excluded)
+        listed += 1
         if own:
             yield own
         yield from rows
+        ahead += subs
 
 
-class MediaTree(DataSource):
-    """Options: path (the root), exclude (paths joined by newlines)."""
+def _round(folders: DataFrame, excluded: frozenset[str], most: int) -> DataFrame:
+    """One round over rows folder: every task walks down from its folders until it has listed enough."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "media_tree"
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = walk([f for batch in batches for f in batch["folder"]], excluded, most)
+        while rows := list(islice(found, BATCH)):
+            yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
 
-    def schema(self) -> str:
-        return SCHEMA
+    return folders.mapInPandas(run, SCHEMA)
 
-    def reader(self, schema) -> TreeReader:
-        excluded = frozenset(p.lower() for p in self.options.get("exclude", "").split("\n") if p)
-        return TreeReader(os.path.abspath(self.options["path"]), excluded)
 
+def listing(spark: SparkSession, root: str, exclude: list[str] | None = None, first: int = FIRST_FOLDERS, most: int = MOST_FOLDERS) -> DataFrame:
+    """Rows of the tree below ``root``; excluded folders (whole paths, in any case) are never listed.
 
-def listing(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
-    spark.dataSource.register(MediaTree)
-    return spark.read.format("media_tree").option("exclude", "\n".join(exclude or [])).load(root)
+    Listed in rounds: what a round's tasks did not reach is dealt out anew to all tasks of
+    the next, so that one deep or wide subtree is many tasks' work. The driver only counts.
+    A root that cannot be listed is a denied row; a tree without files gives its folders.
+    """
+    excluded = frozenset(p.lower() for p in exclude or [])
+    ahead, rounds = spark.createDataFrame([(os.path.abspath(root),)], "folder string").coalesce(1), []
+    while True:
+        rows = kept(_round(ahead, excluded, most if rounds else first))
+        rounds.append(rows.where("what <> 'todo'"))
+        todo = rows.where("what = 'todo'").select(F.col("path").alias("folder"))
+        left = todo.count()
+        if not left:
+            return reduce(DataFrame.union, rounds)
+        ahead = todo.repartition(min(left, max(2 * spark.sparkContext.defaultParallelism, left // most)))
 
 
 def media_files(rows: DataFrame) -> DataFrame:

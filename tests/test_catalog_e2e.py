@@ -216,6 +216,29 @@ def test_listing_hides_links_and_exclusions(spark, tmp_path):
     assert {os.path.relpath(r["path"], tmp_path) for r in tree.folders(rows).collect()} >= {".", "a", "e", "g"}
 
 
+def test_listing_in_rounds_gives_the_same_rows(spark, tmp_path):
+    """One chain fifteen folders deep beside a folder of sixty folders: with three folders a task, many rounds and many tasks."""
+    deep = tmp_path / "deep"
+    for n in range(15):
+        deep = deep / f"d{n}"
+        deep.mkdir(parents=True)
+        (deep / f"f{n}.jpg").write_bytes(b"x" * n)
+    for n in range(60):
+        (tmp_path / "wide" / f"w{n}" / "in").mkdir(parents=True)
+        (tmp_path / "wide" / f"w{n}" / "in" / "a b.jpg").write_bytes(b"")
+    (tmp_path / "wide" / "w7" / "link").symlink_to(tmp_path / "deep")
+    gone = str(tmp_path / "wide" / "w9").upper()
+    wanted = sorted((r[0], r[1], r[2], r[8], r[9]) for r in tree.walk([str(tmp_path)], frozenset([gone.lower()])))
+    assert sum(w[0] == "file" for w in wanted) == 15 + 59 + 1 and len({w[1] for w in wanted}) == len(wanted)
+    for first, most in ((1, 3), (5, 1), (10**6, 1)):
+        rows = tree.listing(spark, str(tmp_path), [gone], first, most)
+        assert sorted((r["what"], r["path"], r["size"], r["files"], r["subdirs"]) for r in rows.collect()) == wanted
+    ahead = [(str(tmp_path / "wide" / f"w{n}"),) for n in range(8)]
+    one = tree._round(spark.createDataFrame(ahead, "folder string").coalesce(1), frozenset(), 3).groupBy("what").count().collect()
+    assert {r["what"]: r["count"] for r in one} == {"dir": 8, "file": 1, "todo": 8}  # the link is a file
+    assert [tuple(r)[:2] for r in tree.listing(spark, str(tmp_path / "absent")).collect()] == [("denied", str(tmp_path / "absent"))]
+
+
 def test_log_recovery(spark, tmp_path):
     log = runlog.RunLog(str(tmp_path), "/src", "move")
     log.add(op="move", src="/src/a", dst="/x/a")
