@@ -12,6 +12,7 @@ decides. Only counts of vote patterns reach the driver, a number fixed by the la
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,21 +35,46 @@ ORDINARY = ("id", "no", "nr", "number", "page", "version", "model", "part", "isb
 LABELERS = 4
 #: Code points before and after a candidate that the context labelers see.
 WINDOW = 32
+#: Matches of a text whose places are found in one go.
+BLOCK = 256
 
 
 def _find(text: Column, pattern: str, likely: Column) -> Column:
-    """start, end and value of all matches, leftmost and without overlap: what lies between them and they themselves, laid end to end."""
+    """start, end and value of all matches, leftmost and without overlap: what lies between them and they themselves, laid end to end.
+
+    Matches are taken in blocks of ``BLOCK``: an array that grows match by match is copied for
+    each of them, so it is grown inside a block only, and where blocks begin is summed apart.
+    """
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    begin = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(F.coalesce(x["hit"], F.lit("")))
+    def width(x: Column) -> Column:
+        return F.length(x["gap"]) + F.length(F.coalesce(x["hit"], F.lit("")))
+
+    def place(acc: Column, x: Column) -> Column:
+        start, end = acc["at"] + F.length(x["gap"]), acc["at"] + width(x)
         more = F.when(x["hit"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))))
         return F.struct(end.alias("at"), more.alias("found"))
 
-    return F.when(likely, F.aggregate(zipped, begin, step, lambda acc: acc["found"])).otherwise(none)
+    def placed(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("found")), place, lambda acc: acc["found"])
+
+    def in_blocks(pieces: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(pieces), F.lit(BLOCK))
+        blocks = F.transform(firsts, lambda first: F.slice(pieces, first, F.lit(BLOCK)))
+        return _once(blocks, lambda held: F.flatten(F.zip_with(held, begins(held), placed)))
+
+    def begins(blocks: Column) -> Column:
+        """Where each block starts: the sums of the widths before it."""
+        widths = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + width(x)))
+        return F.slice(F.aggregate(widths, F.array(F.lit(0)), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + w))), F.lit(1), F.size(blocks))
+
+    return F.when(likely, _once(zipped, lambda pieces: F.when(F.size(pieces) <= BLOCK, placed(pieces, F.lit(0))).otherwise(in_blocks(pieces)))).otherwise(none)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _digits(value: Column) -> Column:

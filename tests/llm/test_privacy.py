@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from filmcrate.llm import privacy
 
@@ -64,3 +65,11 @@ def test_em_separates_reliable_from_random_votes():
 def test_small_tables(spark, rows):
     df = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, spans string, n_ip int")
     assert sorted(r["n_email"] for r in privacy.find_private(df).collect()) == sorted(int(r[1] is not None) for r in rows)
+
+
+def test_many_matches_of_one_text(spark):
+    """Around the borders of blocks, and far beyond them: 40,000 addresses in one text take no longer for each than few do."""
+    texts = [" ".join(f"u{i}@h{i % 9}.org" + "é" * (i % 3) for i in range(n)) for n in (0, 1, privacy.BLOCK - 1, privacy.BLOCK, privacy.BLOCK + 1, 2 * privacy.BLOCK, 5 * privacy.BLOCK + 3, 40_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", privacy._find(F.col("text"), privacy.EMAIL, F.lit(True)).alias("s"))
+    for r in rows.collect():
+        assert [(s["start"], s["end"], s["value"]) for s in r["s"]] == [(m.start(), m.end(), m[0]) for m in re.finditer(PLAIN["email"], texts[r["doc_id"]])]
