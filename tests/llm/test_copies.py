@@ -78,3 +78,20 @@ def test_repeated_and_missing_identifiers(spark):
     rows = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in data], SHAPE)
     got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in cp.drop_copies(spark, rows, "").collect()))
     assert got == sorted([(1, a), (2, b), (3, c), (3, d), (0, "x y z"), (0, ""), (0, " ")])
+
+
+def test_simhash_search_gives_links_that_jaccard_confirms(spark):
+    rng = random.Random(8)
+    docs = []
+    for i in range(0, 60, 2):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+        docs += [(i, " ".join(words)), (i + 1, " ".join(changed(rng, words, 1)))]
+    docs += [(100, "same six words for both here"), (101, "Same six  words for both here"), (102, "other words")]
+    found = {tuple(sorted((r["a"], r["b"]))) for r in copies.sketch_links(spark.createDataFrame(docs, "th long, text string")).collect()}
+    assert (100, 101) in found and len(found) > 25
+    known = dict(docs)
+    assert all(jaccard(grams(known[a]), grams(known[b])) >= 0.8 for a, b in found)
+
+
+def test_simhash_search_of_nothing(spark):
+    assert copies.sketch_links(spark.createDataFrame([], "th long, text string")).collect() == []
