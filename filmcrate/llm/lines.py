@@ -10,7 +10,8 @@ other in cells of bounded size; only links leave a cell. Links become components
 distributed union-find, and the first line of each component stays.
 
 Shingles become rows that are aggregated in the same stage (UNROLL of them a row), so that
-hashing and minima stay in generated code. Only lines that share a bucket have their texts
+hashing and minima stay in generated code. Arrays that are costly to make are exploded by the
+outer forms: for the others Spark makes the array twice, first to leave out empty ones. Only lines that share a bucket have their texts
 fetched, and only the links' and the repeated lines' places are looked up.
 """
 
@@ -55,7 +56,9 @@ def _point(k: int) -> int:
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), line_no, lh (hash of the line) and line, of every line that is not blank."""
     rows = common.pick(docs, "doc_id", "text").where("text is not null")
-    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
+    # beside the explode, the hash of the text would be taken again for every line
+    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.split(F.lower("text"), "\n", -1).alias("lines"))
+    rows = rows.select("doc_id", "th", F.posexplode_outer("lines").alias("line_no", "line"))
     odd = reduce(Column.__or__, [end("line", F.lit(c)) for c in _BLANK for end in (F.startswith, F.endswith)])
     # cutting other characters than the space walks the whole line, so only lines that need it are cut
     rows = rows.withColumn("line", F.when(odd, F.trim("line", F.lit(_BLANK))).otherwise(F.col("line"))).where("line <> ''")
@@ -70,7 +73,7 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """
     rows = lines.select("lh", F.col("line").cast("binary").alias("raw"))
     rows = rows.withColumn("last", F.greatest(F.octet_length("raw") - (shingle - 1), F.lit(1)))
-    rows = rows.select("lh", "raw", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(UNROLL))).alias("i"))
+    rows = rows.select("lh", "raw", "last", F.explode_outer(F.sequence(F.lit(1), F.col("last"), F.lit(UNROLL))).alias("i"))
     begin = [F.col("i"), *(F.least(F.col("i") + j, F.col("last")) for j in range(1, UNROLL))]
     rows = rows.select("lh", "i", *[F.xxhash64(F.substring("raw", at, F.lit(shingle))).alias(f"h{j}") for j, at in enumerate(begin)])
     nearest = [F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(_point(k))) for j in range(UNROLL)])).alias(f"m{k}") for k in range(BANDS * ROWS)]
@@ -97,26 +100,35 @@ def _bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _hashes(raw: Column, shingle: int, width: int) -> Column:
+    """Hashes of the shingles of a text of ``width`` bytes a character, repeats included; a shorter text is one shingle."""
+    size = shingle * width
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - (size - 1), F.lit(1)), F.lit(width))
+    return F.transform(starts, lambda i: F.xxhash64(F.substring(raw, i, F.lit(size))))
+
+
 def shingle_set(line: Column, shingle: int) -> Column:
     """The distinct hashes of a line's character shingles; a line that is shorter is one shingle."""
+    return F.array_distinct(_bound(F.encode(line, "UTF-32"), lambda raw: _hashes(raw, shingle, 4)))
 
-    def cut(raw: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - (4 * shingle - 1), F.lit(1)), F.lit(4))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(raw, i, F.lit(4 * shingle)))))
 
-    return _bound(F.encode(line, "UTF-32"), cut)
+def shingle_sets(x: Column, y: Column, shingle: int) -> list[Column]:
+    """The sets of two lines that are compared with each other only: cut from their bytes where these are the characters of both."""
+    plain = (F.octet_length(x) == F.length(x)) & (F.octet_length(y) == F.length(y))
+    cut = lambda line: F.when(plain, _hashes(line.cast("binary"), shingle, 1)).otherwise(_bound(F.encode(line, "UTF-32"), lambda raw: _hashes(raw, shingle, 4)))
+    return [F.array_distinct(cut(x)), F.array_distinct(cut(y))]
 
 
 def parities(sets: DataFrame) -> DataFrame:
-    """w (the line) and p0.., the bits that an odd number of the set's hashes falls on, of every row of lh, s.
+    """w (the line), units (size of the set) and p0.., the bits that an odd number of the set's hashes falls on, of every row of lh, s.
 
     Two sets differ in at least as many elements as these bits differ in places, so that
     a pair whose bits differ in too many is certainly not similar.
     """
-    rows = sets.select(F.col("lh").alias("w"), F.explode("s").alias("h"))
+    rows = sets.select(F.col("lh").alias("w"), F.explode_outer("s").alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(len(_PARITY) - 1))
-    return rows.groupBy("w").agg(*[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(name) for k, name in enumerate(_PARITY)])
+    return rows.groupBy("w").agg(F.count("*").cast("int").alias("units"), *[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(name) for k, name in enumerate(_PARITY)])
 
 
 def _enough(both: Column, m: Column, n: Column, similar: float) -> Column:
@@ -139,32 +151,53 @@ def hub_links(met: DataFrame, lines: DataFrame, shingle: int, similar: float) ->
     both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lh").alias("b"), F.col("line").alias("y")), "b")
     # a hub's pairs are dealt out again before their sets are cut
     both = both.repartition(4 * int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    sets = F.struct(shingle_set(F.col("x"), shingle).alias("x"), shingle_set(F.col("y"), shingle).alias("y"))
-    alike = _bound(sets, lambda p: _enough(F.size(F.array_intersect(p["x"], p["y"])), F.size(p["x"]), F.size(p["y"]), similar))
+    x, y = shingle_sets(F.col("x"), F.col("y"), shingle)
+    # exploded, the sets are columns: evaluated once, and compared by generated code
+    both = both.select("a", "b", F.array(F.struct(x.alias("x"), y.alias("y"))).alias("p")).select("a", "b", F.explode_outer("p").alias("p")).select("a", "b", "p.*")
+    alike = _enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), similar)
     return common.settle(both.where(alike).select("a", "b"), "links")
 
 
-def cell_links(cells: DataFrame, similar: float) -> DataFrame:
-    """Links found inside cells (column ``rows``: structs lh, root, own, earlier, s0.., p0.., low, s; columns ``key``, ``within``).
+def _partners(rows: Column, within: Column, similar: float, whole: bool) -> Column:
+    """Of a cell's rows (structs lh, root, own, earlier, units, s0.., p0..; if ``whole`` low, s too) a, and partners: lines of other roots that pass the tests.
 
-    key, a, partners: for each line the first PARTNERS lines of other roots that it is like; and more,
-    whether it has further ones. ``earlier`` are the line's keys in the bands before the
-    cell's: a pair that meets there is left to that band.
+    Without the whole sets the tests only leave out what is certainly not similar, or as
+    good as never. ``earlier`` are the line's keys in the bands before the cell's: a pair
+    that meets there is left to that band.
     """
 
-    def partner(x: Column, y: Column, within: Column) -> Column:
+    def partner(x: Column, y: Column) -> Column:
         apart = (y["lh"] < x["lh"]) & (y["root"] != x["root"]) & (within | (y["own"] != x["own"]))
-        m, n = F.size(x["s"]), F.size(y["s"])
-        near = F.size(F.array_intersect(x["low"], y["low"])) * SKETCH >= F.least(F.size(x["low"]), F.size(y["low"])) * SHARED
+        m, n = x["units"], y["units"]
         agree = _agree([x[c] for c in _SIGN], [y[c] for c in _SIGN]) >= LEAST_PLACES
         differ = reduce(Column.__add__, [F.bit_count(x[c].bitwiseXOR(y[c])) for c in _PARITY])
         part = round(similar * 1000)
-        tests = [differ * (1000 + part) <= (m + n) * (1000 - part), agree, ~F.arrays_overlap(x["earlier"], y["earlier"]), near, _enough(F.least(m, n), m, n, similar), _enough(F.size(F.array_intersect(x["s"], y["s"])), m, n, similar)]
+        tests = [_enough(F.least(m, n), m, n, similar), differ * (1000 + part) <= (m + n) * (1000 - part), agree, ~F.arrays_overlap(x["earlier"], y["earlier"])]
+        if whole:
+            near = F.size(F.array_intersect(x["low"], y["low"])) * SKETCH >= F.least(F.size(x["low"]), F.size(y["low"])) * SHARED
+            tests += [near, _enough(F.size(F.array_intersect(x["s"], y["s"])), m, n, similar)]
         return reduce(lambda rest, test: F.when(test, rest).otherwise(False), reversed([apart, *tests]), F.lit(True))
 
-    rows = F.col("rows")
-    found = F.transform(rows, lambda x: F.struct(x["lh"].alias("a"), F.transform(F.filter(rows, lambda y: partner(x, y, F.col("within"))), lambda y: y["lh"]).alias("partners")))
-    found = cells.select("key", F.explode(F.filter(found, lambda x: F.size(x["partners"]) > 0)).alias("l"))
+    found = F.transform(rows, lambda x: F.struct(x["lh"].alias("a"), F.transform(F.filter(rows, lambda y: partner(x, y)), lambda y: y["lh"]).alias("partners")))
+    return F.filter(found, lambda x: F.size(x["partners"]) > 0)
+
+
+def cell_members(cells: DataFrame, similar: float) -> DataFrame:
+    """key, i, j, lh of the lines that may have a partner in their cell (columns key, i, j, rows), by what is known without their sets."""
+    found = _partners(F.col("rows"), F.col("i") == F.col("j"), similar, False)
+    lines = F.transform(found, lambda x: F.concat(F.array(x["a"]), x["partners"]))
+    return cells.select("key", "i", "j", F.explode_outer(F.array_distinct(F.flatten(lines))).alias("lh")).where("lh is not null")
+
+
+def cell_links(cells: DataFrame, similar: float) -> DataFrame:
+    """Links found inside cells (columns key, i, j, rows with whole sets).
+
+    key, a, partners: for each line the first PARTNERS lines of other roots that it is like; and more,
+    whether it has further ones.
+    """
+    rows = F.transform("rows", lambda x: x.withField("low", F.slice(x["s"], 1, SKETCH)))
+    cells = cells.select("key", (F.col("i") == F.col("j")).alias("within"), rows.alias("rows"))
+    found = cells.select("key", F.explode_outer(_partners(F.col("rows"), F.col("within"), similar, True)).alias("l")).where("l is not null")
     return found.select("key", "l.a", F.slice("l.partners", 1, PARTNERS).alias("partners"), (F.size("l.partners") > PARTNERS).alias("more"))
 
 
@@ -175,21 +208,27 @@ def apart_links(left: DataFrame, marks: DataFrame, lines: DataFrame, shingle: in
     more partners than one round gives, another round looks through its buckets, among those that are still apart.
     """
     ids = common.settle(left.select("lh").distinct(), "apart")
-    sets = common.settle(_texts(ids, lines).select("lh", F.sort_array(shingle_set(F.col("line"), shingle)).alias("s")), "sets")
+    texts = _texts(ids, lines)
     signs = common.maybe_in(marks, "lh", ids).select(F.col("lh").alias("v"), F.array(*[f"k{b}" for b in range(BANDS)]).alias("keys"), *_SIGN)
-    signs = common.settle(parities(sets).join(signs, F.col("w") == F.col("v")).drop("v"), "signs")
-    rows = common.settle(left.join(sets.select(F.col("lh").alias("w"), F.size("s").alias("units")), F.col("lh") == F.col("w")).select("key", "lh", "root", "units"), "members")
+    signs = common.settle(parities(texts.select("lh", shingle_set(F.col("line"), shingle).alias("s"))).join(signs, F.col("w") == F.col("v")).drop("v"), "signs")
+    rows = common.settle(left.join(signs.select("w", "units"), F.col("lh") == F.col("w")).select("key", "lh", "root", "units"), "members")
+    earlier = F.slice("keys", F.lit(1), F.greatest(F.array_position("keys", F.col("key")).cast("int") - 1, F.lit(0)))
+    known = ["lh", "root", "own", earlier.alias("earlier"), "units", *_SIGN, *_PARITY]
     links = None
     while True:
         sizes = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("units").alias("units"))
         sizes = common.settle(sizes.where("low < high").select(F.col("key").alias("k"), F.ceil(F.col("units") / BLOCK).cast("int").alias("blocks")), "buckets")
-        cut = rows.join(sizes, F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("lh", F.lit(7)), F.col("blocks")).cast("int"))
+        cut = rows.drop("units").join(sizes, F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("lh", F.lit(7)), F.col("blocks")).cast("int"))
         cut = cut.select("key", "lh", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "lh", "root", "own")
-        full = cut.join(signs, F.col("lh") == F.col("w")).join(sets.select(F.col("lh").alias("v"), "s"), F.col("lh") == F.col("v"))
-        earlier = F.slice("keys", F.lit(1), F.greatest(F.array_position("keys", F.col("key")).cast("int") - 1, F.lit(0)))
-        cells = full.groupBy("key", "i", "j").agg(F.collect_list(F.struct("lh", "root", "own", earlier.alias("earlier"), *_SIGN, *_PARITY, F.slice("s", 1, SKETCH).alias("low"), "s")).alias("rows"))
-        found = common.settle(cell_links(cells.select("key", "rows", (F.col("i") == F.col("j")).alias("within")), similar), "cross")
+        full = cut.join(signs, F.col("lh") == F.col("w"))
+        cells = full.groupBy("key", "i", "j").agg(F.collect_list(F.struct(*known)).alias("rows"))
+        # whole sets are cut and moved only for lines that may have a partner
+        near = common.settle(cell_members(cells, similar), "near")
+        sets = common.settle(texts.join(near.select("lh").distinct(), "lh", "left_semi").select(F.col("lh").alias("v"), F.sort_array(shingle_set(F.col("line"), shingle)).alias("s")), "sets")
+        full = full.join(near, ["key", "i", "j", "lh"], "left_semi").join(sets, F.col("lh") == F.col("v"))
+        cells = full.groupBy("key", "i", "j").agg(F.collect_list(F.struct(*known, "s")).alias("rows"))
+        found = common.settle(cell_links(cells, similar), "cross")
         new = found.select("a", F.explode("partners").alias("b")).distinct()
         links = new if links is None else links.union(new)
         again = found.where("more").select("key").distinct()
@@ -204,8 +243,8 @@ def line_roots(lines: DataFrame, shingle: int, similar: float) -> DataFrame:
     """lh and root of every line that occurs more than once or is like another; lines of one component share a root."""
     marks = common.settle(signatures(lines, shingle), "marks")
     bands = marks.select("lh", "n", *_SIGN, F.explode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = common.settle(bands.join(shared, "key").select("key", "lh", "n", "size", *_SIGN), "met")
+    shared = common.settle(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    met = common.settle(common.maybe_in(bands, "key", shared.select("key")).join(shared, "key").select("key", "lh", "n", "size", *_SIGN), "met")
     hubs = met.groupBy("key").agg(F.min(F.struct(-F.col("n"), "lh", *_SIGN)).alias("first")).select("key", "first")
     met = common.settle(met.join(hubs, "key").select("key", "lh", F.col("first.lh").alias("hub"), "size", *_SIGN, "first"), "hubs")
     links = hub_links(met, lines, shingle, similar)
@@ -231,10 +270,11 @@ def removed_lines(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMI
     gives an empty one; columns besides doc_id and text are not read.
     """
     with common.passing(docs.sparkSession):
-        lines = common.settle(line_table(docs), "lines")
+        lines = common.settle(line_table(docs), "lines", codec="zstd")
         named = line_roots(lines, shingle, similar)
         place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th", "line_no").alias("at")
-        rows = common.settle(lines.select("lh", place).join(named, "lh").select("root", "at"), "places")
+        few = common.maybe_in(lines.select("lh", "doc_id", "th", "line_no"), "lh", named.select("lh"))
+        rows = common.settle(few.select("lh", place).join(named, "lh").select("root", "at"), "places")
         least = common.settle(rows.groupBy("root").agg(F.min("at").alias("kept")), "least")
         gone = rows.join(least, "root").where(F.col("at") != F.col("kept"))
         gone = gone.select("at.doc_id", "at.th", "at.line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")).distinct()
@@ -275,6 +315,9 @@ def op10_minhash_lines(spark, sf_dir: str) -> DataFrame:
     docs = common.pick(common.read(spark, sf_dir, "documents"), "doc_id", "text")
     line = F.struct("line_no", "kept_doc_id", "kept_line_no")
     each = F.transform(F.array_sort(F.collect_list(line)), lambda x: F.concat(x["line_no"].cast("string"), F.lit(":"), F.coalesce(x["kept_doc_id"].cast("string"), F.lit("")), F.lit(":"), x["kept_line_no"].cast("string")))
-    out, doc_id, text = _with_gone(docs, removed_lines(docs), F.count("*").alias("n"), F.array_join(each, ",").alias("list"))
-    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1, F.lit(0)).cast("long")
-    return out.select(doc_id.alias("doc_id"), n_lines.alias("n_lines"), F.coalesce("n", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("list", F.lit("")).alias("removed"))
+    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("long")
+    found = removed_lines(docs).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.count("*").alias("n"), F.array_join(each, ",").alias("list"))
+    # texts are counted and hashed before the join, so that none is moved
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), n_lines.alias("n_lines"))
+    out = rows.join(found, rows["doc_id"].eqNullSafe(found["_d"]) & (rows["th"] == found["_t"]), "left")
+    return out.select("doc_id", "n_lines", F.coalesce("n", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("list", F.lit("")).alias("removed"))

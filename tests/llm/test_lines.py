@@ -113,3 +113,46 @@ def test_query_on_odd_rows(spark, tmp_path, monkeypatch):
     assert sorted(out, key=key) == sorted(want, key=key)
     kept = lines.dedup_lines(rows)
     assert kept.columns == rows.columns and kept.count() == len(data)
+
+
+def test_costly_arrays_are_made_once(spark):
+    """No filter on the size of the lines of a text, or of the shingles of a line, makes these a first time."""
+    table = lines.line_table(spark.createDataFrame([(1, "some line of text\nother")], "doc_id long, text string"))
+    sets = table.select("lh", lines.shingle_set(table["line"], 9).alias("s"))
+    for made in (table, lines.signatures(table), lines.parities(sets)):
+        assert "size(" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_query_moves_no_text(spark):
+    """The join that adds what was removed has identifiers, hashes and counts on its left side, and no text."""
+    plan = lines.op10_minhash_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    out = plan.children().head().output()
+    assert [out.apply(i).dataType().typeName() for i in range(out.size())] == ["long", "long", "long"]
+
+
+def test_whole_sets_only_for_lines_that_may_have_a_partner(spark, monkeypatch):
+    """Of lines that share buckets, and that no hub joins, those have their sets written that may be like another; no link is lost."""
+    rng, held, settle = random.Random(31), {}, lines.common.settle
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(60)]
+    docs = [(i, edit(rng, " ".join(words), 12)) for i in range(120)] + [(500 + i, edit(rng, " ".join(words), 1)) for i in range(6)]
+
+    def counted(df, name, *args, **kwargs):
+        out = settle(df, name, *args, **kwargs)
+        held[name] = held.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(lines.common, "settle", counted)
+    got = {(r["doc_id"], r["line_no"], r["kept_doc_id"], r["kept_line_no"]) for r in lines.removed_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert held["apart"] > 60 and 2 * held["sets"] < held["apart"]
+    assert got == plain(docs)
+
+
+def test_sets_of_a_pair_equal_sets_of_characters(spark):
+    """Two lines share as many shingles, whether their bytes are cut or their characters."""
+    pairs = [("abcdefghijkl", "abcdefghijkm"), ("abcdefghijkl\u00e9", "abcdefghijkl"), ("\U0001f600" * 12, "\U0001f600" * 11 + "a"), ("ab", "ab"), ("x" * 50, "x" * 40)]
+    rows = spark.createDataFrame(pairs, "x string, y string").select("x", "y", *[c.alias(n) for c, n in zip(lines.shingle_sets(lines.F.col("x"), lines.F.col("y"), 9), "st", strict=True)])
+    for r in rows.collect():
+        a, b = shingles(r["x"]), shingles(r["y"])
+        assert (len(r["s"]), len(r["t"]), len(set(r["s"]) & set(r["t"]))) == (len(a), len(b), len(a & b))
