@@ -150,7 +150,7 @@ def hub_links(met: DataFrame, lines: DataFrame, shingle: int, similar: float) ->
     texts = _texts(common.settle(pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct(), "wanted"), lines)
     both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lh").alias("b"), F.col("line").alias("y")), "b")
     # a hub's pairs are dealt out again before their sets are cut
-    both = both.repartition(4 * int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    both = both.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
     x, y = shingle_sets(F.col("x"), F.col("y"), shingle)
     # exploded, the sets are columns: evaluated once, and compared by generated code
     both = both.select("a", "b", F.array(F.struct(x.alias("x"), y.alias("y"))).alias("p")).select("a", "b", F.explode_outer("p").alias("p")).select("a", "b", "p.*")
@@ -255,7 +255,7 @@ def line_roots(lines: DataFrame, shingle: int, similar: float) -> DataFrame:
     left = common.settle(rest.join(split, "key", "left_semi"), "left")
     cross = apart_links(left, marks, lines, shingle, similar) if left.head(1) else None
     if cross is not None and cross.head(1):
-        roots = common.settle(components(links.union(cross)), "roots")
+        roots = common.settle(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(cross)), "roots")
     many = marks.where("n > 1").select(F.col("lh").alias("m"))
     return common.settle(many.join(roots, F.col("m") == F.col("node"), "full").select(F.coalesce("m", "node").alias("lh"), F.coalesce("root", "m").alias("root")), "named")
 
