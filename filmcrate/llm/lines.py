@@ -28,7 +28,7 @@ from .components import components
 SHINGLE, SIMILAR = 9, 0.8
 BANDS, ROWS = 6, 3
 #: Shingles hashed by one generated row.
-UNROLL = 8
+UNROLL = 16
 #: Shingles of a block; a bucket with more is dealt out as pairs of blocks, so that a cell holds two blocks at most.
 BLOCK = 1 << 18
 #: Places of two signatures that must agree (by one byte each) before a pair is checked: fewer agree once in 1,400 pairs at a similarity of exactly 0.8.
@@ -57,11 +57,13 @@ def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), line_no, lh (hash of the line) and line, of every line that is not blank."""
     rows = common.pick(docs, "doc_id", "text").where("text is not null")
     # beside the explode, the hash of the text would be taken again for every line
-    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.split(F.lower("text"), "\n", -1).alias("lines"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("lines"))
     rows = rows.select("doc_id", "th", F.posexplode_outer("lines").alias("line_no", "line"))
     odd = reduce(Column.__or__, [end("line", F.lit(c)) for c in _BLANK for end in (F.startswith, F.endswith)])
     # cutting other characters than the space walks the whole line, so only lines that need it are cut
     rows = rows.withColumn("line", F.when(odd, F.trim("line", F.lit(_BLANK))).otherwise(F.col("line"))).where("line <> ''")
+    # a text is lower-cased by line: lines of ASCII alone, whatever stands beside them, need no case tables
+    rows = rows.withColumn("line", F.lower("line"))
     return rows.select("doc_id", "th", "line_no", F.xxhash64("line").alias("lh"), "line")
 
 
@@ -112,11 +114,16 @@ def shingle_set(line: Column, shingle: int) -> Column:
     return F.array_distinct(_bound(F.encode(line, "UTF-32"), lambda raw: _hashes(raw, shingle, 4)))
 
 
+def _pair_hashes(x: Column, y: Column, shingle: int) -> list[Column]:
+    """Hashes of the shingles of two lines, repeats included, for ``shingle_sets``. Bytes are bound: a cast inside would copy the line for every shingle."""
+    plain = (F.octet_length(x) == F.length(x)) & (F.octet_length(y) == F.length(y))
+    cut = lambda line: F.when(plain, _bound(line.cast("binary"), lambda raw: _hashes(raw, shingle, 1))).otherwise(_bound(F.encode(line, "UTF-32"), lambda raw: _hashes(raw, shingle, 4)))
+    return [cut(x), cut(y)]
+
+
 def shingle_sets(x: Column, y: Column, shingle: int) -> list[Column]:
     """The sets of two lines that are compared with each other only: cut from their bytes where these are the characters of both."""
-    plain = (F.octet_length(x) == F.length(x)) & (F.octet_length(y) == F.length(y))
-    cut = lambda line: F.when(plain, _hashes(line.cast("binary"), shingle, 1)).otherwise(_bound(F.encode(line, "UTF-32"), lambda raw: _hashes(raw, shingle, 4)))
-    return [F.array_distinct(cut(x)), F.array_distinct(cut(y))]
+    return [F.array_distinct(s) for s in _pair_hashes(x, y, shingle)]
 
 
 def parities(sets: DataFrame) -> DataFrame:
@@ -143,19 +150,24 @@ def _texts(ids: DataFrame, lines: DataFrame) -> DataFrame:
     return common.settle(few.join(ids, "lh", "left_semi"), "texts")
 
 
-def hub_links(met: DataFrame, lines: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """Links a, b between lines and the hubs of their buckets. ``met``: key, lh, hub, s0.. and first (the hub's s0..)."""
+def hub_links(met: DataFrame, lines: DataFrame, shingle: int, similar: float) -> tuple[DataFrame, DataFrame]:
+    """Links a, b between lines and the hubs of their buckets; lh and line of all lines that are compared, here or later. ``met``: key, lh, hub, size, s0.. and first (the hub's s0..)."""
     near = _agree([F.col(c) for c in _SIGN], [F.col("first")[c] for c in _SIGN]) >= LEAST_PLACES
     pairs = common.settle(met.where("lh <> hub").where(near).select(F.least("lh", "hub").alias("a"), F.greatest("lh", "hub").alias("b")).distinct(), "pairs")
-    texts = _texts(common.settle(pairs.select(F.explode(F.array("a", "b")).alias("lh")).distinct(), "wanted"), lines)
+    # lines that a hub may leave apart are fetched as well, so that all lines are read for their texts once
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lh")).union(met.where("size > 2 and lh <> hub").select("lh"))
+    texts = _texts(common.settle(wanted.distinct(), "wanted"), lines)
     both = pairs.join(texts.select(F.col("lh").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lh").alias("b"), F.col("line").alias("y")), "b")
     # a hub's pairs are dealt out again before their sets are cut
     both = both.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    x, y = shingle_sets(F.col("x"), F.col("y"), shingle)
-    # exploded, the sets are columns: evaluated once, and compared by generated code
+    x, y = _pair_hashes(F.col("x"), F.col("y"), shingle)
+    # exploded, the hashes and their number in common are columns: evaluated once, and compared by generated code
     both = both.select("a", "b", F.array(F.struct(x.alias("x"), y.alias("y"))).alias("p")).select("a", "b", F.explode_outer("p").alias("p")).select("a", "b", "p.*")
-    alike = _enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), similar)
-    return common.settle(both.where(alike).select("a", "b"), "links")
+    both = both.select("a", "b", "x", "y", F.explode_outer(F.array(F.size(F.array_intersect("x", "y")))).alias("n"))
+    # repeats make a line's set seem larger only: a pair that is alike with them is so without, and others have them taken out
+    enough = lambda x, y: _enough(F.col("n"), F.size(x), F.size(y), similar)
+    alike = F.when(enough(F.col("x"), F.col("y")), True).otherwise(enough(F.array_distinct("x"), F.array_distinct("y")))
+    return common.settle(both.where(alike).select("a", "b"), "links"), texts
 
 
 def _partners(rows: Column, within: Column, similar: float, whole: bool) -> Column:
@@ -201,16 +213,15 @@ def cell_links(cells: DataFrame, similar: float) -> DataFrame:
     return found.select("key", "l.a", F.slice("l.partners", 1, PARTNERS).alias("partners"), (F.size("l.partners") > PARTNERS).alias("more"))
 
 
-def apart_links(left: DataFrame, marks: DataFrame, lines: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """Links a, b between lines (key, lh, root) of one key and different roots, enough to join all that are similar.
+def apart_links(left: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """Links a, b between lines (key, lh, root) of one key and different roots, enough to join all that are similar. ``texts``: lh, line of these and others.
 
     Buckets of more than BLOCK shingles are dealt out as pairs of blocks. Where a line has
     more partners than one round gives, another round looks through its buckets, among those that are still apart.
     """
     ids = common.settle(left.select("lh").distinct(), "apart")
-    texts = _texts(ids, lines)
     signs = common.maybe_in(marks, "lh", ids).select(F.col("lh").alias("v"), F.array(*[f"k{b}" for b in range(BANDS)]).alias("keys"), *_SIGN)
-    signs = common.settle(parities(texts.select("lh", shingle_set(F.col("line"), shingle).alias("s"))).join(signs, F.col("w") == F.col("v")).drop("v"), "signs")
+    signs = common.settle(parities(texts.join(ids, "lh", "left_semi").select("lh", shingle_set(F.col("line"), shingle).alias("s"))).join(signs, F.col("w") == F.col("v")).drop("v"), "signs")
     rows = common.settle(left.join(signs.select("w", "units"), F.col("lh") == F.col("w")).select("key", "lh", "root", "units"), "members")
     earlier = F.slice("keys", F.lit(1), F.greatest(F.array_position("keys", F.col("key")).cast("int") - 1, F.lit(0)))
     known = ["lh", "root", "own", earlier.alias("earlier"), "units", *_SIGN, *_PARITY]
@@ -247,13 +258,13 @@ def line_roots(lines: DataFrame, shingle: int, similar: float) -> DataFrame:
     met = common.settle(common.maybe_in(bands, "key", shared.select("key")).join(shared, "key").select("key", "lh", "n", "size", *_SIGN), "met")
     hubs = met.groupBy("key").agg(F.min(F.struct(-F.col("n"), "lh", *_SIGN)).alias("first")).select("key", "first")
     met = common.settle(met.join(hubs, "key").select("key", "lh", F.col("first.lh").alias("hub"), "size", *_SIGN, "first"), "hubs")
-    links = hub_links(met, lines, shingle, similar)
+    links, texts = hub_links(met, lines, shingle, similar)
     roots = common.settle(components(links), "roots")
     rest = met.where("size > 2 and lh <> hub").join(roots, F.col("lh") == F.col("node"), "left").select("key", "lh", F.coalesce("root", "lh").alias("root"))
     rest = common.settle(rest, "rest")
     split = common.settle(rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "split")
     left = common.settle(rest.join(split, "key", "left_semi"), "left")
-    cross = apart_links(left, marks, lines, shingle, similar) if left.head(1) else None
+    cross = apart_links(left, marks, texts, shingle, similar) if left.head(1) else None
     if cross is not None and cross.head(1):
         roots = common.settle(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(cross)), "roots")
     many = marks.where("n > 1").select(F.col("lh").alias("m"))

@@ -156,3 +156,20 @@ def test_sets_of_a_pair_equal_sets_of_characters(spark):
     for r in rows.collect():
         a, b = shingles(r["x"]), shingles(r["y"])
         assert (len(r["s"]), len(r["t"]), len(set(r["s"]) & set(r["t"]))) == (len(a), len(b), len(a & b))
+
+
+def test_no_line_is_copied_for_every_shingle(spark):
+    """What is done for each shingle of a pair's lines holds no cast: it would copy the whole line from the row it lies in."""
+    rows = spark.createDataFrame([("some line of text", "some line of texts")], "x string, y string")
+    x, y = lines.shingle_sets(lines.F.col("x"), lines.F.col("y"), 9)
+    assert "substring(cast(" not in rows.select(x, y)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_fetched_once(spark, monkeypatch):
+    """Lines that no hub joins are compared by the texts that were fetched for the hubs' pairs."""
+    rng, held, settle = random.Random(31), [], lines.common.settle
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(60)]
+    docs = [(i, edit(rng, " ".join(words), 8)) for i in range(40)]
+    monkeypatch.setattr(lines.common, "settle", lambda df, name, *args, **kwargs: held.append(name) or settle(df, name, *args, **kwargs))
+    lines.removed_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert "apart" in held and held.count("texts") == 1
